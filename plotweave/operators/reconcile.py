@@ -121,7 +121,7 @@ def check_enums(conflicts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _reliability(own, source) -> Column:
     value = F.coalesce(numeric_value(own), numeric_value(source))
-    return F.greatest(F.lit(0.0), F.least(value, F.lit(100.0)))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(value, F.lit(100.0))))
 
 
 def recommend(conflicts: DataFrame) -> DataFrame:
@@ -149,7 +149,9 @@ def recommend(conflicts: DataFrame) -> DataFrame:
     by_severity = reduce(
         lambda acc, s: acc.when(F.col("severity") == s[0], s[1]), CONFIDENCE.items(), F.when(F.lit(False), 0)
     )
-    confidence = F.coalesce(F.greatest(F.lit(0), F.least(F.col("score").cast("int"), F.lit(100))), by_severity)
+    confidence = F.when(
+        F.col("score").isNotNull(), F.greatest(F.lit(0), F.least(F.col("score").cast("int"), F.lit(100)))
+    ).otherwise(by_severity)
     return conflicts.withColumns(
         {"action": choose(1, "manual_review_required"), "confidence": confidence, "reason": choose(2, explicit)}
     )

@@ -33,7 +33,8 @@ REVIEW = 70
 
 
 def _clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(value, F.lit(high)))
+    """Null stays null (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(value, F.lit(high))))
 
 
 def classify(score, high: int = HIGH, review: int = REVIEW) -> Column:

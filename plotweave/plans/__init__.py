@@ -1,6 +1,6 @@
 """Registered queries, grouped by theme."""
 
-from plotweave.plans import matching  # noqa: F401
+from plotweave.plans import matching, records  # noqa: F401
 from plotweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
