@@ -18,6 +18,7 @@ from plotweave.session import cut
 TOUCH = 1e-11
 OFFSET = 1e-10
 QUANTUM = 1e13
+DOUBLINGS = 3
 
 
 def _on_grid(v: Column) -> Column:
@@ -141,15 +142,15 @@ def rings(edges: DataFrame, group: str, max_rounds: int = 64) -> DataFrame:
     turn = F.atan2(dx * fy - dy * fx, dx * fx + dy * fy)
     step = e.join(leaving, [group, "x2", "y2"]).groupBy("id").agg(F.min_by("to", F.struct(turn, c("to"))).alias("next"))
     pieces = cut(e.join(step, "id"))
-    jump = pieces.select("id", "next", F.least("id", "next").alias("label"))
+    jump = pieces.select("id", "next", F.least("id", "next").alias("label"), F.lit(False).alias("moved"))
     for _ in range(max_rounds):
-        ahead = jump.select(c("id").alias("next"), c("next").alias("after"), c("label").alias("far"))
-        moved = jump.join(ahead, "next").select(
-            "id", c("after").alias("next"), F.least("label", "far").alias("label"), (c("far") < c("label")).alias("moved")
-        )
-        moved = cut(moved)
-        jump = moved.drop("moved")
-        if moved.where("moved").limit(1).count() == 0:
+        for _ in range(DOUBLINGS):
+            ahead = jump.select(c("id").alias("next"), c("next").alias("after"), c("label").alias("far"))
+            jump = jump.join(ahead, "next").select(
+                "id", c("after").alias("next"), F.least("label", "far").alias("label"), (c("far") < c("label")).alias("moved")
+            )
+        jump = cut(jump)
+        if jump.where("moved").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("rings did not close")

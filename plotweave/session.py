@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,18 +26,33 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def _folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables, below the one the cluster names in ``spark.checkpoint.dir``.
 
-    The setting is the cluster's shared folder. Only a local session without the
-    setting gets a folder of its own.
+    Only a local session without the setting gets a folder of its own. Removed when the
+    application ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        base = spark.conf.get(CHECKPOINT_DIR, None) or sc.getConf().get(CHECKPOINT_DIR)
+        if base is None:
             if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="plotweave-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+                raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+            base = tempfile.mkdtemp(prefix="plotweave-checkpoint-")
+        folder = f"{base.rstrip('/')}/plotweave-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _folders[sc.applicationId] = folder
+    return _folders[sc.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialize as a table in the shared folder and continue from it.
+
+    Survives lost executors, keeps plans short, lets later steps read only the columns
+    they need and gives the optimizer true sizes (a checkpoint keeps estimates, which
+    multiply over repeated self-joins).
+    """
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
