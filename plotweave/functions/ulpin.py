@@ -97,30 +97,37 @@ def ulpin_valid(code) -> Column:
     )
 
 
-def ulpin_decode(code) -> Column:
-    """struct(latitude, longitude, min_lat, min_lon, max_lat, max_lon, valid, error)."""
-    clean = F.trim(col(code))
-    lower = F.lower(F.substring(clean, 1, GEOHASH_LENGTH))
-    index = {True: F.lit(0).cast("long"), False: F.lit(0).cast("long")}
-    for j in range(GEOHASH_LENGTH):
-        digit = _value(lower, j + 1, GEOHASH_DIGITS).cast("long")
-        for b in range(5):
-            on_lon, shift = _bit_place(5 * j + b)
-            bit = F.shiftright(digit, 4 - b).bitwiseAND(F.lit(1))
-            index[on_lon] = index[on_lon] + F.shiftleft(bit, shift)
-    too_short = clean.isNull() | (F.length(clean) < GEOHASH_LENGTH)
-
-    def at(on_lon: bool, offset: float) -> Column:
-        low, span, bits = (-180.0, 360.0, _LON_BITS) if on_lon else (-90.0, 180.0, _LAT_BITS)
-        return F.when(~too_short, F.round(low + (index[on_lon] + offset) * (span / 2**bits), 7))
-
-    return F.struct(
-        at(False, 0.5).alias("latitude"),
-        at(True, 0.5).alias("longitude"),
-        at(False, 0.0).alias("min_lat"),
-        at(True, 0.0).alias("min_lon"),
-        at(False, 1.0).alias("max_lat"),
-        at(True, 1.0).alias("max_lon"),
-        ulpin_valid(clean).alias("valid"),
-        F.when(too_short, F.lit("Invalid ULPIN length")).alias("error"),
+def with_decoded(df, code: str, name: str = "decoded"):
+    """Add struct(latitude, longitude, min_lat, min_lon, max_lat, max_lon, valid, error)."""
+    clean = F.trim(F.col(code))
+    short = clean.isNull() | (F.length(clean) < GEOHASH_LENGTH)
+    digits = [_value(F.lower(clean), j + 1, GEOHASH_DIGITS) for j in range(GEOHASH_LENGTH)]
+    df = df.withColumn("_v", F.array(*digits)).withColumn("_short", short).withColumn("_ok", ulpin_valid(clean))
+
+    def index(offset: int, bits: int) -> str:
+        """Every second bit of the digits, first to last."""
+        return f"""aggregate(sequence(0, {bits - 1}), 0L, (a, i) -> a * 2
+            + (_v[(2 * i + {offset}) div 5] div bigint(power(2, 4 - (2 * i + {offset}) % 5))) % 2)"""
+
+    df = df.withColumn("_x", F.expr(index(0, _LON_BITS))).withColumn("_y", F.expr(index(1, _LAT_BITS)))
+
+    def at(column: str, low: float, span: float, bits: int, offset: float) -> Column:
+        return F.when(~F.col("_short"), F.round(low + (F.col(column) + offset) * (span / 2**bits), 7))
+
+    def lat(offset: float) -> Column:
+        return at("_y", -90.0, 180.0, _LAT_BITS, offset)
+
+    def lon(offset: float) -> Column:
+        return at("_x", -180.0, 360.0, _LON_BITS, offset)
+
+    decoded = F.struct(
+        lat(0.5).alias("latitude"),
+        lon(0.5).alias("longitude"),
+        lat(0.0).alias("min_lat"),
+        lon(0.0).alias("min_lon"),
+        lat(1.0).alias("max_lat"),
+        lon(1.0).alias("max_lon"),
+        F.col("_ok").alias("valid"),
+        F.when(F.col("_short"), F.lit("Invalid ULPIN length")).alias("error"),
     )
+    return df.withColumn(name, decoded).drop("_v", "_short", "_ok", "_x", "_y")
