@@ -140,16 +140,20 @@ def derived_areas(sqm) -> list[Column]:
     ]
 
 
-def area_to_m2(value, numeric: bool = False) -> Column:
-    """Area text to struct(m2, unit).
+def area_to_m2(df: DataFrame, column: str, name: str = "parsed", numeric: bool = False) -> DataFrame:
+    """Add struct(m2, unit) for an area text column.
 
     A bigha-and-biswa compound first, then the first unit in table order that follows
-    a number, then a bare number. Regular expressions run in the JVM.
+    a number, then a bare number. The cleaned text is its own projection, so the long
+    chain of tests reads one value; a substring test spares most regular expressions.
     """
-    raw = col(value)
+    raw = F.col(column)
     if numeric:
-        return F.when(raw.isNull(), _area(F.lit(None), "unknown")).otherwise(_area(raw.cast("double"), "numeric"))
-    text = F.translate(F.lower(F.trim(raw)), _INDIC_DIGITS, "0123456789" * 3)
+        return df.withColumn(
+            name,
+            F.when(raw.isNull(), _area(F.lit(None), "unknown")).otherwise(_area(raw.cast("double"), "numeric")),
+        )
+    text = F.col("_text")
     compound = (
         _NUMBER + r"\s*(?:bigha|बीघा|vigha|विघा)\s*(?:and|,|\+)?\s*" + _NUMBER + r"\s*(?:biswa|बिस्वा|कट्टा|katha)"
     )
@@ -158,15 +162,22 @@ def area_to_m2(value, numeric: bool = False) -> Column:
         return F.regexp_extract(text, pattern, group).cast("double")
 
     both = number(compound, 1) * AREA_UNITS["bigha"] + number(compound, 2) * AREA_UNITS["biswa"]
-    out = F.when(raw.isNull(), _area(F.lit(None), "unknown")).when(
-        text.rlike(compound), _area(F.round(both, 2), "compound_bigha_biswa")
+    holds = F.lit(False)
+    for word in ("bigha", "बीघा", "vigha", "विघा"):
+        holds = holds | text.contains(word)
+    out = F.when(text.isNull(), _area(F.lit(None), "unknown")).when(
+        holds & text.rlike(compound), _area(F.round(both, 2), "compound_bigha_biswa")
     )
     for unit, factor in AREA_UNITS.items():
         pattern = _NUMBER + r"\s*" + re.escape(unit).replace("\\ ", " ")
-        out = out.when(text.rlike(pattern), _area(F.round(number(pattern) * factor, 2), unit))
-    return out.when(text.rlike(_NUMBER), _area(number(_NUMBER), "raw_numeric")).otherwise(
+        out = out.when(
+            text.contains(unit) & text.rlike(pattern), _area(F.round(number(pattern) * factor, 2), unit)
+        )
+    out = out.when(text.rlike(_NUMBER), _area(number(_NUMBER), "raw_numeric")).otherwise(
         _area(F.lit(None), "unparseable")
     )
+    df = df.withColumn("_text", F.translate(F.lower(F.trim(raw)), _INDIC_DIGITS, "0123456789" * 3))
+    return df.withColumn(name, out).drop("_text")
 
 
 def _area(m2: Column, unit: str) -> Column:

@@ -52,7 +52,8 @@ def map_fields(df: DataFrame, column: str = "properties", threshold: float = VOC
         }
     )
     df = df.withColumn("_a", F.try_element_at("mapped", F.lit("area")))
-    return df.withColumn("area_sqm", area_to_m2("_a")["m2"]).drop("_e", "_m", "_a")
+    df = area_to_m2(df, "_a", "_parsed")
+    return df.withColumn("area_sqm", F.col("_parsed.m2")).drop("_e", "_m", "_a", "_parsed")
 
 
 def standardize(df: DataFrame, layer_type: str, threshold: float = LAYER_THRESHOLD) -> tuple[DataFrame, DataFrame]:

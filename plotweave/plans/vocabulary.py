@@ -113,7 +113,7 @@ AREA_SQL = """, q AS (SELECT *, CAST(regexp_extract(raw_area, '(\\d+(?:\\.\\d+)?
 
 @query("t8_area_text", with_sql("fx_area_text", AREA_SQL + "SELECT * FROM parsed"))
 def t8(spark, sf):
-    rows = view(spark, sf, "fx_area_text").withColumn("a", st.area_to_m2("raw_area"))
+    rows = st.area_to_m2(view(spark, sf, "fx_area_text"), "raw_area", "a")
     return rows.select("l_orderkey", "l_linenumber", F.round("a.m2", 2).alias("m2"), F.col("a.unit").alias("unit"))
 
 
@@ -127,7 +127,7 @@ def t8(spark, sf):
     ),
 )
 def t9(spark, sf):
-    rows = view(spark, sf, "fx_area_text").withColumn("a", st.area_to_m2("raw_area"))
+    rows = st.area_to_m2(view(spark, sf, "fx_area_text"), "raw_area", "a")
     rows = rows.select(F.col("a.unit").alias("unit"), *st.derived_areas("a.m2"))
     return rows.groupBy("unit").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("hectares"), 2).alias("hectares"), F.round(F.sum("acres"), 2).alias("acres")
