@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotweave.functions import kernels as k
-from plotweave.functions.text import similarity
+from plotweave.functions.geometry import deg2_to_m2, map_points, rect, with_stats
+from plotweave.functions.text import similarities, similarity
 from plotweave.operators import analytics as an
 from plotweave.operators import model as md
 from plotweave.operators import reconcile as rc
 from plotweave.operators import scoring as sc
 from plotweave.operators import spatial_join as sj
-from plotweave.functions.geometry import area_local_m2, with_stats
 from plotweave.plans import layers as ly
 from plotweave.plans.registry import query
-from plotweave.sources.fixtures import corridors, layer, view, with_sql
+from plotweave.sources.fixtures import corridors, layer, with_sql
 
 PAIR_VIEWS = "fx_cadastral fx_municipal"
 NEAR = """, near AS (
@@ -63,20 +63,17 @@ def j1(spark, sf):
     "j2_fallback",
     with_sql(
         PAIR_VIEWS,
-        """, far AS (SELECT * FROM fx_cadastral WHERE k%9 = 4),
-        near AS (SELECT DISTINCT a.feature_id FROM far a JOIN fx_municipal b
+        """, near AS (SELECT DISTINCT a.feature_id FROM fx_cadastral a JOIN fx_municipal b
           ON a.x0+0.5e0-0.0002e0 <= b.x1 AND b.x0 <= a.x1+0.5e0+0.0002e0
          AND a.y0-0.0002e0 <= b.y1 AND b.y0 <= a.y1+0.0002e0),
         first5 AS (SELECT feature_id FROM fx_municipal ORDER BY feature_id LIMIT 5)
         SELECT a.feature_id AS feature_a, b.feature_id AS feature_b
-        FROM far a CROSS JOIN first5 b WHERE a.feature_id NOT IN (SELECT feature_id FROM near)""",
+        FROM fx_cadastral a CROSS JOIN first5 b WHERE a.feature_id NOT IN (SELECT feature_id FROM near)""",
     ),
 )
 def j2(spark, sf):
     """Parcels moved half a degree east: none has a neighbour, all fall back."""
-    from plotweave.functions.geometry import map_points
-
-    a = ly.cadastral(spark, sf).where("idx % 9 = 4").withColumn("geom", map_points("geom", lambda x, y: (x + 0.5, y)))
+    a = ly.cadastral(spark, sf).withColumn("geom", map_points("geom", lambda x, y: (x + 0.5, y)))
     pairs = sj.candidates(with_stats(a), with_stats(ly.municipal(spark, sf)))
     return pairs.where("fallback").select("feature_a", "feature_b")
 
@@ -195,8 +192,6 @@ def t5(spark, sf):
     ),
 )
 def m5(spark, sf):
-    from plotweave.functions.text import similarities
-
     rows = near_rows(spark, sf).withColumn("sims", similarities("a_texts", "b_texts"))
     mean, matched, differing = sc.attribute_evidence("sims")
     return rows.select(
@@ -404,8 +399,6 @@ OVERLAPS_SQL = f"""SELECT a.k AS idx_a, b.k AS idx_b, a.feature_id AS feature_a,
     with_sql("fx_cadastral", f", o AS ({OVERLAPS_SQL}) SELECT feature_a, feature_b FROM o WHERE m2 >= 0.01e0"),
 )
 def j7(spark, sf):
-    from plotweave.functions.geometry import deg2_to_m2
-
     pairs = sj.overlapping(ly.cadastral(spark, sf))
     return pairs.where(deg2_to_m2("overlap_units") >= 0.01).select("feature_a", "feature_b")
 
@@ -439,8 +432,6 @@ def j8(spark, sf):
 )
 def j14(spark, sf):
     """Parcels without partner (boxes shrunk, so holes in the municipal layer show) against its extent."""
-    from plotweave.functions.geometry import rect
-
     a, b = with_stats(ly.cadastral(spark, sf)), with_stats(ly.municipal(spark, sf))
     near = sj.candidates(a, b, pad=-0.00035, cap=None, fallback=0)
     extent = b.agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), (F.max("maxx") - 0.02).alias("x1"), F.max("maxy").alias("y1"))

@@ -130,6 +130,7 @@ def swap_columns(df: DataFrame, lat: str, lon: str, key: str | None = None) -> D
     swap = keyed.groupBy("_k").agg(
         ((F.max(F.abs(lat)) > 90) & (F.max(F.abs(lon)) <= 90)).alias("_swap")
     )
+    swap = F.broadcast(swap) if key is None else swap  # one row for the whole frame
     rows = keyed.join(swap, "_k", "left").withColumn("_swap", F.coalesce("_swap", F.lit(False)))
     return rows.withColumns(
         {
