@@ -60,15 +60,18 @@ def grid_join(
     keys: tuple[str, ...] = (),
     cell: float = MIN_CELL,
     levels: tuple[list[int], list[int]] | None = None,
+    ready: bool = False,
 ) -> DataFrame:
     """Pairs whose boxes ``lbox`` and ``rbox`` meet, each exactly once.
 
     ``keys`` are equality columns present on both sides. A pair is produced on the level
     of its larger member, in the one cell that holds the upper of the two lower corners,
     so no distinct is needed afterwards. Both sides are materialized first: they are
-    read twice, and boxes of long polygons are costly to recompute.
+    read twice, and boxes of long polygons are costly to recompute. Pass ``ready`` when
+    they already are cheap projections of stored tables.
     """
-    left, right = cut(left), cut(right)
+    if not ready:
+        left, right = cut(left), cut(right)
     left_levels, right_levels = levels or _levels(left, right, cell)
     on = [*keys, "_level", "_cx", "_cy"]
 

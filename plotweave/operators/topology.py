@@ -89,7 +89,7 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
 
     d = F.hypot(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"))
     later = F.col("rank") > F.col("idx") if own else F.lit(True)
-    near = grid_join(verts.withColumn("lbox", _spot("x", "y", tol)), anchors).where((d <= tol) & later)
+    near = grid_join(verts.withColumn("lbox", _spot("x", "y", tol)), anchors, ready=True).where((d <= tol) & later)
     best = F.struct(-F.col("rank") if own else F.lit(0), d, F.col("rx"), F.col("ry"))
     key = ["idx", "part", "ring", "pos"]
     target = near.groupBy(*key).agg(F.min_by(F.struct("rx", "ry"), best).alias("to"))

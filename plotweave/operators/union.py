@@ -74,7 +74,7 @@ def _split(edges: DataFrame, group: str) -> DataFrame:
     c = F.col
     left = edges.select(group, "x1", "y1", "x2", "y2", _box(pad=TOUCH).alias("lbox"))
     right = edges.select(group, c("x1").alias("u1"), c("y1").alias("v1"), c("x2").alias("u2"), c("y2").alias("v2"), _box().alias("rbox"))
-    pairs = grid_join(left, right, (group,)).drop("lbox", "rbox")
+    pairs = grid_join(left, right, (group,), ready=True).drop("lbox", "rbox")
     pairs = pairs.where("not (x1 = u1 and y1 = v1 and x2 = u2 and y2 = v2)")
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     length2 = dx * dx + dy * dy

@@ -376,7 +376,7 @@ HEALTH = "greatest(0e0, least(100e0, round(100 - least(40e0, o*10 + om/10) - lea
 
 @query(
     "a12_topology_counters",
-    with_sql(C, COUNTS_SQL + "SELECT n AS features, 0 AS invalid, o AS overlaps, round(om, 1) AS overlap_m2, gp AS gaps, round(gm, 1) AS gap_m2 FROM c"),
+    with_sql(C, COUNTS_SQL + "SELECT n AS features, CAST(0 AS BIGINT) AS invalid, o AS overlaps, round(om, 1) AS overlap_m2, gp AS gaps, round(gm, 1) AS gap_m2 FROM c"),
 )
 def a12(spark, sf):
     parcels = _layer(spark, sf)
@@ -398,7 +398,7 @@ def o8(spark, sf):
     )
 
 
-@query("o11_health_audit", with_sql(C, COUNTS_SQL + f"SELECT n AS total_features, {HEALTH} AS initial_health_score, 0 AS resolved FROM c"))
+@query("o11_health_audit", with_sql(C, COUNTS_SQL + f"SELECT n AS total_features, {HEALTH} AS initial_health_score, CAST(0 AS BIGINT) AS resolved FROM c"))
 def o11(spark, sf):
     row = tp.topology_health(_layer(spark, sf))
     return row.select("total_features", "initial_health_score", (F.col("overlaps_resolved") + F.col("gaps_resolved")).alias("resolved"))
