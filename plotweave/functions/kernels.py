@@ -16,6 +16,11 @@ from plotweave.functions import ragged as rg
 from plotweave.functions.geometry import GEOMETRY_TYPE, RING_TYPE
 
 
+def _once(udf):
+    """Keep the optimizer from moving a kernel into a filter as well, which would run it twice per row."""
+    return udf.asNondeterministic()
+
+
 def _intersection(a: rg.Edges, b: rg.Edges) -> np.ndarray:
     """Area shared by two polygons, row by row, for any simple polygons with holes.
 
@@ -50,6 +55,7 @@ def _intersection(a: rg.Edges, b: rg.Edges) -> np.ndarray:
     return np.maximum(total, 0.0)
 
 
+@_once
 @F.arrow_udf(T.DoubleType())
 def intersection_area(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(_intersection(rg.edges(a), rg.edges(b)))
@@ -93,6 +99,7 @@ def _both_ends(e: rg.Edges) -> rg.Edges:
     return rg.Edges(e.n_rows, row, x, y, x, y, np.zeros(len(row)))
 
 
+@_once
 @F.arrow_udf(T.DoubleType())
 def hausdorff(a: pa.Array, b: pa.Array) -> pa.Array:
     """Discrete Hausdorff distance: each vertex to the other boundary, larger of both ways."""
@@ -153,6 +160,7 @@ def intersects(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(_touches(_segments(a), _segments(b)))
 
 
+@_once
 @F.arrow_udf(T.DoubleType())
 def distance(a: pa.Array, b: pa.Array) -> pa.Array:
     ea, eb = _segments(a), _segments(b)
@@ -169,6 +177,7 @@ def contains_point(geom: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(inside)
 
 
+@_once
 @F.arrow_udf(T.DoubleType())
 def contact_length(a: pa.Array, b: pa.Array) -> pa.Array:
     """Length of collinear shared boundary, edges no further apart than 1e-7."""
@@ -198,24 +207,28 @@ def _overlay(a: pa.Array, b: pa.Array, rule) -> pa.Array:
     return rg.geometry_array(out)
 
 
+@_once
 @F.arrow_udf(GEOMETRY_TYPE)
 def clip(a: pa.Array, b: pa.Array) -> pa.Array:
     """Outline of the intersection."""
     return _overlay(a, b, lambda w: (w[0] > 0) & (w[1] > 0))
 
 
+@_once
 @F.arrow_udf(GEOMETRY_TYPE)
 def subtract(a: pa.Array, b: pa.Array) -> pa.Array:
     """Outline of a without b."""
     return _overlay(a, b, lambda w: (w[0] > 0) & (w[1] <= 0))
 
 
+@_once
 @F.arrow_udf(GEOMETRY_TYPE)
 def join_outline(a: pa.Array, b: pa.Array) -> pa.Array:
     """Outline of the union of two geometries."""
     return _overlay(a, b, lambda w: (w[0] > 0) | (w[1] > 0))
 
 
+@_once
 @F.arrow_udf(GEOMETRY_TYPE)
 def make_valid(geom: pa.Array) -> pa.Array:
     """Even-odd interpretation of the rings; null when no area is left."""
@@ -281,6 +294,7 @@ def _valid_rows(geom: pa.Array) -> np.ndarray:
     return ~bad
 
 
+@_once
 @F.arrow_udf(T.BooleanType())
 def is_valid(geom: pa.Array) -> pa.Array:
     """Valid polygon rings; lines and points pass."""
@@ -289,6 +303,7 @@ def is_valid(geom: pa.Array) -> pa.Array:
     return pa.array(~polygonal | _valid_rows(geom))
 
 
+@_once
 @F.arrow_udf(GEOMETRY_TYPE)
 def convex_hull(geom: pa.Array) -> pa.Array:
     out = []
@@ -315,6 +330,7 @@ def buffer(radius: float, quad_segs: int = 16):
     return grow
 
 
+@_once
 @F.arrow_udf(GEOMETRY_TYPE)
 def assemble(rings: pa.Array) -> pa.Array:
     """Boundary rings (interior on the left) of one feature into a polygon with its holes."""
@@ -325,6 +341,7 @@ def assemble(rings: pa.Array) -> pa.Array:
     return rg.geometry_array(out)
 
 
+@_once
 @F.arrow_udf(RING_TYPE)
 def chain(steps: pa.Array) -> pa.Array:
     """One ring from its edges given as (id, next, x, y), in walking order, closed."""

@@ -21,6 +21,7 @@ MIN_OVERLAP_M2 = 0.01
 MIN_GAP_M2 = 0.001
 MAX_GAP_M2 = 50.0
 MAX_OVERLAP_M2 = 100.0
+NOISE_M2 = 1e-6
 
 FIX = ["fix_type", "idx", "feature_id", "description", "delta_area_sqm", "vertices_affected"]
 
@@ -160,25 +161,43 @@ def detect_gaps(layer: DataFrame, max_m2: float = MAX_GAP_M2) -> DataFrame:
 def resolve_overlaps(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[DataFrame, DataFrame]:
     """Clip the later feature of every overlap up to ``max_m2``. Returns (layer, fixes).
 
-    The shared pieces are cut per pair and equal pieces collapse before they are
-    collected, so copies of a neighbour do not pile up on one feature.
+    Works on distinct shapes: a heap of copies enters the join once, under its earliest
+    member, and every later feature loses the shared piece once, with one ledger row, as
+    in the pair-by-pair loop. Copies of one shape never clip each other (nothing would
+    be left).
     """
     layer = cut(layer)
-    pairs = overlapping(layer).withColumn("_m2", deg2_to_m2("overlap_units"))
-    pairs = cut(pairs.where((F.col("_m2") > 1e-6) & (F.col("_m2") <= max_m2)))
-    pieces = pairs.select(F.col("idx_b").alias("idx"), k.clip("geom_a", "geom_b").alias("piece")).where("piece is not null")
-    pieces = pieces.distinct().groupBy("idx").agg(F.flatten(F.collect_list("piece.parts")).alias("parts"))
+    shapes = layer.groupBy("geom").agg(
+        F.min(F.struct("idx", "feature_id")).alias("first"), F.count(F.lit(1)).alias("n")
+    )
+    shapes = cut(shapes.select("first.idx", "first.feature_id", "geom", "n"))
+    pairs = overlapping(shapes).withColumn("_m2", deg2_to_m2("overlap_units"))
+    pairs = cut(
+        pairs.where((F.col("_m2") > NOISE_M2) & (F.col("_m2") <= max_m2))
+        .withColumn("piece", k.clip("geom_a", "geom_b"))
+        .where("piece is not null")
+        .select("idx_a", "idx_b", "feature_a", "feature_b", "piece", "_m2")
+    )
+    both = [
+        pairs.select(
+            F.col(f"idx_{x}").alias("anchor"), F.col(f"feature_{x}").alias("anchor_id"), F.col(f"idx_{y}").alias("shape"), "piece", "_m2"
+        )
+        for x, y in ("ab", "ba")
+    ]
+    repeated = shapes.where("n > 1").select("geom", F.col("idx").alias("_shape"))
+    members = layer.join(repeated, "geom", "left").select("idx", "feature_id", F.coalesce("_shape", "idx").alias("shape"))
+    lost = both[0].unionByName(both[1]).join(members, "shape").where("idx > anchor")
+    pieces = lost.groupBy("idx").agg(F.flatten(F.collect_set("piece.parts")).alias("parts"))
     cover = F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts")).cast(GEOMETRY)
     clipped = layer.join(pieces.select("idx", cover.alias("_cover")), "idx").withColumn(
         "_new", k.subtract("geom", "_cover")
     )
     new = cut(clipped.where("_new is not null").select("idx", "_new"))
     result = layer.join(new, "idx", "left").withColumn("geom", F.coalesce("_new", "geom")).drop("_new")
-    done = pairs.join(new.select(F.col("idx").alias("idx_b")), "idx_b", "left_semi")
-    text = F.concat(F.format_string("Clipped %.2f m² overlap with feature ", "_m2"), F.col("feature_a"))
-    fixes = done.select(
-        F.col("idx_b").alias("idx"), F.col("feature_b").alias("feature_id"), "_m2", text.alias("_text")
-    ).select(*_fix("overlap_merge", F.col("_text"), F.round("_m2", 4), F.lit(0)))
+    text = F.concat(F.format_string("Clipped %.2f m² overlap with feature ", "_m2"), F.col("anchor_id"))
+    fixes = lost.join(new.select("idx"), "idx", "left_semi").select(
+        *_fix("overlap_merge", text, F.round("_m2", 4), F.lit(0))
+    )
     return result, fixes
 
 

@@ -285,3 +285,14 @@ def test_hotspots_agree_with_brute_force(spark):
                 parent[find(p[0])] = find(q[0])
     groups = lambda label: {frozenset(i for i in got if label(i) == c) for c in {label(i) for i in got}}
     assert groups(got.get) == groups(find)
+
+
+def test_copies_lose_a_shared_piece_once(spark):
+    heap = [(i, f"c{i}", 77.0, 28.0, 77.0001, 28.0001) for i in range(0, 40, 2)]
+    other = [(5, "x", 77.00009, 28.0, 77.0002, 28.0001), (99, "y", 77.00009, 28.0, 77.0002, 28.0001)]
+    fixed, fixes = tp.resolve_overlaps(rects(spark, heap + other))
+    got = sorted((r.idx, r.description.rsplit(" ", 1)[1]) for r in fixes.collect())
+    later = [(i, "x") for i, *_ in heap if i > 5]
+    assert got == sorted([(5, "c0"), (99, "c0"), *later])
+    width = {r.idx: r.b.maxx - r.b.minx for r in fixed.select("idx", gm.bbox("geom").alias("b")).collect()}
+    assert width[0] == pytest.approx(1e-4) and width[5] == pytest.approx(1e-4) and width[38] == pytest.approx(9e-5)
