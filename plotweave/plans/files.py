@@ -11,7 +11,7 @@ from plotweave.functions.geometry import area, to_geojson
 from plotweave.plans import layers as ly
 from plotweave.plans.registry import query
 from plotweave.plans.shapes import HARM_SQL, HV, _harmonized
-from plotweave.session import _folder
+from plotweave.session import scratch_folder
 from plotweave.sources import readers as rd
 from plotweave.sources import writers as wr
 from plotweave.sources.fixtures import view, with_sql
@@ -22,7 +22,7 @@ AREA_SQL = "round((x1-x0)*(y1-y0)*1e9, 3) AS area"
 
 
 def fresh(spark: SparkSession) -> str:
-    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _nano(geom: str = "geom"):

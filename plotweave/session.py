@@ -26,7 +26,7 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables, below the one the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without the setting gets a folder of its own. Removed when the
@@ -53,6 +53,6 @@ def cut(df: DataFrame) -> DataFrame:
     they need and gives the optimizer true sizes (a checkpoint keeps estimates, which
     multiply over repeated self-joins).
     """
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
