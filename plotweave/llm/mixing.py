@@ -97,8 +97,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it, and ``copy`` numbering the repeats from 0.
 
-    Rows keep all their columns. See ``mix_plan`` for nulls, ties and empty tables.
+    Rows keep all their columns; if one is called ``copy``, the new one gets underscores
+    until its name is free. See ``mix_plan`` for nulls, ties and empty tables.
     """
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
     sizes = cut(docs.select("source", words(F.col("text")).alias("size")))
     targets = source_targets(sizes, weights, share, ceiling).select(
         F.col("source").alias("mix_source"),
@@ -110,7 +114,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     drawn = drawn.withColumn("mix_draw", uniform(SEED, "doc_id", "mix_digest"))
     joined = drawn.join(targets, F.col("source").eqNullSafe(F.col("mix_source")))
     counted = joined.withColumn("mix_n", copies(F.col("mix_rate"), F.col("mix_draw"))).where("mix_n > 0")
-    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), (F.col("mix_n") - 1).cast("int"))).alias("copy"))
+    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(0), (F.col("mix_n") - 1).cast("int"))).alias(number))
 
 
 MIX_SQL = r"""
