@@ -291,9 +291,53 @@ def _valid_rows(geom: pa.Array) -> np.ndarray:
         crossing = (s1 * s2 < 0) & (s3 * s4 < 0)
         wrong = np.where(beside, folded, np.where(same, contact, crossing | shared))
         bad[row[i[wrong]]] = True
+    several = np.flatnonzero((np.bincount(r.row, minlength=r.n_rows) > 1) & ~bad)
+    if len(several):
+        by_row = np.argsort(r.row, kind="stable")
+        edge = np.searchsorted(r.row[by_row], several), np.searchsorted(r.row[by_row], several, "right")
+        for at, lo, hi in zip(several, *edge):
+            bad[at] = _misplaced(r, starts, stops, by_row[lo:hi])
     return ~bad
 
 
+def _side(x: np.ndarray, y: np.ndarray, ring_x: np.ndarray, ring_y: np.ndarray) -> np.ndarray:
+    """1 for points strictly inside a ring, -1 strictly outside, 0 on it."""
+    x1, y1, x2, y2 = ring_x[:-1], ring_y[:-1], ring_x[1:], ring_y[1:]
+    px, py = x[:, None], y[:, None]
+    cross = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+    on = (cross == 0) & (np.minimum(x1, x2) <= px) & (px <= np.maximum(x1, x2))
+    on &= (np.minimum(y1, y2) <= py) & (py <= np.maximum(y1, y2))
+    crossed = ((y1 > py) != (y2 > py)) & ((cross > 0) == (y2 > y1))
+    return np.where(on.any(1), 0, np.where(crossed.sum(1) % 2 == 1, 1, -1))
+
+
+def _misplaced(r: rg.Rings, starts: np.ndarray, stops: np.ndarray, own: np.ndarray) -> bool:
+    """Whether a hole leaves its shell or lies in another hole, or a part lies in another part.
+
+    The rings do not cross, so one point off the other ring decides each pair.
+    """
+    points = {k: (r.x[starts[k] : stops[k]], r.y[starts[k] : stops[k]]) for k in own}
+
+    def where(a: int, b: int) -> int:
+        sides = _side(*points[a], *points[b])
+        off = sides[sides != 0]
+        return int(off[0]) if len(off) else 0
+
+    shells = [k for k in own if not r.hole[k]]
+    for k in own:
+        mates = [m for m in own if m != k and r.part[m] == r.part[k]]
+        if r.hole[k]:
+            if any(where(k, m) == (1 if r.hole[m] else -1) for m in mates):
+                return True
+            continue
+        for other in shells:
+            if other != k and where(k, other) == 1:
+                holes = [m for m in own if r.hole[m] and r.part[m] == r.part[other]]
+                if not any(where(k, m) == 1 for m in holes):
+                    return True
+    return False
+
+
 @_once
 @F.arrow_udf(T.BooleanType())
 def is_valid(geom: pa.Array) -> pa.Array:

@@ -20,10 +20,11 @@ GEOMETRY_T = pa.struct(
 
 @dataclass
 class Rings:
-    """Rings of a batch of geometries: ``row`` and ``hole`` per ring, points concatenated."""
+    """Rings of a batch of geometries: ``row``, ``part`` and ``hole`` per ring, points concatenated."""
 
     n_rows: int
     row: np.ndarray
+    part: np.ndarray
     hole: np.ndarray
     size: np.ndarray
     x: np.ndarray
@@ -62,13 +63,15 @@ def rings(geom) -> Rings:
     part_row = np.repeat(np.arange(n), _lengths(parts_list))
     parts = parts_list.flatten()
     shells, holes_list = parts.field(0), parts.field(1)
-    hole_row = np.repeat(part_row, _lengths(holes_list))
+    hole_part = np.repeat(np.arange(len(part_row)), _lengths(holes_list))
+    hole_row = part_row[hole_part]
     holes = holes_list.flatten()
     sx, sy = _xy(shells.flatten())
     hx, hy = _xy(holes.flatten())
     return Rings(
         n,
         np.concatenate([part_row, hole_row]),
+        np.concatenate([np.arange(len(part_row)), hole_part]),
         np.repeat([False, True], [len(part_row), len(hole_row)]),
         np.concatenate([_lengths(shells), _lengths(holes)]),
         np.concatenate([sx, hx]),

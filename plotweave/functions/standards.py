@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,7 +125,13 @@ LAYER_FIELDS = {
 }
 
 _NUMBER = r"(\d+(?:\.\d+)?)"
-_INDIC_DIGITS = "०१२३४५६७८९౦౧౨౩౪౫౬౭౮౯௦௧௨௩௪௫௬௭௮௯"
+# A bigha amount followed by a biswa amount.
+COMPOUND = (
+    _NUMBER + r"\s*(?:bigha|बीघा|vigha|विघा)\s*(?:and|,|\+)?\s*" + _NUMBER + r"\s*(?:biswa|बिस्वा|कट्टा|katha)"
+)
+# Decimal digits of every script, from the character database.
+_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
+_ASCII_DIGITS = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
 
 
 def units_table(spark: SparkSession) -> DataFrame:
@@ -154,19 +161,16 @@ def area_to_m2(df: DataFrame, column: str, name: str = "parsed", numeric: bool =
             F.when(raw.isNull(), _area(F.lit(None), "unknown")).otherwise(_area(raw.cast("double"), "numeric")),
         )
     text = F.col("_text")
-    compound = (
-        _NUMBER + r"\s*(?:bigha|बीघा|vigha|विघा)\s*(?:and|,|\+)?\s*" + _NUMBER + r"\s*(?:biswa|बिस्वा|कट्टा|katha)"
-    )
 
     def number(pattern: str, group: int = 1) -> Column:
         return F.regexp_extract(text, pattern, group).cast("double")
 
-    both = number(compound, 1) * AREA_UNITS["bigha"] + number(compound, 2) * AREA_UNITS["biswa"]
+    both = number(COMPOUND, 1) * AREA_UNITS["bigha"] + number(COMPOUND, 2) * AREA_UNITS["biswa"]
     holds = F.lit(False)
     for word in ("bigha", "बीघा", "vigha", "विघा"):
         holds = holds | text.contains(word)
     out = F.when(text.isNull(), _area(F.lit(None), "unknown")).when(
-        holds & text.rlike(compound), _area(F.round(both, 2), "compound_bigha_biswa")
+        holds & text.rlike(COMPOUND), _area(F.round(both, 2), "compound_bigha_biswa")
     )
     for unit, factor in AREA_UNITS.items():
         pattern = _NUMBER + r"\s*" + re.escape(unit).replace("\\ ", " ")
@@ -176,7 +180,7 @@ def area_to_m2(df: DataFrame, column: str, name: str = "parsed", numeric: bool =
     out = out.when(text.rlike(_NUMBER), _area(number(_NUMBER), "raw_numeric")).otherwise(
         _area(F.lit(None), "unparseable")
     )
-    df = df.withColumn("_text", F.translate(F.lower(F.trim(raw)), _INDIC_DIGITS, "0123456789" * 3))
+    df = df.withColumn("_text", F.regexp_replace(F.translate(F.lower(F.trim(raw)), _DIGITS, _ASCII_DIGITS), r"(?U)\s", " "))
     return df.withColumn(name, out).drop("_text")
 
 

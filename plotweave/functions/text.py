@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +76,9 @@ def normalize_texts(texts: list[Column]) -> Column:
     return F.when(special, _fold_texts_udf(F.when(special, raw))).otherwise(F.transform(raw, _ascii_text))
 
 
+NUMBER_TEXT = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+
+
 def normalize_identifier(value) -> Column:
     return F.regexp_replace(normalize_text(value), "[^a-z0-9]", "")
 
@@ -86,8 +91,11 @@ def normalize_key(value) -> Column:
 
 
 def numeric_value(value) -> Column:
-    """Lenient number; null for booleans and for text that is not a number."""
-    return col(value).try_cast("double")
+    """Lenient number; null for booleans and for text that is not a number, as ``12F``."""
+    value = col(value)
+    kind = F.typeof(value)
+    number = F.when(value.cast("string").rlike(NUMBER_TEXT), value.cast("string").try_cast("double"))
+    return F.when(kind == "boolean", F.lit(None).cast("double")).otherwise(number)
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -110,34 +118,37 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _common_subsequence(a, b) / (len(a) + len(b))
 
 
+def _ratios(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Similarity of two flat text arrays, NaN where either is null; each distinct pair is computed once."""
+    out = np.full(len(a), np.nan)
+    known = np.flatnonzero(pc.and_(pc.is_valid(a), pc.is_valid(b)).to_numpy(zero_copy_only=False))
+    if not len(known):
+        return out
+    left, right = (x.take(pa.array(known)).dictionary_encode() for x in (a, b))
+    n = len(right.dictionary)
+    pair = left.indices.to_numpy().astype(np.int64) * n + right.indices.to_numpy()
+    distinct, place = np.unique(pair, return_inverse=True)
+    words_a, words_b = left.dictionary.to_pylist(), right.dictionary.to_pylist()
+    values = np.array([ratio(words_a[p // n], words_b[p % n]) for p in distinct.tolist()])
+    out[known] = values[place]
+    return out
+
+
 @F.arrow_udf(T.DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Insert/delete similarity 0..100 of two text columns; each distinct pair is computed once."""
-    memo: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a.to_pylist(), b.to_pylist()):
-        if None in pair:
-            out.append(None)
-            continue
-        if pair not in memo:
-            memo[pair] = ratio(*pair)
-        out.append(memo[pair])
-    return pa.array(out, pa.float64())
+    """Insert/delete similarity 0..100 of two text columns."""
+    return pa.array(_ratios(a, b), pa.float64(), from_pandas=True)
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def similarities(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Element-wise similarity of two text arrays; null where either side is empty."""
-    memo: dict[tuple[str, str], float] = {}
-    out = []
-    for left, right in zip(a.to_pylist(), b.to_pylist()):
-        row = []
-        for pair in zip(left or [], right or []):
-            if not pair[0] or not pair[1]:
-                row.append(None)
-                continue
-            if pair not in memo:
-                memo[pair] = ratio(*pair)
-            row.append(memo[pair])
-        out.append(row)
-    return pa.array(out, pa.list_(pa.float64()))
+    """Element-wise similarity of two text arrays up to the shorter; null where either side is null or empty."""
+    sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    least = np.minimum(*sizes)
+    inner = np.arange(least.sum()) - np.repeat(np.cumsum(least) - least, least)
+    flat = [
+        x.flatten().take(pa.array(np.repeat(np.cumsum(n) - n, least) + inner)) for x, n in zip((a, b), sizes)
+    ]
+    flat = [pc.if_else(pc.equal(x, ""), pa.scalar(None, x.type), x) for x in flat]
+    values = pa.array(_ratios(*flat), pa.float64(), from_pandas=True)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(least)), pa.int32()), values)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions.geometry import vertex_centroid
 from plotweave.operators.components import proximity_clusters
+from plotweave.session import cut
 
 # Severity levels of the dashboard and heat weights.
 DASHBOARD_SEVERITIES = ["low", "medium", "high", "critical"]
@@ -126,15 +127,16 @@ def heat_points(conflicts: DataFrame, order: str = "conflict_id") -> DataFrame:
     )
 
 
-def hotspots(conflicts: DataFrame, eps_km: float = 0.5, affected: int = 5) -> DataFrame:
-    """Conflict clusters: mean centre, count, worst severity, first affected parcels.
+def hotspots(conflicts: DataFrame, eps_km: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(clusters, affected): conflict clusters, and every parcel each of them affects.
 
-    conflicts: (conflict_id, lat, lon, severity, feature_a, feature_b). The first distinct
-    parcels come from a ranked scan of (cluster, parcel) minima, so a cluster holding a
-    large share of all conflicts is never gathered into one list.
+    conflicts: (conflict_id, lat, lon, severity, feature_a, feature_b). A cluster has mean
+    centre, count, worst severity and the number of affected parcels. ``affected`` has a
+    row (cluster_id, parcel, first_conflict_id) per parcel, so a cluster that holds a large
+    share of all conflicts is never gathered into one list.
     """
     clusters = proximity_clusters(conflicts.select(F.col("conflict_id").alias("id"), "lat", "lon"), eps_km)
-    rows = conflicts.join(clusters.withColumnRenamed("id", "conflict_id"), "conflict_id")
+    rows = cut(conflicts.join(clusters.withColumnRenamed("id", "conflict_id"), "conflict_id"))
     sev = _severity()
     rank = F.when(sev.isin("critical", "high"), 3).when(sev == "medium", 2).otherwise(1)
     totals = rows.groupBy("cluster").agg(
@@ -144,18 +146,14 @@ def hotspots(conflicts: DataFrame, eps_km: float = 0.5, affected: int = 5) -> Da
         F.count(F.lit(1)).alias("conflict_count"),
         F.max(rank).alias("_rank"),
     )
-    mentions = rows.select("cluster", "conflict_id", F.posexplode(F.array("feature_a", "feature_b")).alias("pos", "parcel"))
-    first_seen = (
-        mentions.where("parcel is not null")
-        .groupBy("cluster", "parcel")
-        .agg(F.min(F.struct("conflict_id", "pos")).alias("seen"))
-    )
-    order = Window.partitionBy("cluster").orderBy("seen")
-    top = first_seen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= affected)
-    listed = top.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", "parcel"))), lambda v: v["parcel"]).alias("affected_parcels")
-    )
+    mentions = rows.select("cluster", "conflict_id", F.explode(F.array("feature_a", "feature_b")).alias("parcel"))
+    seen = mentions.where("parcel is not null").groupBy("cluster", "parcel").agg(F.min("conflict_id").alias("first_conflict_id"))
+    seen = cut(seen)
     level = F.when(F.col("_rank") == 3, "high").when(F.col("_rank") == 2, "medium").otherwise("low")
-    return totals.join(listed, "cluster", "left").select(
-        "cluster_id", "center_lon", "center_lat", "conflict_count", level.alias("severity"), "affected_parcels"
+    counted = totals.join(seen.groupBy("cluster").agg(F.count(F.lit(1)).alias("affected_count")), "cluster", "left")
+    spots = counted.select(
+        "cluster", "cluster_id", "center_lon", "center_lat", "conflict_count", level.alias("severity"),
+        F.coalesce("affected_count", F.lit(0)).alias("affected_count"),
     )
+    affected = seen.join(totals.select("cluster", "cluster_id"), "cluster").select("cluster_id", "parcel", "first_conflict_id")
+    return spots.drop("cluster"), affected

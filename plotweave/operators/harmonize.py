@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from plotweave.functions import kernels as k
 from plotweave.functions.geometry import area_local_m2, bbox, is_empty, rect
 from plotweave.functions.ulpin import assign_ulpin
+from plotweave.operators.reconcile import side_of
 from plotweave.operators.union import dissolve
+from plotweave.session import cut
 
 PAD = 0.001
 
@@ -17,12 +19,27 @@ def _or_null(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
+# Attributes every harmonized parcel has, also when its source lacks them.
+ATTRIBUTES = ("owner", "land_use", "zone", "address")
+_MADE = (
+    "harmonized_id", "parcel_id", "ulpin", "bhu_aadhar", "source_feature_a", "source_feature_b", "area", "confidence",
+    "harmonization_status", "operation", "lineage", "geom", "feature_id", "dataset_id", "feature_b", "dataset_a", "dataset_b",
+)
+
+
 def harmonize(matches: DataFrame, features: DataFrame, min_score: int = 70) -> DataFrame:
-    """Pairs at or above ``min_score`` with the geometry and attributes of feature A."""
+    """Pairs at or above ``min_score`` with the geometry and all attributes of feature A.
+
+    Features are found by dataset and id where the matches carry ``dataset_a``.
+    """
+    names, keys = side_of(features, matches, "a")
+    rest = [c for c in matches.columns if c == "feature_b"]
     chosen = matches.where(F.col("score") >= min_score).select(
-        F.col("feature_a").alias("feature_id"), "feature_b", F.col("score").alias("confidence")
+        *[F.col(k).alias(c) for c, k in names.items() if k in keys], *rest, F.col("score").alias("confidence")
     )
-    rows = assign_ulpin(chosen.join(features.where(~is_empty("geom")), "feature_id"))
+    on = [c for c, k in names.items() if k in keys]
+    attributes = [c for c in features.columns if c not in _MADE and c not in ATTRIBUTES]
+    rows = assign_ulpin(chosen.join(features.where(~is_empty("geom")), on))
     lineage = F.struct(
         F.array("feature_id", "feature_b").alias("sources"), F.lit("harmonized").alias("operation")
     )
@@ -33,16 +50,30 @@ def harmonize(matches: DataFrame, features: DataFrame, min_score: int = 70) -> D
         "bhu_aadhar",
         F.col("feature_id").alias("source_feature_a"),
         F.col("feature_b").alias("source_feature_b"),
-        *[_or_null(features, n).alias(n) for n in ("owner", "land_use", "zone", "address")],
+        *[_or_null(features, n).alias(n) for n in ATTRIBUTES],
         "area",
         F.col("confidence").cast("double").alias("confidence"),
         F.lit("certified_reconciled").alias("harmonization_status"),
         F.lit("harmonized").alias("operation"),
         lineage.alias("lineage"),
         "geom",
+        *attributes,
     )
 
 
+def _named_by(features: DataFrame, requests: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Features under the key of ``requests``: dataset and id if these carry a dataset, else the id of the first dataset."""
+    if "dataset_id" in requests.columns or "dataset_id" not in features.columns:
+        return features, [c for c in ("dataset_id", "feature_id") if c in requests.columns]
+    others = [c for c in features.columns if c != "feature_id"]
+    first = features.groupBy("feature_id").agg(F.min_by(F.struct(*others), "dataset_id").alias("_f"))
+    return first.select("feature_id", "_f.*"), ["feature_id"]
+
+
+def _not_found(name: str) -> Column:
+    return F.concat(F.lit("Parcel with ID '"), F.col(name), F.lit("' not found in active registry"))
+
+
 def apply_edits(harmonized: DataFrame, superseded: DataFrame, custom: DataFrame) -> DataFrame:
     """Leave out superseded parcels (parcel_id) and append the ones that replace them."""
     kept = harmonized.join(superseded.select("parcel_id").distinct(), "parcel_id", "left_anti")
@@ -55,17 +86,24 @@ def apply_edits(harmonized: DataFrame, superseded: DataFrame, custom: DataFrame)
 def merge_parcels(features: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged parcels, error rows).
 
-    groups: (group_id, pos, feature_id, target_id, combined_owner), the last two nullable.
-    Geometry is a distributed union; attributes are ordered aggregates.
+    groups: (group_id, pos, feature_id, target_id, combined_owner), the last two nullable,
+    and dataset_id if ids repeat between datasets. A group with fewer than two ids or with an
+    unknown one is refused and gives an error row. Geometry is a distributed union;
+    attributes are ordered aggregates.
     """
-    counted = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    errors = counted.where("n < 2").select(
-        "group_id", F.lit("At least 2 parcel IDs are required for a parcel merge.").alias("error")
-    )
-    rows = groups.join(counted.where("n >= 2").select("group_id"), "group_id").join(
-        features.select("feature_id", "geom", *[_or_null(features, n).alias(n) for n in ("owner", "land_use", "zone", "address")]),
-        "feature_id",
+    known, on = _named_by(features, groups)
+    attributes = [_or_null(known, n).alias(n) for n in ATTRIBUTES]
+    rows = groups.join(known.select(*on, "geom", *attributes, F.lit(True).alias("_known")), on, "left")
+    counted = cut(
+        rows.groupBy("group_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min_by("feature_id", F.when(F.col("_known").isNull(), F.col("pos"))).alias("missing"),
+        )
     )
+    few = F.when(F.col("n") < 2, F.lit("At least 2 parcel IDs are required for a parcel merge."))
+    errors = counted.select("group_id", F.coalesce(few, _not_found("missing")).alias("error")).where("error is not null")
+    accepted = counted.where("n >= 2 and missing is null").select("group_id")
+    rows = rows.join(accepted, "group_id", "left_semi").drop("_known")
     geom = dissolve(rows.select("group_id", "geom"), "group_id")
 
     def first(name: str) -> Column:
@@ -108,10 +146,24 @@ def merge_parcels(features: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
     return result, errors
 
 
-def split_parcels(features: DataFrame, requests: DataFrame) -> DataFrame:
-    """Equal strips per request (feature_id, parts, direction); parts outside 2..10 are refused."""
-    ok = requests.where(F.col("parts").between(2, 10))
-    rows = ok.join(features, "feature_id").withColumn("b", bbox("geom"))
+def split_parcels(features: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(strips, error rows) for requests (feature_id, parts, direction), and dataset_id if ids repeat.
+
+    Equal strips; a request for fewer than 2 or more than 10 parts or for an unknown
+    parcel gives an error row.
+    """
+    known, on = _named_by(features, requests)
+    wrong = (
+        F.when(F.col("parts") < 2, "Split must create at least 2 parts.")
+        .when(F.col("parts") > 10, "Split must create at most 10 parts.")
+        .when(F.col("parts").isNull(), "Split must create at least 2 parts.")
+    )
+    asked = requests.withColumn("error", wrong)
+    found = known.select(*on, F.lit(True).alias("_known"))
+    errors = asked.join(found, on, "left").select(
+        *requests.columns, F.coalesce("error", F.when(F.col("_known").isNull(), _not_found("feature_id"))).alias("error")
+    )
+    rows = asked.where("error is null").drop("error").join(known, on).withColumn("b", bbox("geom"))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("parts"))))
     b, n, i = F.col("b"), F.col("parts"), F.col("i")
 
@@ -132,7 +184,7 @@ def split_parcels(features: DataFrame, requests: DataFrame) -> DataFrame:
     def said(name: str, default: str) -> Column:
         return F.coalesce(_or_null(features, name), F.lit(default))
 
-    return rows.select(
+    strips = rows.select(
         F.concat(F.lit("HARM-"), pid).alias("harmonized_id"),
         pid.alias("parcel_id"),
         "ulpin",
@@ -148,6 +200,7 @@ def split_parcels(features: DataFrame, requests: DataFrame) -> DataFrame:
         F.struct(F.array("feature_id").alias("sources"), F.lit("split").alias("operation")).alias("lineage"),
         "geom",
     )
+    return strips, errors.where("error is not null")
 
 
 def find_parcels(wanted: DataFrame, custom: DataFrame, features: DataFrame) -> DataFrame:
@@ -155,7 +208,7 @@ def find_parcels(wanted: DataFrame, custom: DataFrame, features: DataFrame) -> D
     edits = custom.select("parcel_id", F.lit("custom").alias("_c"), F.col("owner").alias("_co"))
     base = features.select(F.col("feature_id").alias("parcel_id"), F.lit("features").alias("_f"), F.col("owner").alias("_fo"))
     rows = wanted.join(edits, "parcel_id", "left").join(base, "parcel_id", "left")
-    missing = F.concat(F.lit("Parcel with ID '"), "parcel_id", F.lit("' not found in active registry"))
+    missing = _not_found("parcel_id")
     origin = F.coalesce("_c", "_f")
     return rows.select(
         "parcel_id",

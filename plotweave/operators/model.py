@@ -49,7 +49,7 @@ def train_pair_model(train: DataFrame, max_iter: int = 20, seed: int = 1) -> Mul
     stays in the review range and weak evidence scores 0.
     """
     trainer = MultilayerPerceptronClassifier(layers=LAYERS, maxIter=max_iter, seed=seed, blockSize=128)
-    return trainer.fit(_vector(train).select("label", "features").coalesce(1))
+    return trainer.fit(_vector(train).select("label", "features"))
 
 
 _models: dict[str, MultilayerPerceptronClassificationModel] = {}
@@ -59,7 +59,7 @@ def default_model(spark: SparkSession) -> MultilayerPerceptronClassificationMode
     """The calibrated model of this application, trained once."""
     key = spark.sparkContext.applicationId
     if key not in _models:
-        _models[key] = train_pair_model(calibration(spark))
+        _models[key] = train_pair_model(calibration(spark).coalesce(1))  # 240 rows
     return _models[key]
 
 

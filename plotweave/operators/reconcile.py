@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions.geometry import col
+from plotweave.functions.kernels import is_valid
 from plotweave.functions.text import numeric_value
+from plotweave.operators.spatial_join import candidates
 from plotweave.session import cut
 
 # Closed sets and names of the conflict and recommendation contracts.
@@ -26,6 +28,15 @@ PENDING = "pending_review"
 AUTO_REVIEWER = "automated classifier"
 
 
+def side_of(features: DataFrame, pairs: DataFrame, side: str) -> tuple[dict[str, str], list[str]]:
+    """Names of a feature's key on one side of a pair, and the key columns that both tables have.
+
+    Features are told apart by dataset and id wherever pairs carry the dataset.
+    """
+    names = {"feature_id": f"feature_{side}", "dataset_id": f"dataset_{side}"}
+    return names, [k for c, k in names.items() if c in features.columns and k in pairs.columns]
+
+
 def _best_first() -> list:
     return [F.desc("score"), F.asc("feature_a"), F.asc("feature_b")]
 
@@ -44,12 +55,15 @@ def simple_conflicts(matches: DataFrame) -> DataFrame:
 def detect_conflicts(matches: DataFrame, features: DataFrame, area_tol: float = AREA_TOLERANCE_M2) -> DataFrame:
     """Rule cascade: area difference, then boundary deviation, then missing counterpart.
 
-    features: (feature_id, area). The stable ``conflict_key`` does not move between runs.
+    features: (feature_id, area) and dataset_id, which counts where matches carry dataset_a
+    and dataset_b. The stable ``conflict_key`` does not move between runs.
     """
     rows = matches
     for side in "ab":
-        areas = features.select(F.col("feature_id").alias(f"feature_{side}"), F.col("area").alias(f"area_{side}"))
-        rows = rows.join(areas, f"feature_{side}", "left")
+        names, keys = side_of(features, rows, side)
+        areas = features.select(*[F.col(c).alias(k) for c, k in names.items() if k in keys], F.col("area").alias(f"area_{side}"))
+        rows = rows.join(areas, keys, "left")
+    datasets = [c for c in ("dataset_a", "dataset_b") if c in matches.columns]
     known = F.col("area_a").isNotNull() & F.col("area_b").isNotNull()
     rows = rows.withColumns({f"area_{s}": F.when(known, F.col(f"area_{s}")).otherwise(0.0) for s in "ab"})
     rows = rows.withColumn("area_difference", F.abs(F.col("area_a") - F.col("area_b")))
@@ -75,9 +89,10 @@ def detect_conflicts(matches: DataFrame, features: DataFrame, area_tol: float =
         }
     )
     return rows.where("type is not null").select(
-        F.xxhash64("feature_a", "feature_b", "type").alias("conflict_key"),
+        F.xxhash64("feature_a", "feature_b", "type", *datasets).alias("conflict_key"),
         "feature_a",
         "feature_b",
+        *datasets,
         "type",
         "severity",
         "reason",
@@ -188,13 +203,14 @@ def attach_sides(conflicts: DataFrame, features: DataFrame) -> DataFrame:
     """Reliability, dataset and presence of both features; the side defaults where details are missing."""
     for s in "ab":
         rel, dataset = SIDE_DEFAULTS[s]
+        _, keys = side_of(features, conflicts, s)
         side = features.select(
             F.col("feature_id").alias(f"feature_{s}"),
             F.col("dataset_id").cast("int").alias(f"dataset_{s}"),
             _reliability(F.col("source_reliability"), F.lit(None)).alias(f"rel_{s}"),
             F.lit(True).alias(f"has_{s}"),
         )
-        conflicts = conflicts.join(side, f"feature_{s}", "left").withColumns(
+        conflicts = conflicts.join(side, keys, "left").withColumns(
             {
                 f"rel_{s}": F.when(F.col(f"has_{s}").isNull(), F.lit(rel)).otherwise(F.col(f"rel_{s}")),
                 f"dataset_{s}": F.coalesce(f"dataset_{s}", F.lit(dataset)),
@@ -244,35 +260,52 @@ def limit_per_dataset(features: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def dedupe_features(features: DataFrame, order: str) -> DataFrame:
-    """First row per (dataset_id, feature_id)."""
+    """First row per (dataset_id, feature_id); it is left out if its geometry is invalid.
+
+    The first row decides, as a later valid one is a leftover of the same feature. Rows
+    without a ``geom`` column are not judged.
+    """
     others = [c for c in features.columns if c not in ("dataset_id", "feature_id")]
     first = F.min_by(F.struct(*others), F.col(order))
-    return features.groupBy("dataset_id", "feature_id").agg(first.alias("_f")).select("dataset_id", "feature_id", "_f.*")
+    rows = features.groupBy("dataset_id", "feature_id").agg(first.alias("_f")).select("dataset_id", "feature_id", "_f.*")
+    return rows.where(F.coalesce(is_valid("geom"), F.lit(False))) if "geom" in others else rows
 
 
 def match_sources(features: DataFrame) -> DataFrame:
-    """The two largest datasets, (rank, dataset_id, n), ties by id."""
+    """All datasets by size, largest first, ties by id: (dataset_id, n, rank)."""
     counts = features.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "dataset_id").limit(2)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "dataset_id")))
+    return counts.withColumn("rank", F.struct((-F.col("n")).alias("size"), "dataset_id"))
 
 
-def balanced_queue(cadastral: DataFrame, building: DataFrame, n: int = 50) -> DataFrame:
-    """The n best pairs of each kind, best first overall. A report: top-k of each side, then a union."""
-    best = [
-        df.orderBy(*_best_first()).limit(n).withColumn("queue_kind", F.lit(kind))
-        for df, kind in ((cadastral, "cadastral"), (building, "building"))
-    ]
+def source_pairs(features: DataFrame, **options) -> DataFrame:
+    """Candidate pairs between every two datasets that overlap; A is of the larger one, ties by id.
+
+    One spatial join of the layer with itself; ``rank`` orders the two sides of a pair.
+    """
+    ranked = cut(features.join(match_sources(features).select("dataset_id", "rank"), "dataset_id"))
+    pairs = candidates(ranked, ranked, **options)
+    ranks = cut(ranked.select("dataset_id", "rank").distinct())
+    for s in "ab":
+        pairs = pairs.join(ranks.select(F.col("dataset_id").alias(f"dataset_{s}"), F.col("rank").alias(f"_rank_{s}")), f"dataset_{s}")
+    return pairs.where("_rank_a < _rank_b").drop("_rank_a", "_rank_b")
+
+
+def balanced_queue(cadastral: DataFrame, building: DataFrame, n: int | None = None) -> DataFrame:
+    """Pairs of both kinds, best first overall; ``n`` keeps the best of each kind for a report."""
+    best = [df.withColumn("queue_kind", F.lit(kind)) for df, kind in ((cadastral, "cadastral"), (building, "building"))]
+    if n is not None:
+        best = [df.orderBy(*_best_first()).limit(n) for df in best]
     return best[0].unionByName(best[1]).orderBy(*_best_first())
 
 
 def attach_details(pairs: DataFrame, features: DataFrame) -> DataFrame:
     """Both feature records as structs on every pair."""
     for s in "ab":
+        names, keys = side_of(features, pairs, s)
         details = features.select(
-            F.col("feature_id").alias(f"feature_{s}"), F.struct(*features.columns).alias(f"feature_{s}_details")
+            *[F.col(c).alias(k) for c, k in names.items() if k in keys], F.struct(*features.columns).alias(f"feature_{s}_details")
         )
-        pairs = pairs.join(details, f"feature_{s}", "left")
+        pairs = pairs.join(details, keys, "left")
     return pairs
 
 

@@ -134,6 +134,7 @@ def prepare(layer: DataFrame) -> DataFrame:
     return with_stats(
         layer.select(
             "feature_id",
+            *(["dataset_id"] if "dataset_id" in have else []),
             "geom",
             or_null("area", "double").alias("area"),
             reliability(or_null("source_reliability", "string"), or_null("reliability_score", "string")).alias("rel"),
@@ -145,12 +146,13 @@ def prepare(layer: DataFrame) -> DataFrame:
 
 
 def pair_rows(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Attach both prepared features to (feature_a, feature_b)."""
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"feature_{p}" if c == "feature_id" else f"{p}_{c}") for c in df.columns])
-
-    return pairs.join(side(a, "a"), "feature_a").join(side(b, "b"), "feature_b")
+    """Attach both prepared features to pairs, by dataset and feature id where the pairs carry both."""
+    for df, p in ((a, "a"), (b, "b")):
+        keys = {c: f"{c.removesuffix('_id')}_{p}" for c in ("feature_id", "dataset_id")}
+        keys = {c: k for c, k in keys.items() if c in df.columns and k in pairs.columns}
+        side = df.select(*[F.col(c).alias(keys.get(c, f"{p}_{c}")) for c in df.columns])
+        pairs = pairs.join(side, list(keys.values()))
+    return pairs
 
 
 def evidence(rows: DataFrame) -> DataFrame:
@@ -230,11 +232,12 @@ RESULT = [
 ]
 
 
-def match(a: DataFrame, b: DataFrame, model, cap: int | None = 10, fallback: int = 5) -> DataFrame:
-    """End to end: candidates, evidence, classifier, blend. Order with :func:`ranked`."""
+def match(a: DataFrame, b: DataFrame, model, cap: int | None = None, fallback: int = 0) -> DataFrame:
+    """End to end: candidates, evidence, classifier, blend. All candidates unless ``cap`` is given. Order with :func:`ranked`."""
     a, b = cut(prepare(a)), cut(prepare(b))
     pairs = candidates(a, b, cap=cap, fallback=fallback)
-    return score(pair_rows(pairs, a, b), model).select(*RESULT)
+    keys = [c for c in ("dataset_a", "dataset_b") if c in pairs.columns]
+    return score(pair_rows(pairs, a, b), model).select(*RESULT, *keys)
 
 
 def ranked(matches: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ from plotweave.session import cut
 MIN_CELL = 0.0005
 GROWTH = 4
 CANDIDATE_PAD = 0.0002
-CANDIDATE_CAP = 10
-FALLBACK = 5
 
 
 def _level(box: Column, cell: float) -> Column:
@@ -100,51 +98,60 @@ def grid_join(
     return pairs.select(columns)
 
 
+def _ids(df: DataFrame, side: str) -> list[Column]:
+    """feature_id, and dataset_id if the layer has one, under a side suffix: together they name a feature."""
+    return [F.col(c).alias(f"{c.removesuffix('_id')}_{side}") for c in ("feature_id", "dataset_id") if c in df.columns]
+
+
 def candidates(
-    a: DataFrame, b: DataFrame, pad: float = CANDIDATE_PAD, cap: int | None = CANDIDATE_CAP, fallback: int = FALLBACK
+    a: DataFrame, b: DataFrame, pad: float = CANDIDATE_PAD, cap: int | None = None, fallback: int = 0
 ) -> DataFrame:
     """Candidate pairs (feature_a, feature_b, distance, fallback) between two layers.
 
-    Layers carry feature_id, minx..maxy, cx, cy. Boxes of A grown by ``pad`` meet boxes
-    of B; the nearest ``cap`` per A stay, ties by id. An A without any partner is paired
-    with the first ``fallback`` features of B. Copies of one shape in B are cut to the
-    first ``cap`` before the join: no A can keep more of them than that.
+    Layers carry feature_id, minx..maxy, cx, cy; with dataset_id on a layer, pairs carry
+    dataset_a or dataset_b as well. Boxes of A grown by ``pad`` meet boxes of B. All
+    pairs are given unless ``cap`` asks for the nearest per A, ties by id; copies of one
+    shape in B are then cut to the first ``cap`` before the join, as no A can keep more of
+    them. ``fallback`` pairs an A without any partner with so many first features of B.
     """
     box = F.struct("minx", "miny", "maxx", "maxy")
     right = b.where("minx is not null").select(
-        F.col("feature_id").alias("feature_b"), box.alias("rbox"), F.col("cx").alias("bx"), F.col("cy").alias("by")
+        *_ids(b, "b"), box.alias("rbox"), F.col("cx").alias("bx"), F.col("cy").alias("by")
     )
     if cap is not None:
         same_shape = Window.partitionBy("rbox", "bx", "by").orderBy("feature_b")
         right = right.withColumn("_n", F.row_number().over(same_shape)).where(F.col("_n") <= cap).drop("_n")
     left = a.where("minx is not null").select(
-        F.col("feature_id").alias("feature_a"),
+        *_ids(a, "a"),
         expand_bbox(box, pad).alias("lbox"),
         F.col("cx").alias("ax"),
         F.col("cy").alias("ay"),
     )
-    near = grid_join(left, right).select(
-        "feature_a", "feature_b", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("distance")
-    )
+    ids = [c for c in (*left.columns, *right.columns) if c.startswith(("feature_", "dataset_"))]
+    near = grid_join(left, right).select(*ids, F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("distance"))
     if cap is not None:
-        order = Window.partitionBy("feature_a").orderBy("distance", "feature_b")
+        order = Window.partitionBy(*[c for c in ids if c.endswith("_a")]).orderBy("distance", "feature_b")
         near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
     near = near.withColumn("fallback", F.lit(False))
-    return near.unionByName(_fallback(a, b, near, fallback)) if fallback else near
+    if not fallback:
+        return near
+    near = cut(near)  # read twice: as the result and to see who is alone
+    return near.unionByName(_fallback(a, b, near, fallback))
 
 
 def _fallback(a: DataFrame, b: DataFrame, near: DataFrame, n: int) -> DataFrame:
     """A without partner x the first n of B; the B side is n rows by construction."""
     first = (
-        b.select(F.col("feature_id").alias("feature_b"))
+        b.select(*_ids(b, "b"))
         .orderBy("feature_b")
         .limit(n)
         .withColumn("_slot", F.row_number().over(Window.orderBy("feature_b")))
     )
-    alone = a.select(F.col("feature_id").alias("feature_a")).join(near.select("feature_a"), "feature_a", "left_anti")
+    names = a.select(*_ids(a, "a"))
+    alone = names.join(near.select(*names.columns), names.columns, "left_anti")
     slots = alone.withColumn("_slot", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    return slots.join(F.broadcast(first), "_slot").select(
-        "feature_a", "feature_b", F.lit(None).cast("double").alias("distance"), F.lit(True).alias("fallback")
+    return slots.join(F.broadcast(first), "_slot").drop("_slot").withColumns(
+        {"distance": F.lit(None).cast("double"), "fallback": F.lit(True)}
     )
 
 

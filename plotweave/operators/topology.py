@@ -77,9 +77,11 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
     """Snap a polygon layer to the vertices of a reference layer, or to itself.
 
     Every vertex moves to the nearest reference vertex within ``tol``; reference vertices
-    close to a remaining edge are inserted into it. Within a layer, a feature snaps to
+    close to a remaining edge are inserted into it. Within a layer, a vertex moves to
     features that come after it, the last one in order first: the outcome of the
-    pair-by-pair loop for separate pairs, in one pass. Returns (layer, fixes).
+    pair-by-pair loop for separate pairs, in one pass. Vertices of all other features,
+    where they lie after moving, are inserted into edges, so a T-junction closes in
+    either order of its features. Returns (layer, fixes).
     """
     own = ref is None
     layer = cut(layer)
@@ -114,7 +116,13 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
     length2 = ex * ex + ey * ey
     t = ((F.col("rx") - F.col("x")) * ex + (F.col("ry") - F.col("y")) * ey) / length2
     off = F.abs((F.col("rx") - F.col("x")) * ey - (F.col("ry") - F.col("y")) * ex) / F.sqrt(length2)
-    beside = grid_join(edges.withColumn("lbox", box), anchors).where(later & (off <= tol) & (t > 0) & (t < 1))
+    if own:
+        anchors = moved.groupBy(F.col("x").alias("rx"), F.col("y").alias("ry")).agg(
+            F.max("idx").alias("rank"), F.min("idx").alias("least")
+        )
+        anchors = anchors.withColumn("rbox", _spot("rx", "ry"))
+    others = (F.col("rank") != F.col("idx")) | (F.col("least") != F.col("idx")) if own else F.lit(True)
+    beside = grid_join(edges.withColumn("lbox", box), anchors).where(others & (off <= tol) & (t > 0) & (t < 1))
     corners = moved.select("idx", F.col("x").alias("rx"), F.col("y").alias("ry")).distinct()
     beside = beside.join(corners, ["idx", "rx", "ry"], "left_anti")
     inserted = beside.groupBy("idx", "rx", "ry").agg(
@@ -255,6 +263,18 @@ def audit(layer: DataFrame, overlaps: DataFrame, found: DataFrame) -> DataFrame:
     return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 
+def repair_layer(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Invalid geometry made valid: (layer, ledger rows)."""
+    invalid = ~is_empty("geom") & ~F.coalesce(k.is_valid("geom"), F.lit(False))
+    judged = layer.withColumn("_bad", invalid)
+    judged = cut(judged.withColumn("_fixed", k.make_valid(F.when(F.col("_bad"), F.col("geom")))))
+    fixes = judged.where("_bad").select(
+        *_fix("make_valid", F.lit("Repaired self-intersection / invalid ring via make_valid"), F.lit(0.0), F.lit(0))
+    )
+    now = judged.withColumn("geom", F.when(F.col("_bad"), F.col("_fixed")).otherwise(F.col("geom")))
+    return now.drop("_bad", "_fixed"), fixes
+
+
 def correct_topology(
     layer: DataFrame,
     ref: DataFrame | None = None,
@@ -272,14 +292,7 @@ def correct_topology(
     pre_overlaps, pre_gaps = cut(detect_overlaps(layer)), cut(detect_gaps(layer, max_gap_m2))
     before = audit(layer, pre_overlaps, pre_gaps)
 
-    invalid = ~is_empty("geom") & ~F.coalesce(k.is_valid("geom"), F.lit(False))
-    judged = layer.withColumn("_bad", invalid)
-    judged = cut(judged.withColumn("_fixed", k.make_valid(F.when(F.col("_bad"), F.col("geom")))))
-    fixes = judged.where("_bad").select(
-        *_fix("make_valid", F.lit("Repaired self-intersection / invalid ring via make_valid"), F.lit(0.0), F.lit(0))
-    )
-    now = judged.withColumn("geom", F.when(F.col("_bad"), F.col("_fixed")).otherwise(F.col("geom"))).drop("_bad", "_fixed")
-
+    now, fixes = repair_layer(layer)
     for target in [None] if ref is None else [ref, None]:
         now, more = snap(now, target, tol)
         fixes = fixes.unionByName(more)

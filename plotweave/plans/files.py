@@ -131,14 +131,23 @@ def s7(spark, sf):
     return rows.select("id", "dataset_type", "source_name", "filename")
 
 
-@query("s8_write_geojson", with_sql(C, f"SELECT feature_id, 'override' AS owner, {AREA_SQL} FROM fx_cadastral"))
+@query(
+    "s8_write_geojson",
+    with_sql(C, f"SELECT feature_id, 'override' AS owner, {AREA_SQL}, k AS idx, k%2=0 AS even, concat('line', chr(10), '\"', CAST(k AS VARCHAR)) AS note FROM fx_cadastral"),
+)
 def s8(spark, sf):
-    """Written as GeoJSON lines and read back; the attribute wins over the column of the same name."""
+    """Written as GeoJSON lines and read back; the attribute wins over the column of the same name.
+
+    Numbers and booleans are parsed as such, which quoted ones would not survive.
+    """
     path = fresh(spark)
     attributes = F.create_map(F.lit("owner"), F.lit("override"))
-    wr.write_geojson(ly.cadastral(spark, sf).withColumn("attributes", attributes), path)
-    rows = rd.read_geojson_lines(spark, path)
-    return rows.select(F.col("properties")["feature_id"].alias("feature_id"), F.col("properties")["owner"].alias("owner"), _nano())
+    note = F.concat(F.lit('line\n"'), F.col("idx").cast("string"))
+    rows = ly.cadastral(spark, sf).withColumns({"attributes": attributes, "even": F.col("idx") % 2 == 0, "note": note})
+    wr.write_geojson(rows, path)
+    typed = spark.read.schema("id string, properties struct<feature_id:string,owner:string,idx:bigint,even:boolean,note:string>").json(path)
+    shapes = rd.read_geojson_lines(spark, path).select(F.col("properties")["feature_id"].alias("feature_id"), _nano())
+    return typed.select("properties.*").join(shapes, "feature_id")
 
 
 @query("s10_registry_geojson", with_sql(HV, HARM_SQL + "SELECT harmonized_id, parcel_id FROM h"))
@@ -149,13 +158,13 @@ def s10(spark, sf):
     return rd.read_geojson_lines(spark, path).select(props["feature_id"].alias("harmonized_id"), props["parcel_id"].alias("parcel_id"))
 
 
-@query("s12_write_layer", with_sql("fx_building", "SELECT dataset_id, count(*) AS n FROM fx_building GROUP BY 1"))
+@query("s12_write_layer", with_sql("fx_building", "SELECT dataset_id, feature_id FROM fx_building"))
 def s12(spark, sf):
     """Written twice; the second run replaces the first."""
     path = fresh(spark)
     for _ in range(2):
         wr.write_layer(ly.buildings(spark, sf), path)
-    return spark.read.parquet(path).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).select("dataset_id", "feature_id")
 
 
 @query(
@@ -167,19 +176,21 @@ def s13(spark, sf):
     return wr.replace_dataset(stored, stored.where("dataset_id = 2").withColumn("renewed", F.lit(True)))
 
 
-@query("x1_stream_ingest", with_sql(C, "SELECT k%4 AS dataset_id, count(*) AS n FROM fx_cadastral GROUP BY 1"))
+@query(
+    "x1_stream_ingest",
+    with_sql(C, "SELECT k%4 AS dataset_id, CASE WHEN k%4=1 THEN 2 ELSE 1 END AS upload_id, feature_id FROM fx_cadastral WHERE k%4 <> 1 OR k%8 = 1"),
+)
 def x1(spark, sf):
-    """Uploads as a file stream; each micro-batch replaces its datasets, so a repeat changes nothing."""
+    """Two hundred files of four datasets over several micro-batches, then a newer upload of one, and a run without news."""
     inbox, store, state = fresh(spark), fresh(spark), fresh(spark)
-    rows = ly.cadastral(spark, sf).select((F.col("idx") % 4).alias("dataset_id"), "feature_id")
-    rows.repartition("dataset_id").write.json(inbox)
-
-    def handle(batch: DataFrame, _: int) -> None:
-        wr.write_layer(batch, store)
-
-    uploads = jobs.stream_uploads(spark, inbox, "dataset_id long, feature_id string")
-    jobs.run_ingest(uploads, state, handle).awaitTermination()
-    return spark.read.parquet(store).groupBy(F.col("dataset_id").cast("long").alias("dataset_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = ly.cadastral(spark, sf).select((F.col("idx") % 4).alias("dataset_id"), F.lit(1).alias("upload_id"), "feature_id", "idx")
+    newer = rows.where("idx % 8 = 1").withColumn("upload_id", F.lit(2))
+    for part, files in ((rows, 200), (newer, 100)):
+        part.drop("idx").repartition(files).write.mode("append").json(inbox)
+        for _ in range(2):
+            uploads = jobs.stream_uploads(spark, inbox, "dataset_id long, upload_id int, feature_id string")
+            jobs.run_ingest(uploads, store, state).awaitTermination()
+    return jobs.ingested(spark, store)
 
 
 @query(
@@ -192,8 +203,10 @@ def x1(spark, sf):
     ),
 )
 def x2(spark, sf):
-    inbox, name = fresh(spark), f"reviews_{uuid.uuid4().hex}"
+    """Reviews arrive in several files and batches; the state is a table in shared storage."""
+    inbox, store, state = fresh(spark), fresh(spark), fresh(spark)
     table = view(spark, sf, "fx_review")
-    table.write.parquet(inbox)
-    jobs.run_reviews(spark.readStream.schema(table.schema).parquet(inbox), name, fresh(spark)).awaitTermination()
-    return spark.table(name)
+    table.repartition(8).write.parquet(inbox)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 3).parquet(inbox)
+    jobs.run_reviews(stream, store, state).awaitTermination()
+    return jobs.stored_reviews(spark, store)

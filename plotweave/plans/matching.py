@@ -50,13 +50,13 @@ HAUS = f"greatest({_corner('a', '', 'b')}, {_corner('b', '', 'a')})"
 def near_rows(spark, sf):
     """Candidate pairs with both prepared features."""
     a, b = sc.prepare(ly.cadastral(spark, sf)), sc.prepare(ly.municipal(spark, sf))
-    return sc.pair_rows(sj.candidates(a, b, cap=None, fallback=0), a, b)
+    return sc.pair_rows(sj.candidates(a, b), a, b)
 
 
 @query("j1_candidates", with_sql(PAIR_VIEWS, NEAR + "SELECT feature_a, feature_b FROM near"))
 def j1(spark, sf):
     a, b = with_stats(ly.cadastral(spark, sf)), with_stats(ly.municipal(spark, sf))
-    return sj.candidates(a, b, cap=None, fallback=0).select("feature_a", "feature_b")
+    return sj.candidates(a, b).select("feature_a", "feature_b")
 
 
 @query(
@@ -74,7 +74,7 @@ def j1(spark, sf):
 def j2(spark, sf):
     """Parcels moved half a degree east: none has a neighbour, all fall back."""
     a = ly.cadastral(spark, sf).withColumn("geom", map_points("geom", lambda x, y: (x + 0.5, y)))
-    pairs = sj.candidates(with_stats(a), with_stats(ly.municipal(spark, sf)))
+    pairs = sj.candidates(with_stats(a), with_stats(ly.municipal(spark, sf)), fallback=5)
     return pairs.where("fallback").select("feature_a", "feature_b")
 
 
@@ -106,10 +106,7 @@ def j3(spark, sf):
     ),
 )
 def j4(spark, sf):
-    b = with_stats(ly.buildings(spark, sf))
-    top = F.broadcast(rc.match_sources(b).select("dataset_id", "rank"))  # two rows
-    b = b.join(top, "dataset_id")
-    return sj.candidates(b.where("rank = 1"), b.where("rank = 2"), fallback=0).select("feature_a", "feature_b")
+    return rc.source_pairs(with_stats(ly.buildings(spark, sf))).select("feature_a", "feature_b")
 
 
 @query("m1_iou", with_sql(PAIR_VIEWS, NEAR + f"SELECT feature_a, feature_b, round({IOU}, 4) AS iou FROM near"))
@@ -282,18 +279,16 @@ def m12(spark, sf):
     return queues.withColumn("threshold_used", F.lit(90))
 
 
+SIMS = f""", words AS (SELECT DISTINCT lower(lu_a) AS a, lower(lu_b) AS b FROM near),
+        sims AS (SELECT a, b, {lcs_ratio('a', 'b')}/100 AS s FROM words),
+        codes AS (SELECT DISTINCT kh_a AS a, kh_b AS b FROM near WHERE kh_a IS NOT NULL AND kh_b IS NOT NULL),
+        csims AS (SELECT a, b, {lcs_ratio('a', 'b')}/100 AS s FROM codes)"""
+
+
 def heuristic_bands(spark, sf):
-    """First slice: candidates, overlap, distance and area evidence, weighted, classified, counted."""
-    rows = near_rows(spark, sf).withColumn("inter", k.intersection_area("a_geom", "b_geom"))
-    parts = {
-        "geometry": F.round(sc.iou("inter", "a_area_deg2", "b_area_deg2"), 4),
-        "proximity": F.round(sc.proximity("a_cx", "a_cy", "b_cx", "b_cy"), 4),
-        "area": F.round(sc.area_similarity("a_area", "b_area"), 4),
-        "hausdorff": F.lit(0.0),
-        "attributes": F.lit(0.0),
-        "reliability": F.lit(0.885),
-    }
-    return an.band_counts(rows.withColumn("score", F.bround(sc.heuristic(parts) / 0.7, 0)))
+    """First slice: candidates, all six evidences, weighted, classified, counted."""
+    rows = sc.components(sc.evidence(near_rows(spark, sf)))
+    return an.band_counts(rows.withColumn("score", F.bround(F.round("heuristic", 9), 0)))
 
 
 @query(
@@ -301,8 +296,11 @@ def heuristic_bands(spark, sf):
     with_sql(
         PAIR_VIEWS,
         NEAR
-        + f""", s AS (SELECT round_even((0.25e0*round({IOU},4) + 0.2e0*round(greatest(0e0, least(1e0, 1e0-distance/0.01e0)),4)
-          + 0.15e0*round({AREA_SIM},4) + 0.1e0*0.885e0)*100/0.7e0, 0) AS score FROM near)
+        + SIMS
+        + f""", s AS (SELECT round_even(round((0.25e0*round({IOU},4) + 0.2e0*round(greatest(0e0, least(1e0, 1e0-distance/0.01e0)),4)
+          + 0.15e0*round({AREA_SIM},4) + 0.15e0*round(greatest(0e0, least(1e0, 1e0 - {HAUS}/0.005e0)), 4)
+          + 0.15e0*round(CASE WHEN c.s IS NULL THEN s.s ELSE (s.s + c.s)/2 END, 4) + 0.1e0*0.885e0)*100, 9), 0) AS score
+          FROM near JOIN sims s ON lower(lu_a) = s.a AND lower(lu_b) = s.b LEFT JOIN csims c ON kh_a = c.a AND kh_b = c.b)
         SELECT count(*) AS total_matches, count(*) FILTER (WHERE score >= 90) AS high_confidence,
           count(*) FILTER (WHERE score >= 70 AND score < 90) AS review_required,
           count(*) FILTER (WHERE score < 70) AS unmatched FROM s""",
@@ -433,6 +431,6 @@ def j8(spark, sf):
 def j14(spark, sf):
     """Parcels without partner (boxes shrunk, so holes in the municipal layer show) against its extent."""
     a, b = with_stats(ly.cadastral(spark, sf)), with_stats(ly.municipal(spark, sf))
-    near = sj.candidates(a, b, pad=-0.00035, cap=None, fallback=0)
+    near = sj.candidates(a, b, pad=-0.00035)
     extent = b.agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), (F.max("maxx") - 0.02).alias("x1"), F.max("maxy").alias("y1"))
     return sj.expected_absence(a, near, extent.select(rect("x0", "y0", "x1", "y1").alias("geom")))

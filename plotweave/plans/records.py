@@ -9,6 +9,7 @@ from plotweave.operators import analytics as an
 from plotweave.operators import components as cc
 from plotweave.operators import reconcile as rc
 from plotweave.operators.harmonize import harmonize
+from plotweave.operators.topology import correct_topology
 from plotweave.plans import layers as ly
 from plotweave.plans.registry import query
 from plotweave.sources.fixtures import VIEWS, view, with_sql
@@ -295,12 +296,11 @@ def t15(spark, sf):
     "w1_fair_share",
     with_sql(
         "fx_building",
-        """SELECT dataset_id, feature_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY feature_id) AS n
-        FROM fx_building) t WHERE n <= 40""",
+        "SELECT dataset_id, feature_id FROM fx_building",
     ),
 )
 def w1(spark, sf):
-    return rc.limit_per_dataset(ly.buildings(spark, sf), 40).select("dataset_id", "feature_id")
+    return rc.limit_per_dataset(ly.buildings(spark, sf)).select("dataset_id", "feature_id")
 
 
 @query(
@@ -323,8 +323,7 @@ def w2(spark, sf):
         "fx_match",
         """, c AS (SELECT *, 'cadastral' AS queue_kind FROM fx_match), b AS (SELECT concat('B1-', feature_a) AS feature_a,
           concat('B2-', feature_b) AS feature_b, 100 - score AS score, 'building' AS queue_kind FROM fx_match)
-        SELECT * FROM (SELECT feature_a, feature_b, score, queue_kind FROM c ORDER BY score DESC, feature_a, feature_b LIMIT 50)
-        UNION ALL SELECT * FROM (SELECT feature_a, feature_b, score, queue_kind FROM b ORDER BY score DESC, feature_a, feature_b LIMIT 50)""",
+        SELECT feature_a, feature_b, score, queue_kind FROM c UNION ALL SELECT feature_a, feature_b, score, queue_kind FROM b""",
     ),
 )
 def w3(spark, sf):
@@ -334,7 +333,7 @@ def w3(spark, sf):
         F.concat(F.lit("B2-"), "feature_b").alias("feature_b"),
         (100 - F.col("score")).alias("score"),
     )
-    return rc.balanced_queue(c, b, 50)
+    return rc.balanced_queue(c, b)
 
 
 @query(
@@ -361,24 +360,17 @@ def w7(spark, sf):
 @query(
     "r12_topology_impact",
     with_sql(
-        "fx_match fx_cadastral",
-        """, s AS (SELECT count(*) FILTER (WHERE k%7=0) AS v, count(*) FILTER (WHERE k%400=1) AS o, count(*) FILTER (WHERE k%500=1) AS g FROM fx_cadastral),
-        m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_a ORDER BY score, feature_b DESC) AS n FROM fx_match) t WHERE n = 1),
-        r AS (SELECT m.*, least(99e0, round(score + least(v,12)*0.4e0 + o*4e0 + g*3e0 + (o+g)*2e0, 1)) AS score_after, v+o+g AS fixes FROM m CROSS JOIN s)
+        "fx_match",
+        """, m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_a ORDER BY score, feature_b DESC) AS n FROM fx_match) t WHERE n = 1),
+        r AS (SELECT m.*, least(99e0, round(score + 4.8e0, 1)) AS score_after FROM m)
         SELECT feature_a, feature_b, score AS score_before, score_after, status AS status_before,
-          CASE WHEN score_after >= 75 THEN 'matched' ELSE status END AS status_after, fixes AS fixes_applied FROM r""",
+          CASE WHEN score_after >= 75 THEN 'matched' ELSE status END AS status_after FROM r""",
     ),
 )
 def r12(spark, sf):
-    k = F.col("idx")
-    o, g = F.count_if(k % 400 == 1), F.count_if(k % 500 == 1)
-    summary = ly.cadastral(spark, sf).agg(
-        F.count_if(k % 7 == 0).alias("vertices_snapped"),
-        o.alias("overlaps_resolved"),
-        g.alias("gaps_resolved"),
-        (o + g).alias("slivers_cleaned"),
-    )
-    return rc.impact(ly.matches(spark, sf), summary)
+    """Effect of correcting the cadastral layer: it snaps over twelve vertices and leaves nothing to the resolvers."""
+    parcels = ly.cadastral(spark, sf).select("feature_id", "idx", "geom")
+    return rc.impact(ly.matches(spark, sf), correct_topology(parcels)[1]).drop("fixes_applied")
 
 
 @query("a2_conflicts_by_type", with_sql(CONFLICT_VIEWS, CONFLICTS + "SELECT type, count(*) AS n FROM conflicts GROUP BY type"))
@@ -496,11 +488,10 @@ def a8(spark, sf):
         + """, j AS (SELECT comp.c, p.*, 'P-' || CAST(conflict_id%40 AS VARCHAR) AS fa, 'M-' || CAST(conflict_id%30 AS VARCHAR) AS fb
             FROM comp JOIN fx_conflict_point p ON p.conflict_id = comp.node),
         named AS (SELECT c, conflict_id*2 AS o, fa AS f FROM j UNION ALL SELECT c, conflict_id*2+1, fb FROM j),
-        firsts AS (SELECT c, f, min(o) AS o, row_number() OVER (PARTITION BY c ORDER BY min(o)) AS n FROM named GROUP BY c, f),
-        listed AS (SELECT c, string_agg(f, ',' ORDER BY o) AS affected FROM firsts WHERE n <= 5 GROUP BY c)
+        listed AS (SELECT c, f AS parcel, min(o) AS o FROM named GROUP BY c, f)
         SELECT j.c AS cluster_id, round(avg(lon), 6) AS center_lon, round(avg(lat), 6) AS center_lat, count(*) AS conflict_count,
           CASE WHEN bool_or(severity = 'high') THEN 'high' WHEN bool_or(severity = 'medium') THEN 'medium' ELSE 'low' END AS severity,
-          any_value(affected) AS affected FROM j JOIN listed ON j.c = listed.c GROUP BY j.c""",
+          listed.parcel FROM j JOIN listed ON j.c = listed.c GROUP BY j.c, listed.parcel""",
     ),
 )
 def a9(spark, sf):
@@ -508,10 +499,9 @@ def a9(spark, sf):
     rows = view(spark, sf, "fx_conflict_point").withColumns(
         {"feature_a": F.concat(F.lit("P-"), k % 40), "feature_b": F.concat(F.lit("M-"), k % 30)}
     )
-    spots = an.hotspots(rows)
-    return spots.withColumn("affected", F.array_join("affected_parcels", ",")).drop("affected_parcels").orderBy(
-        F.desc("conflict_count"), "cluster_id"
-    )
+    spots, affected = an.hotspots(rows)
+    rows = spots.join(affected.select("cluster_id", "parcel"), "cluster_id").drop("affected_count")
+    return rows.orderBy(F.desc("conflict_count"), "cluster_id", "parcel")
 
 
 @query(

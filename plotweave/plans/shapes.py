@@ -13,7 +13,8 @@ from plotweave.operators import encroachment as en
 from plotweave.operators import harmonize as hz
 from plotweave.operators import topology as tp
 from plotweave.operators import validate as vd
-from plotweave.operators.reconcile import impact
+from plotweave.operators.corrected import correct_harmonized
+from plotweave.operators.reconcile import detect_conflicts
 from plotweave.plans import layers as ly
 from plotweave.plans.matching import OVERLAPS_SQL
 from plotweave.plans.registry import query
@@ -24,10 +25,18 @@ from plotweave.sources.fixtures import corridors, layer, view, with_sql
 C = "fx_cadastral"
 
 
-@query("g1_reproject", with_sql("fx_point_row", "SELECT row_id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM fx_point_row WHERE lat < 60"))
+@query(
+    "g1_reproject",
+    with_sql(
+        "fx_point_row",
+        """SELECT row_id, round(CASE WHEN lon BETWEEN 6 AND 38 AND lat BETWEEN 68 AND 98 THEN lat ELSE lon END, 8) AS lon,
+        round(CASE WHEN lon BETWEEN 6 AND 38 AND lat BETWEEN 68 AND 98 THEN lon ELSE lat END, 8) AS lat FROM fx_point_row""",
+    ),
+)
 def g1(spark, sf):
-    """To the UTM grid and back; only rows whose axes are in order lie in a zone."""
-    rows = view(spark, sf, "fx_point_row").where("lat < 60").withColumn("geom", gm.point_geometry("lon", "lat"))
+    """Axes put in order, then to the UTM grid and back."""
+    rows = view(spark, sf, "fx_point_row").withColumn("geom", gm.point_geometry("lon", "lat"))
+    rows = rows.withColumn("geom", gm.fix_inversion("geom"))
     rows = rows.withColumn("geom", gm.map_points("geom", lambda x, y: pj.to_utm(x, y, 32643)))
     rows = rows.withColumn("geom", pj.to_wgs84("geom", "EPSG:32643")).withColumn("c", gm.centroid("geom"))
     return rows.select("row_id", F.round("c.x", 8).alias("lon"), F.round("c.y", 8).alias("lat"))
@@ -419,19 +428,20 @@ def o9(spark, sf):
     SELECT 'overlap_merge' AS fix_type, count(*) AS n, round(sum(m2), 1) AS delta FROM o WHERE m2 > 1e-6 AND m2 <= 100
     UNION ALL SELECT 'gap_fill', count(*), round(sum(m2), 1) FROM g"""))
 def o10(spark, sf):
-    """Ledgers of the two resolvers, each on the untouched layer."""
-    parcels = _layer(spark, sf)
-    ledger = tp.resolve_overlaps(parcels)[1].unionByName(tp.resolve_gaps(parcels)[1])
-    return ledger.groupBy("fix_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("delta_area_sqm"), 1).alias("delta"))
+    """The ledger of a whole correction run, at a tolerance that leaves overlaps and gaps to the resolvers.
+
+    What is still snapped are vertices that lie on a neighbour's edge already.
+    """
+    fixes = tp.correct_topology(_layer(spark, sf), tol=1e-9)[2]
+    return fixes.where("fix_type <> 'snap'").groupBy("fix_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("delta_area_sqm"), 1).alias("delta"))
 
 
-@query("o7_make_valid_ledger", with_sql(C, "SELECT count(*) FILTER (WHERE k%10=1) AS repaired, count(*) FILTER (WHERE k%10=2) AS empty FROM fx_cadastral"))
+@query(
+    "o7_make_valid_ledger",
+    with_sql(C, "SELECT feature_id, 'Repaired self-intersection / invalid ring via make_valid' AS description FROM fx_cadastral WHERE k%10=1"),
+)
 def o7(spark, sf):
-    kept, dropped = vd.repair(_defects(spark, sf))
-    a = kept.agg(F.count_if("repaired").alias("repaired"))
-    b = dropped.agg(F.count(F.lit(1)).alias("empty"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.agg(F.max("repaired").alias("repaired"), F.max("empty").alias("empty"))
+    return tp.repair_layer(_defects(spark, sf).withColumnRenamed("feature_index", "idx"))[1].select("feature_id", "description")
 
 
 # Harmonized layer -----------------------------------------------------------------------
@@ -445,11 +455,44 @@ def _harmonized(spark, sf):
     return hz.harmonize(ly.matches(spark, sf), ly.cadastral(spark, sf))
 
 
-@query("r8_harmonize", with_sql(HV, HARM_SQL + "SELECT harmonized_id, parcel_id, feature_b AS source_feature_b, owner, land_use, area, confidence FROM h"))
+@query(
+    "r8_harmonize",
+    with_sql(
+        HV,
+        HARM_SQL
+        + """SELECT harmonized_id, parcel_id, h.feature_b AS source_feature_b, h.owner, h.land_use, area, confidence, c.name, c.khasra_no
+        FROM h JOIN fx_cadastral c ON c.feature_id = h.parcel_id""",
+    ),
+)
 def r8(spark, sf):
     return _harmonized(spark, sf).select(
-        "harmonized_id", "parcel_id", "source_feature_b", "owner", "land_use", F.round("area", 2).alias("area"), "confidence"
+        "harmonized_id", "parcel_id", "source_feature_b", "owner", "land_use", F.round("area", 2).alias("area"), "confidence",
+        "name", "khasra_no",
+    )
+
+
+@query(
+    "r8_clashing_ids",
+    with_sql(
+        "fx_cadastral fx_municipal",
+        f""", m AS (SELECT k AS feature_id, 1 AS dataset_id, {ly.RECT_M2} AS area, land_use FROM fx_cadastral
+          UNION ALL SELECT k, 2, {ly.RECT_M2} * area_factor, land_use FROM fx_municipal),
+        p AS (SELECT a.feature_id, a.area AS area_a, b.area AS area_b, a.land_use FROM m a JOIN m b ON a.feature_id = b.feature_id AND a.dataset_id = 1 AND b.dataset_id = 2)
+        SELECT CAST(feature_id AS VARCHAR) AS parcel_id, land_use, round(area_a, 2) AS area, abs(area_a - area_b) > 10 AS conflict FROM p""",
+    ),
+)
+def r8_clash(spark, sf):
+    """Both layers name their parcels by bare numbers: dataset and id together find the right feature."""
+    features = ly.features(spark, sf).withColumn("feature_id", F.col("idx").cast("string"))
+    number = F.col("feature_id")
+    pairs = features.where("dataset_id = 1").select(number).join(features.where("dataset_id = 2").select(number), "feature_id")
+    pairs = pairs.select(
+        number.alias("feature_a"), number.alias("feature_b"), F.lit(1).alias("dataset_a"), F.lit(2).alias("dataset_b"),
+        F.lit(95).alias("score"), F.lit("matched").alias("status"),
     )
+    found = detect_conflicts(pairs, features).select(F.col("feature_a").alias("parcel_id"), F.lit(True).alias("conflict"))
+    rows = hz.harmonize(pairs, features).select("parcel_id", "land_use", F.round("area", 2).alias("area"))
+    return rows.join(found, "parcel_id", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))
 
 
 def _merged(spark, sf):
@@ -479,6 +522,45 @@ def _split(spark, sf):
     return hz.split_parcels(ly.cadastral(spark, sf).drop("area"), requests)
 
 
+@query(
+    "r9_merge_errors",
+    with_sql(
+        C,
+        """, n AS (SELECT count(*) AS n FROM fx_cadastral), g AS (SELECT k//2 AS group_id, count(*) AS members FROM fx_cadastral GROUP BY 1)
+        SELECT group_id, CASE WHEN members < 2 THEN 'At least 2 parcel IDs are required for a parcel merge.'
+          ELSE concat('Parcel with ID ''X-', CAST(group_id*2+1 AS VARCHAR), ''' not found in active registry') END AS error
+        FROM g WHERE members < 2 OR group_id%10 = 3""",
+    ),
+)
+def r9_errors(spark, sf):
+    """Every tenth group names a parcel that does not exist; a group of one is refused."""
+    unknown = (F.floor(F.col("idx") / 2) % 10 == 3) & (F.col("idx") % 2 == 1)
+    groups = ly.cadastral(spark, sf).select(
+        F.floor(F.col("idx") / 2).alias("group_id"), (F.col("idx") % 2).alias("pos"),
+        F.when(unknown, F.concat(F.lit("X-"), "idx")).otherwise(F.col("feature_id")).alias("feature_id"),
+        F.lit(None).cast("string").alias("target_id"), F.lit(None).cast("string").alias("combined_owner"),
+    )
+    return hz.merge_parcels(ly.cadastral(spark, sf), groups)[1]
+
+
+@query(
+    "r10_split_errors",
+    with_sql(
+        C,
+        """SELECT CASE WHEN k%7=0 THEN concat('X-', feature_id) ELSE feature_id END AS feature_id, CAST(k%13 AS INT) AS parts,
+          CASE WHEN k%13 < 2 THEN 'Split must create at least 2 parts.' WHEN k%13 > 10 THEN 'Split must create at most 10 parts.'
+            ELSE concat('Parcel with ID ''X-', feature_id, ''' not found in active registry') END AS error
+        FROM fx_cadastral WHERE k%13 NOT BETWEEN 2 AND 10 OR k%7=0""",
+    ),
+)
+def r10_errors(spark, sf):
+    requests = ly.cadastral(spark, sf).select(
+        F.when(F.col("idx") % 7 == 0, F.concat(F.lit("X-"), "feature_id")).otherwise(F.col("feature_id")).alias("feature_id"),
+        (F.col("idx") % 13).cast("int").alias("parts"), F.lit("vertical").alias("direction"),
+    )
+    return hz.split_parcels(ly.cadastral(spark, sf).drop("area"), requests)[1].select("feature_id", "parts", "error")
+
+
 @query(
     "r10_split_parcels",
     with_sql(
@@ -490,7 +572,7 @@ def _split(spark, sf):
     ),
 )
 def r10(spark, sf):
-    return _split(spark, sf).select("parcel_id", "owner", "area")
+    return _split(spark, sf)[0].select("parcel_id", "owner", "area")
 
 
 def _edits(spark, sf):
@@ -531,31 +613,42 @@ def r13(spark, sf):
     return tp.snap_buildings(b, boundary).select("dataset_id", "feature_id", "snapped", "reconciled_status")
 
 
-@query("r14_correct_harmonized")
-def r14(spark, sf):
-    """Harmonized parcels, corrected, with the effect on every match."""
-    parcels = _harmonized(spark, sf).groupBy("parcel_id").agg(F.min("geom").alias("geom")).select(
-        F.col("parcel_id").alias("feature_id"), F.regexp_extract("parcel_id", r"(\d+)$", 1).cast("long").alias("idx"), "geom"
+def _corrected(spark, sf):
+    custom, gone = _edits(spark, sf)
+    number = F.regexp_extract("parcel_id", r"(\d+)$", 1).cast("long")
+    return correct_harmonized(
+        _harmonized(spark, sf), ly.matches(spark, sf), ly.buildings(spark, sf), gone, custom, order=number
     )
-    _, summary, _, _ = tp.correct_topology(parcels)
-    return impact(ly.matches(spark, sf), summary)
 
 
+@query("r14_correct_harmonized")
+def r14(spark, sf):
+    """The corrected layer, edits included, and the snapped buildings."""
+    done = _corrected(spark, sf)
+    size = F.round(gm.deg2_to_m2(gm.area("geom")), 2).alias("area")
+    parcels = done.layer.select(F.lit("parcel").alias("kind"), F.col("parcel_id").alias("feature_id"), "owner", size)
+    buildings = done.buildings.select(F.lit("building").alias("kind"), "feature_id", F.lit(None).cast("string").alias("owner"), size)
+    return parcels.unionByName(buildings)
+
 
 @query(
     "s9_registry_export",
-    with_sql(HV, HARM_SQL + """SELECT harmonized_id AS "Harmonized ID", parcel_id AS "Parcel ID", owner AS "Owner", land_use AS "Land Use", '' AS "Zone",
-      'certified_reconciled' AS "Status", 'harmonized' AS "Operation" FROM h"""),
+    with_sql(HV, HARM_SQL + """SELECT harmonized_id AS "Harmonized ID", parcel_id AS "Parcel ID", owner AS "Owner", land_use AS "Land Use", '' AS "Zone", '' AS "Address",
+      area AS "Area (sqm)", CAST(CAST(confidence AS INT) AS VARCHAR) AS "Confidence (%)", 'certified_reconciled' AS "Status", 'harmonized' AS "Operation", 14 AS code_length FROM h"""),
 )
 def s9(spark, sf):
-    return wr.registry_rows(_harmonized(spark, sf)).select("Harmonized ID", "Parcel ID", "Owner", "Land Use", "Zone", "Status", "Operation")
+    """All eleven columns; the area text is read back as a number, the parcel code shows its length."""
+    rows = wr.registry_rows(_harmonized(spark, sf))
+    code = F.length("ULPIN / Bhu-Aadhar").alias("code_length")
+    return rows.withColumn("Area (sqm)", F.round(F.col("Area (sqm)").cast("double"), 2)).select("*", code).drop("ULPIN / Bhu-Aadhar")
 
 
 @query(
     "s11_audit_export",
-    with_sql(HV, HARM_SQL + """SELECT harmonized_id AS "Harmonized ID", parcel_id AS "Cadastral Source", feature_b AS "Municipal Source",
-      concat(CAST(CAST(confidence AS INT) AS VARCHAR), '.0%') AS "Confidence", 'certified_reconciled' AS "Status" FROM h"""),
+    with_sql(HV, HARM_SQL + """SELECT harmonized_id AS "Harmonized ID", parcel_id AS "Parcel ID", parcel_id AS "Cadastral Source", feature_b AS "Municipal Source", owner AS "Owner",
+      land_use AS "Classification", '' AS "Zone", '' AS "Address", area AS "Area (m2)",
+      concat(CAST(CAST(confidence AS INT) AS VARCHAR), '%') AS "Confidence", 'certified_reconciled' AS "Status" FROM h"""),
 )
 def s11(spark, sf):
     rows = _harmonized(spark, sf).withColumns({"cadastral_id": F.col("source_feature_a"), "municipal_id": F.col("source_feature_b")})
-    return wr.audit_rows(rows).select("Harmonized ID", "Cadastral Source", "Municipal Source", "Confidence", "Status")
+    return wr.audit_rows(rows).withColumn("Area (m2)", F.round(F.col("Area (m2)").cast("double"), 2))

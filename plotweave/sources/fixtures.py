@@ -1,7 +1,8 @@
 """Deterministic parcel layers derived from the driver tables.
 
 Each view is one SQL text that Spark and DuckDB both accept, so a query and its oracle
-start from the same rows at any scale factor.
+start from the same rows at any scale factor. Every row of a table is used; parcels that
+shall lack a counterpart have it moved away.
 """
 
 from __future__ import annotations
@@ -32,23 +33,24 @@ SELECT k, concat('M-', CAST(k AS VARCHAR(20))) AS feature_id,
   CASE WHEN k%8=0 THEN CAST(k%97 AS VARCHAR(20)) END AS khasra_no,
   CASE WHEN k%6=0 THEN 1.05e0 ELSE 1e0 END AS area_factor
 FROM (SELECT *, p_partkey AS k, p_partkey%50 AS c, (p_partkey - p_partkey%50)/50 AS r,
-        ((p_partkey*37)%21 - 10)*0.000001e0 AS dx, ((p_partkey*53)%21 - 10)*0.000001e0 AS dy
-      FROM part WHERE p_partkey%10 <> 3) t
+        ((p_partkey*37)%21 - 10)*0.000001e0 AS dx, ((p_partkey*53)%21 - 10)*0.000001e0
+        + CASE WHEN p_partkey%10 = 3 THEN 3e0 ELSE 0e0 END AS dy
+      FROM part) t
 """,
     "fx_building": """
 SELECT d AS dataset_id, concat('B', CAST(d AS VARCHAR(20)), '-', CAST(k AS VARCHAR(20))) AS feature_id,
   77.2e0 + c*0.001e0 + 0.0002e0 + (d-1)*0.00001e0 AS x0, 28.6e0 + r*0.001e0 + 0.0002e0 AS y0,
   77.2e0 + c*0.001e0 + 0.0006e0 + (d-1)*0.00001e0 AS x1, 28.6e0 + r*0.001e0 + 0.0006e0 AS y1
-FROM (SELECT c_custkey AS k, c_custkey%50 AS c, (c_custkey - c_custkey%50)/50 AS r, d
+FROM (SELECT c_custkey AS k, c_custkey%50 AS c,
+        (c_custkey - c_custkey%50)/50 + CASE WHEN d = 2 AND c_custkey%9 = 0 THEN 3000 ELSE 0 END AS r, d
       FROM customer CROSS JOIN (SELECT 1 AS d UNION ALL SELECT 2 AS d) s) t
-WHERE d = 1 OR k%9 <> 0
 """,
     "fx_footprint": """
 SELECT k, concat('D-', CAST(k AS VARCHAR(20))) AS feature_id,
   77.2e0 + c*0.001e0 + 0.0001e0 AS x0, 28.6e0 + r*0.001e0 + 0.0001e0 AS y0,
   77.2e0 + (c+1)*0.001e0 + CASE WHEN k%15=0 THEN 0.00005e0 ELSE 0.0000003e0 END AS x1,
   28.6e0 + (r+1)*0.001e0 - 0.0001e0 AS y1
-FROM (SELECT p_partkey AS k, p_partkey%50 AS c, (p_partkey - p_partkey%50)/50 AS r FROM part WHERE p_partkey%5 = 0) t
+FROM (SELECT p_partkey AS k, p_partkey%50 AS c, (p_partkey - p_partkey%50)/50 AS r FROM part) t
 """,
     "fx_corridor": """
 SELECT r_regionkey AS corridor_id, 77.19e0 AS xa, 28.6005e0 + r_regionkey*0.002e0 AS ya,

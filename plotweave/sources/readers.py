@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotweave.functions import kernels as k
 from plotweave.functions.geometry import GEOMETRY, RING, fix_inversion, is_empty, part, point_geometry, polygon
 from plotweave.functions.projection import epsg, to_wgs84
+from plotweave.functions.text import numeric_value
 from plotweave.operators.union import dissolve
 from plotweave.operators.validate import CRS_MISSING, FILE_UNREADABLE
 
@@ -118,7 +119,7 @@ def points_from(df: DataFrame, key: str | None = None) -> DataFrame:
     lat, lon = _pick(df.columns, LAT_COLUMNS), _pick(df.columns, LON_COLUMNS)
     if lat is None or lon is None:
         raise ValueError("no recognized coordinate columns (latitude/longitude, lat/lon, x/y) or WKT column")
-    rows = df.withColumns({"_lat": F.col(lat).try_cast("double"), "_lon": F.col(lon).try_cast("double")})
+    rows = df.withColumns({"_lat": numeric_value(F.col(lat)), "_lon": numeric_value(F.col(lon))})
     rows = swap_columns(rows, "_lat", "_lon", key)
     rows = rows.where("_lat is not null and _lon is not null").withColumn("geom", point_geometry("_lon", "_lat"))
     return rows.withColumn("geom", fix_inversion("geom")).drop("_lat", "_lon")

@@ -38,7 +38,10 @@ AUDIT_COLUMNS = {
 
 
 def _text(df: DataFrame, name: str, default: str = "") -> Column:
+    """Column as text; a whole number has no decimals, so a confidence of 90.0 reads 90."""
     value = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+    if name == "confidence":
+        value = F.regexp_replace(value, r"\.0$", "")
     return F.coalesce(value, F.lit(default))
 
 
@@ -72,22 +75,33 @@ def export_audit_csv(harmonized: DataFrame, path: str) -> None:
     audit_rows(harmonized).write.mode("overwrite").option("header", True).csv(path)
 
 
+def _member(value: Column, name: str) -> Column:
+    """``"name":value`` as JSON text, the value with its own type; null is written as null."""
+    whole = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
 def geojson_rows(layer: DataFrame) -> DataFrame:
-    """One GeoJSON feature text per row; attributes win over columns; null geometry is skipped."""
+    """One GeoJSON feature text per row; attributes win over columns; null geometry is skipped.
+
+    Columns keep their types (numbers, booleans, arrays, structs). Attributes are a map of
+    texts and stay texts.
+    """
     fixed = [c for c in layer.columns if c not in ("geom", "attributes")]
-    pairs = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in fixed]
-    own = F.map_from_entries(F.array(*pairs))
+    members = [_member(F.col(c), c) for c in fixed]
     if "attributes" in layer.columns:
         extra = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
-        own = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(extra, k)), extra)
+        members = [F.when(~F.map_contains_key(extra, c), m) for c, m in zip(fixed, members)]
+        text = F.to_json(extra, {"ignoreNullFields": "false"})
+        members.append(F.when(F.size(extra) > 0, F.substring(text, F.lit(2), F.length(text) - 2)))
     body = F.concat(
-        F.lit('{"type":"Feature","id":'),
-        F.concat(F.lit('"'), F.regexp_replace(F.col("feature_id").cast("string"), r'(["\\\\])', r"\\$1"), F.lit('"')),
+        F.lit('{"type":"Feature",'),
+        _member(F.col("feature_id").cast("string"), "id"),
         F.lit(',"geometry":'),
         to_geojson("geom"),
-        F.lit(',"properties":'),
-        F.to_json(own),
-        F.lit("}"),
+        F.lit(',"properties":{'),
+        F.concat_ws(",", *members),
+        F.lit("}}"),
     )
     return layer.where("geom is not null").select(body.alias("value"))
 

@@ -1,8 +1,10 @@
-"""Incremental ingest and running review state on Structured Streaming."""
+"""Incremental ingest and running review state on Structured Streaming.
 
-from __future__ import annotations
+Both jobs append one folder per micro-batch to a store in shared storage. A batch that
+is run again after a failure overwrites its own folder, so nothing is lost or doubled.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,36 +12,62 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plotweave.operators.reconcile import canonical_decision
 
+FILES_PER_BATCH = 64
+
+
+def stream_uploads(spark: SparkSession, folder: str, schema: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Uploaded GeoJSON-lines files as a stream; ``files_per_batch`` sets the pace, every file is read."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
-def stream_uploads(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Uploaded GeoJSON-lines files as a stream, file by file."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).json(folder)
 
+def _append(store: str):
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-def run_ingest(
-    uploads: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]
-) -> StreamingQuery:
-    """Process everything that has arrived, then stop; ``handle`` must be safe to repeat per batch."""
+    return handle
+
+
+def _run(rows: DataFrame, store: str, checkpoint: str, mode: str) -> StreamingQuery:
     return (
-        uploads.writeStream.foreachBatch(handle)
+        rows.writeStream.foreachBatch(_append(store))
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def run_ingest(uploads: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Append everything that has arrived to ``store``, then stop.
+
+    Rows carry dataset_id and upload_id; an upload may span any number of files and batches.
+    """
+    return _run(uploads, store, checkpoint, "append")
+
+
+def ingested(spark: SparkSession, store: str) -> DataFrame:
+    """The stored features: of each dataset all rows of its newest upload, which replaces older ones."""
+    rows = spark.read.parquet(store).drop("batch")
+    newest = rows.groupBy("dataset_id").agg(F.max("upload_id").alias("upload_id"))
+    return rows.join(newest, ["dataset_id", "upload_id"], "left_semi")
+
+
 def review_state(reviews: DataFrame) -> DataFrame:
     """Latest canonical decision per conflict; by event time, so late rows lose on their own.
 
-    Works on a stream (update or complete mode) and on a table alike.
+    Works on a stream (update mode) and on a table alike.
     """
-    last = F.max_by(F.struct("event_id", canonical_decision("decision").alias("decision")), F.struct("ts", "event_id"))
-    return reviews.groupBy("conflict_id").agg(last.alias("_r")).select("conflict_id", "_r.event_id", "_r.decision")
+    last = F.max_by(
+        F.struct("event_id", "ts", canonical_decision("decision").alias("decision")), F.struct("ts", "event_id")
+    )
+    return reviews.groupBy("conflict_id").agg(last.alias("_r")).select("conflict_id", "_r.event_id", "_r.ts", "_r.decision")
+
+
+def run_reviews(reviews: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Maintain the review state: each batch writes the conflicts whose state it changed, from the executors."""
+    return _run(review_state(reviews), store, checkpoint, "update")
 
 
-def run_reviews(reviews: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Maintain the review state as an in-memory table for inspection; sinks for production use update mode."""
-    writer = review_state(reviews).writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+def stored_reviews(spark: SparkSession, store: str) -> DataFrame:
+    """Latest state per conflict in ``store``."""
+    return review_state(spark.read.parquet(store).drop("batch")).drop("ts")

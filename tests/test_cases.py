@@ -221,7 +221,8 @@ def test_copies_do_not_change_candidates(spark):
     a = gm.with_stats(rects(spark, [(i, f"a{i:02d}", 77.0 + i * 1e-4, 28.0, 77.001 + i * 1e-4, 28.001) for i in range(5)]))
     b = gm.with_stats(rects(spark, [(i, f"b{i:03d}", 77.0, 28.0, 77.001, 28.001) for i in range(60)] + [(99, "z", 77.0002, 28.0, 77.0012, 28.001)]))
     got = {}
-    for r in sj.candidates(a, b).collect():
+    assert sj.candidates(a, b).count() == 5 * 61  # all of them unless a cap is asked for
+    for r in sj.candidates(a, b, cap=10).collect():
         got.setdefault(r.feature_a, set()).add(r.feature_b)
     copies = {f"b{i:03d}" for i in range(10)}
     first9 = {f"b{i:03d}" for i in range(9)}
@@ -296,3 +297,45 @@ def test_copies_lose_a_shared_piece_once(spark):
     assert got == sorted([(5, "c0"), (99, "c0"), *later])
     width = {r.idx: r.b.maxx - r.b.minx for r in fixed.select("idx", gm.bbox("geom").alias("b")).collect()}
     assert width[0] == pytest.approx(1e-4) and width[5] == pytest.approx(1e-4) and width[38] == pytest.approx(9e-5)
+
+
+def test_t_junction_closes_in_either_order(spark):
+    """The corner of one parcel near the long edge of another is inserted there, whichever comes first."""
+    long_one = ("long", 77.0, 28.0, 77.002, 28.001)
+    short_one = ("short", 77.0005, 28.00102, 77.0015, 28.002)
+    for order in ([long_one, short_one], [short_one, long_one]):
+        layer = rects(spark, [(i, *r) for i, r in enumerate(order)])
+        snapped, fixes = tp.snap(layer)
+        n = {r.feature_id: r.n for r in snapped.select("feature_id", gm.n_vertices("geom").alias("n")).collect()}
+        assert n["long"] == 7 and [r.feature_id for r in fixes.collect()] == ["long"]
+
+
+def test_numbers_of_all_kinds(spark):
+    rows = spark.sql("SELECT true AS b, '12F' AS f, '3d' AS d, ' -1.5e3 ' AS t, '.5' AS h, '' AS e, 7 AS i, CAST(null AS STRING) AS n")
+    got = rows.select(*[tx.numeric_value(F.col(c)).alias(c) for c in rows.columns]).first().asDict()
+    assert got == {"b": None, "f": None, "d": None, "t": -1500.0, "h": 0.5, "e": None, "i": 7.0, "n": None}
+
+
+def test_area_digits_and_spaces_of_all_scripts(spark):
+    rows = spark.createDataFrame([(t,) for t in ("૨ bigha", "২ bigha", "2\u00a0bigha", "２ bigha", "\U0001d7d0 bigha")], "a string")
+    got = {r.parsed.m2 for r in st.area_to_m2(rows, "a").collect()}
+    assert len(got) == 1 and got.pop() > 1000
+
+
+def test_holes_and_parts_must_lie_where_they_belong():
+    def square(x, y, s):
+        return [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+
+    def shape(*parts):
+        return {"type": "MultiPolygon", "parts": [{"shell": square(*p[0]), "holes": [square(*h) for h in p[1:]]} for p in parts]}
+
+    cases = [
+        (shape([(0, 0, 10), (2, 2, 2)]), True),
+        (shape([(0, 0, 10), (20, 2, 2)]), False),  # hole outside its shell
+        (shape([(0, 0, 10), (2, 2, 6), (3, 3, 1)]), False),  # hole in a hole
+        (shape([(0, 0, 10)], [(2, 2, 2)]), False),  # part in a part
+        (shape([(0, 0, 10), (2, 2, 6)], [(3, 3, 1)]), True),  # part in the hole of another
+        (shape([(0, 0, 1)], [(5, 5, 1)]), True),
+        (shape([(0, 0, 1)]), True),
+    ]
+    assert k._valid_rows(rg.geometry_array([c for c, _ in cases])).tolist() == [ok for _, ok in cases]
