@@ -150,7 +150,7 @@ def embedding_links(embeddings: DataFrame, cosine: float = 0.9, pivots: int = PI
     Equal vectors link with each other and are joined once, with their number. Vectors
     that are null, empty, zero or hold null or non-finite components link with nothing,
     and vectors of different lengths do not link. Null ids take no part in component_id
-    while another id is there. Repeated rows count as other vectors, extra columns are
+    while another id is there, and a row without id is not kept. Repeated rows count as other vectors, extra columns are
     not read, an empty table gives no rows.
     """
     rows = cut(
@@ -159,7 +159,7 @@ def embedding_links(embeddings: DataFrame, cosine: float = 0.9, pivots: int = PI
         )
     )
     lone = rows.where("v IS NULL").select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept")
     )
     groups = cut(
         rows.where("v IS NOT NULL")
