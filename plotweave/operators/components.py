@@ -58,26 +58,23 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return marks[0] == marks[1]
 
 
-def match_groups(pairs: DataFrame, min_score: int = 70) -> DataFrame:
-    """Groups of features linked by pairs at or above ``min_score``.
+def match_groups(pairs: DataFrame, min_score: int = 70) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): groups of features linked by pairs at or above ``min_score``.
 
-    ``clustered`` when at least two pairs agree, ``partial_group`` for a single pair.
+    A group is ``clustered`` when at least two pairs agree, ``partial_group`` for a single
+    pair. Members are rows (group_id, feature_id), so a group of any size is no list.
     """
     linked = pairs.where(F.col("score") >= min_score).select("feature_a", "feature_b")
-    parts = connected_components(linked.select(F.col("feature_a").alias("u"), F.col("feature_b").alias("v")))
-    members = parts.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("member_feature_ids"))
+    parts = cut(connected_components(linked.select(F.col("feature_a").alias("u"), F.col("feature_b").alias("v"))))
     links = (
         linked.join(parts, F.col("feature_a") == F.col("node"))
         .groupBy("component")
         .agg(F.count(F.lit(1)).alias("pair_count"))
     )
-    return members.join(links, "component").select(
-        F.col("component").alias("group_id"),
-        "member_feature_ids",
-        F.size("member_feature_ids").alias("member_count"),
-        "pair_count",
-        F.when(F.col("pair_count") >= 2, "clustered").otherwise("partial_group").alias("status"),
-    )
+    groups = parts.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("member_count")).join(links, "component")
+    status = F.when(F.col("pair_count") >= 2, "clustered").otherwise("partial_group").alias("status")
+    members = parts.select(F.col("component").alias("group_id"), F.col("node").alias("feature_id"))
+    return groups.select(F.col("component").alias("group_id"), "member_count", "pair_count", status), members
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:

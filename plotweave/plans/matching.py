@@ -335,24 +335,50 @@ def _matched(spark, sf):
     return sc.match(ly.cadastral(spark, sf), ly.municipal(spark, sf), md.default_model(spark))
 
 
-@query("m8_train_classifier")
+@query(
+    "m8_train_classifier",
+    "SELECT p_partkey AS k, CASE WHEN p_partkey%2 = 0 THEN 'matched' ELSE 'unmatched' END AS mlp_class FROM part",
+)
 def m8(spark, sf):
-    """The trained classifier applied to evidence rows of the part table: agreement by class."""
-    scored = md.predict_pairs(md.default_model(spark), _blend_rows(spark, sf))
-    return scored.groupBy("mlp_class").agg(F.count(F.lit(1)).alias("n"))
+    """The trained classifier on clear-cut evidence: all of it strong, or all of it weak."""
+    k = F.col("p_partkey")
+    value = F.when(k % 2 == 0, 0.9 + (k % 10) / 100).otherwise((k % 10) / 100)
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(
+        k.alias("k"), *[value.alias(n) for n in ("iou", "prox", "area_sim", "haus", "attrs")], F.lit(0.9).alias("rel_a"), F.lit(0.85).alias("rel_b")
+    )
+    return md.predict_pairs(md.default_model(spark), rows).select("k", "mlp_class")
 
 
-@query("m9_predict_pairs")
+@query("m9_predict_pairs", with_sql(PAIR_VIEWS, NEAR + "SELECT feature_a, feature_b, true AS sums_to_one, true AS class_is_likeliest, true AS score_follows FROM near"))
 def m9(spark, sf):
-    rows = sc.evidence(near_rows(spark, sf))
-    return md.predict_pairs(md.default_model(spark), rows).select(
-        "feature_a", "feature_b", "mlp_score", "mlp_class", "mlp_probabilities"
+    """Prediction of every candidate; what must hold whatever the weights."""
+    rows = md.predict_pairs(md.default_model(spark), sc.evidence(near_rows(spark, sf)))
+    p = {c: F.col(f"mlp_probabilities.{c}") for c in md.CLASSES}
+    best = F.greatest(*p.values())
+    mean = p["matched"] * 100 + p["review"] * 60
+    return rows.select(
+        "feature_a",
+        "feature_b",
+        (F.abs(sum(p.values(), F.lit(0.0)) - 1) < 1e-3).alias("sums_to_one"),
+        F.coalesce(*[F.when(F.col("mlp_class") == c, v >= best - 1e-3) for c, v in p.items()]).alias("class_is_likeliest"),
+        (F.abs(F.col("mlp_score") - mean) <= 0.52).alias("score_follows"),
     )
 
 
-@query("m13_match")
+@query("m13_match", with_sql(PAIR_VIEWS, NEAR + "SELECT feature_a, feature_b, true AS in_range, true AS status_follows, true AS blended FROM near"))
 def m13(spark, sf):
-    return sc.ranked(_matched(spark, sf)).select("feature_a", "feature_b", "score", "status", "mlp_class")
+    """The whole run: every candidate once, scores in range, status by score, score near the blend of both opinions or raised by a rule."""
+    score = F.col("score")
+    heuristic = sc.heuristic({n: F.col(f"c_{n}") for n in sc.WEIGHTS})
+    blend = F.greatest(F.lit(0.0), F.least(0.6 * F.col("mlp_score") + 0.4 * heuristic, F.lit(100.0)))
+    raised = score.isin(88, 98) & (score >= blend)
+    return sc.ranked(_matched(spark, sf)).select(
+        "feature_a",
+        "feature_b",
+        score.between(0, 100).alias("in_range"),
+        (F.col("status") == sc.classify(score)).alias("status_follows"),
+        ((F.abs(score - blend) <= 0.51) | raised).alias("blended"),
+    )
 
 
 @query(

@@ -438,8 +438,8 @@ def a13(spark, sf):
 
 
 def a7(spark, sf):
-    groups = cc.match_groups(ly.matches(spark, sf))
-    return groups.select("group_id", "member_count", "pair_count", "status", F.array_join("member_feature_ids", ",").alias("members"))
+    groups, members = cc.match_groups(ly.matches(spark, sf))
+    return groups.join(members, "group_id")
 
 
 def _recursive(views: str, body: str) -> str:
@@ -456,10 +456,10 @@ query(
         b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
         r(node, seen) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.seen = b.u),
         comp AS (SELECT node, min(seen) AS c FROM r GROUP BY node),
-        pairs AS (SELECT c, count(*) AS n FROM e JOIN comp ON e.u = comp.node GROUP BY c)
-        SELECT comp.c AS group_id, CAST(count(*) AS INT) AS member_count, any_value(pairs.n) AS pair_count,
-          CASE WHEN any_value(pairs.n) >= 2 THEN 'clustered' ELSE 'partial_group' END AS status,
-          string_agg(node, ',' ORDER BY node) AS members FROM comp JOIN pairs ON comp.c = pairs.c GROUP BY comp.c""",
+        pairs AS (SELECT c, count(*) AS n FROM e JOIN comp ON e.u = comp.node GROUP BY c),
+        sizes AS (SELECT c, CAST(count(*) AS INT) AS member_count FROM comp GROUP BY c)
+        SELECT comp.c AS group_id, member_count, pairs.n AS pair_count, CASE WHEN pairs.n >= 2 THEN 'clustered' ELSE 'partial_group' END AS status,
+          node AS feature_id FROM comp JOIN pairs ON comp.c = pairs.c JOIN sizes ON comp.c = sizes.c""",
     ),
 )(a7)
 
