@@ -17,10 +17,11 @@ WKT_COLUMNS = ["geometry", "wkt", "geom", "the_geom", "shape"]
 LAT_COLUMNS = ["latitude", "lat", "y", "y_coord", "northing"]
 LON_COLUMNS = ["longitude", "lon", "long", "lng", "x", "x_coord", "easting"]
 
-_FILE = """type string, crs struct<type:string,properties:struct<name:string>>,
-  features array<struct<type:string,id:string,properties:map<string,string>,
-    geometry:struct<type:string,coordinates:string>>>, _corrupt_record string"""
-_FEATURE = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
+_SHAPE = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
+_FILE = f"""type string, crs struct<type:string,properties:struct<name:string>>,
+  features array<struct<type:string,id:string,properties:map<string,string>,geometry:{_SHAPE}>>, _corrupt_record string"""
+_FEATURE = f"type string, properties map<string,string>, geometry {_SHAPE}"
+UNREADABLE_REASON = "Failed to read geospatial file"
 _DEPTH = {
     "Point": "array<double>",
     "MultiPoint": "array<array<double>>",
@@ -61,6 +62,35 @@ def parse_coordinates(kind: str, coordinates: str) -> Column:
     return F.expr(" ".join(text.split())).cast(GEOMETRY)
 
 
+def _members(members: Column, single: str) -> tuple[Column, Column]:
+    """The geometries of one kind, single or multiple, and their coordinate texts as members of a multi-geometry."""
+    own = F.filter(members, lambda m: m["type"].isin(single, f"Multi{single}"))
+
+    def bare(m: Column) -> Column:
+        inner = F.substring(m["coordinates"], F.lit(2), F.length(m["coordinates"]) - 2)
+        return F.when(m["type"] == single, m["coordinates"]).otherwise(inner)
+
+    return own, F.transform(own, bare)
+
+
+def _shape_of(rows: DataFrame, geometry: str) -> DataFrame:
+    """Columns ``_t`` and ``_c``, type and coordinate text of a GeoJSON geometry.
+
+    A collection becomes the multi-geometry of its polygons, or if it has none of its lines
+    or else of its points; that is what the operators can use of it.
+    """
+    shape = F.col(geometry)
+    members = shape["geometries"]
+    kind, text = shape["type"], shape["coordinates"]
+    collection = kind == "GeometryCollection"
+    for single in ("Point", "LineString", "Polygon"):
+        own, inner = _members(members, single)
+        some = collection & (F.size(own) > 0)
+        kind = F.when(some, f"Multi{single}").otherwise(kind)
+        text = F.when(some, F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]"))).otherwise(text)
+    return rows.withColumns({"_t": kind, "_c": text})
+
+
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Feature collections: path, crs, feature_index, properties, geom (as stored)."""
     files = spark.read.schema(_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
@@ -69,14 +99,14 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
         F.col("crs.properties.name").alias("crs"),
         F.posexplode("features").alias("feature_index", "f"),
     )
-    rows = rows.withColumn("_t", F.col("f.geometry.type")).withColumn("_c", F.col("f.geometry.coordinates"))
+    rows = _shape_of(rows, "f.geometry")
     return rows.select("path", "crs", "feature_index", F.col("f.properties").alias("properties"), parse_coordinates("_t", "_c").alias("geom"))
 
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """One feature per line, the splittable form for large layers: properties, geom."""
     rows = spark.read.schema(_FEATURE).json(path)
-    rows = rows.withColumn("_t", F.col("geometry.type")).withColumn("_c", F.col("geometry.coordinates"))
+    rows = _shape_of(rows, "geometry")
     return rows.select("properties", parse_coordinates("_t", "_c").alias("geom"))
 
 
@@ -88,7 +118,7 @@ def file_issues(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("path", F.input_file_name()).where(broken | no_crs).select(
         "path",
         F.lit(None).cast("int").alias("feature_index"),
-        F.when(broken, "Failed to read geospatial file").otherwise("CRS missing, cannot normalize").alias("reason"),
+        F.when(broken, UNREADABLE_REASON).otherwise("CRS missing, cannot normalize").alias("reason"),
         F.when(broken, FILE_UNREADABLE).otherwise(CRS_MISSING).alias("code"),
     )
 
@@ -144,12 +174,26 @@ def swap_columns(df: DataFrame, lat: str, lon: str, key: str | None = None) -> D
 def read_points(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Delimited file with coordinate columns; the WKT form is taken when such a column exists."""
     df = spark.read.option("header", True).option("sep", sep).csv(path)
+    if _no_coordinates(df.columns):  # reported by ``table_issues``
+        return df.where("false").withColumn("geom", F.lit(None).cast(GEOMETRY))
     return from_wkt(df, _pick(df.columns, WKT_COLUMNS)) if _pick(df.columns, WKT_COLUMNS) else points_from(df)
 
 
 def from_wkt(df: DataFrame, column: str) -> DataFrame:
-    """WKT text column to ``geom``: axes checked, invalid polygons rebuilt, unreadable rows dropped."""
+    """WKT text column to ``geom``: axes checked, invalid polygons rebuilt, unreadable rows dropped.
+
+    A collection stands for its polygons.
+    """
     rows = df.withColumn("_w", F.upper(F.trim(F.col(column))))
+    member = r"(?:MULTI)?POLYGON\s*Z?\s*\([^A-DF-Z]*\)"
+    inside = F.regexp_extract("_w", r"^GEOMETRYCOLLECTION\s*Z?\s*\((.*)\)$", 1)
+    found = F.regexp_extract_all(inside, F.lit(f"({member})"), F.lit(1))
+    bodies = F.transform(
+        found,
+        lambda m: F.when(m.startswith("MULTI"), F.regexp_extract(m, r"\((.*)\)", 1)).otherwise(F.regexp_extract(m, r"(\(.*\))", 1)),
+    )
+    flat_collection = F.concat(F.lit("MULTIPOLYGON ("), F.array_join(bodies, ", "), F.lit(")"))
+    rows = rows.withColumn("_w", F.when(F.size(found) > 0, flat_collection).otherwise(F.col("_w")))
     kind = F.regexp_extract("_w", r"^(MULTIPOLYGON|MULTILINESTRING|MULTIPOINT|POLYGON|LINESTRING|POINT)\s*Z?\s*\(", 1)
     body = F.regexp_extract("_w", r"^[A-Z]+\s*Z?\s*(\(.*\))$", 1)
     # "x y, x y" inside parentheses becomes the bracketed coordinate text of GeoJSON.
@@ -180,11 +224,49 @@ def from_wkt(df: DataFrame, column: str) -> DataFrame:
     return out.where("geom is not null").drop(*([column] if column != "geom" else []))
 
 
+def _no_coordinates(columns: list[str]) -> bool:
+    return not _pick(columns, WKT_COLUMNS) and not (_pick(columns, LAT_COLUMNS) and _pick(columns, LON_COLUMNS))
+
+
+def table_issues(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """An issue row for each delimited file whose header names neither coordinates nor a WKT column."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    headers = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    files = spark.read.format("binaryFile").load(path).select("path")
+    names = F.transform(F.split("header", sep), lambda c: F.lower(F.trim(F.translate(c, '"', ""))))
+
+    def has(words: list[str]) -> Column:
+        return F.coalesce(F.arrays_overlap(names, F.array(*[F.lit(w) for w in words])), F.lit(False))
+
+    known = has(WKT_COLUMNS) | (has(LAT_COLUMNS) & has(LON_COLUMNS))
+    rows = files.join(headers.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path", "left")
+    return rows.where(~known).select(
+        "path", F.lit(None).cast("int").alias("feature_index"), F.lit(UNREADABLE_REASON).alias("reason"), F.lit(FILE_UNREADABLE).alias("code")
+    )
+
+
+def kml_issues(spark: SparkSession, path: str) -> DataFrame:
+    """An issue row for each KML file without a placemark that has a geometry."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    good = read_kml(spark, path).where("geom is not null").select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")).distinct()
+    return files.join(good, "path", "left_anti").select(
+        "path", F.lit(None).cast("int").alias("feature_index"), F.lit(UNREADABLE_REASON).alias("reason"), F.lit(FILE_UNREADABLE).alias("code")
+    )
+
+
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """KML placemarks: name, description, geom."""
-    ring = "struct<LinearRing:struct<coordinates:string>>"
-    schema = f"""name string, description string, Point struct<coordinates:string>, LineString struct<coordinates:string>,
-        Polygon struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>"""
+    """KML placemarks: path, name, description, properties (of ExtendedData), geom.
+
+    A MultiGeometry becomes the multi-geometry of its polygons, or else of its lines or points.
+    """
+    spots, ring = "struct<coordinates:string>", "struct<LinearRing:struct<coordinates:string>>"
+    area = f"struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>"
+    schema = f"""name string, description string, Point {spots}, LineString {spots}, Polygon {area},
+        MultiGeometry struct<Point:array<{spots}>,LineString:array<{spots}>,Polygon:array<{area}>>,
+        ExtendedData struct<Data:array<struct<_name:string,value:string>>,
+          SchemaData:struct<SimpleData:array<struct<_VALUE:string,_name:string>>>>"""
     rows = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
 
     def points(text: Column) -> Column:
@@ -193,19 +275,31 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
             words, lambda w: F.struct(F.split(w, ",")[0].cast("double").alias("x"), F.split(w, ",")[1].cast("double").alias("y"))
         )
 
-    holes = F.coalesce(
-        F.transform("Polygon.innerBoundaryIs", lambda b: points(b["LinearRing"]["coordinates"])), F.array().cast(f"array<{RING}>")
-    )
-    shapes = {
-        "Polygon": part(points(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")), holes),
-        "LineString": part(points(F.col("LineString.coordinates"))),
-        "Point": part(points(F.col("Point.coordinates"))),
-    }
+    def polygon_part(shape: Column) -> Column:
+        holes = F.transform(shape["innerBoundaryIs"], lambda b: points(b["LinearRing"]["coordinates"]))
+        holes = F.coalesce(holes, F.array().cast(f"array<{RING}>"))
+        return part(points(shape["outerBoundaryIs"]["LinearRing"]["coordinates"]), holes)
+
+    def open_part(shape: Column) -> Column:
+        return part(points(shape["coordinates"]))
+
+    parts = {"Polygon": polygon_part, "LineString": open_part, "Point": open_part}
     geom = F.lit(None).cast(GEOMETRY)
-    for kind, body in shapes.items():
-        shape = F.struct(F.lit(kind).alias("type"), F.array(body).alias("parts")).cast(GEOMETRY)
-        geom = F.when(F.col(kind).isNotNull(), shape).otherwise(geom)
-    return rows.select("name", "description", geom.alias("geom"))
+
+    def shaped(kind: str, body: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), body.alias("parts")).cast(GEOMETRY)
+
+    for kind in reversed(parts):
+        several = F.col("MultiGeometry")[kind]
+        geom = F.when(F.size(several) > 0, shaped(f"Multi{kind}", F.transform(several, parts[kind]))).otherwise(geom)
+    for kind, body in parts.items():
+        geom = F.when(F.col(kind).isNotNull(), shaped(kind, F.array(body(F.col(kind))))).otherwise(geom)
+    pairs = "array<struct<key:string,value:string>>"
+    data = F.transform("ExtendedData.Data", lambda d: F.struct(d["_name"].alias("key"), d["value"].alias("value")))
+    simple = F.transform("ExtendedData.SchemaData.SimpleData", lambda d: F.struct(d["_name"].alias("key"), d["_VALUE"].alias("value")))
+    both = F.concat(*[F.coalesce(x, F.array().cast(pairs)) for x in (data, simple)])
+    first = F.filter(both, lambda p, i: p["key"].isNotNull() & (F.array_position(F.transform(both, lambda q: q["key"]), p["key"]) == i + 1))
+    return rows.select(F.col("_metadata.file_path").alias("path"), "name", "description", F.map_from_entries(first).alias("properties"), geom.alias("geom"))
 
 
 def assemble_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -339,3 +339,38 @@ def test_holes_and_parts_must_lie_where_they_belong():
         (shape([(0, 0, 1)]), True),
     ]
     assert k._valid_rows(rg.geometry_array([c for c, _ in cases])).tolist() == [ok for _, ok in cases]
+
+
+def test_collections_keep_their_polygons(spark, tmp_path):
+    import json
+
+    square = lambda x: [[[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]]
+    members = [{"type": "Point", "coordinates": [1, 2]}, {"type": "Polygon", "coordinates": square(0)}, {"type": "MultiPolygon", "coordinates": [square(2), square(4)]}]
+    feature = lambda g: json.dumps({"type": "Feature", "properties": {"n": 1}, "geometry": g})
+    lines = [feature({"type": "GeometryCollection", "geometries": m}) for m in (members, members[:1], [])]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    got = [(r.t, r.n) for r in rd.read_geojson_lines(spark, str(tmp_path / "a.json")).select("geom.type", F.size("geom.parts").alias("n")).toDF("t", "n").collect()]
+    assert got[:2] == [("MultiPolygon", 3), ("MultiPoint", 1)] and not (got[2][1] or 0) > 0
+    wkt = "GEOMETRYCOLLECTION (POINT (1 2), POLYGON ((0 0, 1 0, 1 1E0, 0 1, 0 0)), MULTIPOLYGON (((2 0, 3 0, 3 1, 2 1, 2 0)), ((4 0, 5 0, 5 1, 4 1, 4 0))))"
+    row = rd.from_wkt(spark.createDataFrame([(wkt,)], "w string"), "w").select("geom.type", F.size("geom.parts")).first()
+    assert tuple(row) == ("MultiPolygon", 3)
+
+
+def test_kml_multigeometry_and_data(spark, tmp_path):
+    ring = "<outerBoundaryIs><LinearRing><coordinates>0,0 1,0 1,1 0,1 0,0</coordinates></LinearRing></outerBoundaryIs>"
+    data = "<ExtendedData><Data name='owner'><value>A</value></Data><Data name='zone'><value>R1</value></Data></ExtendedData>"
+    (tmp_path / "a.kml").write_text(
+        f"<kml><Document><Placemark><name>m</name>{data}<MultiGeometry><Polygon>{ring}</Polygon><Polygon>{ring}</Polygon></MultiGeometry></Placemark>"
+        f"<Placemark><name>p</name><Point><coordinates>1,2,0</coordinates></Point></Placemark></Document></kml>"
+    )
+    (tmp_path / "b.kml").write_text("<kml><Document></Document></kml>")
+    got = {r.name: (r.properties, r.geom.type, len(r.geom.parts)) for r in rd.read_kml(spark, str(tmp_path)).collect()}
+    assert got == {"m": ({"owner": "A", "zone": "R1"}, "MultiPolygon", 2), "p": ({}, "Point", 1)}
+    assert [r.path.rsplit("/", 1)[1] for r in rd.kml_issues(spark, str(tmp_path)).collect()] == ["b.kml"]
+
+
+def test_tables_without_coordinates_are_issues(spark, tmp_path):
+    for name, text in (("a.csv", "id,Latitude,lon\n1,2,3\n"), ("b.csv", 'id,"WKT"\n1,x\n'), ("c.csv", "id,name\n1,x\n")):
+        (tmp_path / name).write_text(text)
+    assert sorted(r.path.rsplit("/", 1)[1] for r in rd.table_issues(spark, str(tmp_path)).collect()) == ["c.csv"]
+    assert rd.read_points(spark, str(tmp_path / "c.csv")).count() == 0
