@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -30,24 +31,24 @@ LITERAL, NUMBER, UNIT, NAME = range(4)
 
 
 class Words(dict):
-    """word -> (kind, literal hash); kept small by starting afresh."""
+    """word -> kind in the upper bits and a hash of the literal in the lower 60, or -1; kept small by starting afresh."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 1 << 18:
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 19:
             self.clear()
-        core = _EDGES.sub("", word)
+        core = word if word.isalpha() else _EDGES.sub("", word)
         folded = core.casefold()
         kind = LITERAL
-        number = _NUMBER.fullmatch(core)
-        if number and (not number[1] or number[1].lower() in UNITS):
+        if not core.isalpha() and (number := _NUMBER.fullmatch(core)) and (not number[1] or number[1].lower() in UNITS):
             kind = NUMBER
         elif folded in UNITS:
             kind = UNIT
-        elif core[:1].isupper() and any(c.islower() for c in core):
+        elif core[:1].isupper() and not core.isupper():
             kind = NAME
-        value = (kind, xxhash.xxh3_64_intdigest(folded) >> 2) if any(c.isalnum() for c in core) else (-1, 0)
-        self[word] = value
-        return value
+        known = core.isalnum() or any(map(str.isalnum, core))
+        code = kind << 60 | xxhash.xxh3_64_intdigest(folded) >> 4 if known else -1
+        self[word] = code
+        return code
 
 
 _words = Words()
@@ -55,53 +56,62 @@ _rng = np.random.default_rng(23)
 _PLACE = _rng.integers(1 << 61, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(kinds, literal hashes, template hashes) of the words of a text; words without a letter or digit are left out.
+def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, kind, literal hash) of the words of some texts; words without a letter or digit are left out.
 
     In a template numbers, the units after them and capitalised words are placeholders of
     their type; other words stand for themselves, in lower case and without punctuation
     around them. A word that looks like a unit but follows no number is a literal.
     """
-    pairs = [_words[w] for w in text.split()]
-    table = np.array(pairs, np.int64).reshape(-1, 2)
-    table = table[table[:, 0] >= 0]
-    kind, value = table[:, 0].copy(), table[:, 1]
-    stray = (kind == UNIT) & (np.append(-1, kind[:-1]) != NUMBER)
-    kind[stray] = LITERAL
-    return kind, value, np.where(kind == LITERAL, value, kind)
-
-
-def window_hashes(kind: np.ndarray, value: np.ndarray, template: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, hashes) of two families of windows of ``width`` words.
+    words = [(text or "").split() for text in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.fromiter(map(_words.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    row = np.repeat(np.arange(len(texts)), sizes)
+    if (code < 0).any():
+        row, code = row[code >= 0], code[code >= 0]
+    kind = code >> 60
+    unit = np.flatnonzero(kind == UNIT)
+    stray = (unit == 0) | (kind[unit - 1] != NUMBER) | (row[unit - 1] != row[unit])
+    kind[unit[stray]] = LITERAL
+    return row, kind, code & ((1 << 60) - 1)
+
+
+def window_hashes(row: np.ndarray, kind: np.ndarray, value: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of the windows of ``width`` words that lie in one row, in three families.
 
     The first has placeholders for numbers and units only, so that case does not matter.
-    The second has them for names, too; its windows must keep two literals at least,
-    for placeholders alone say nothing, and hold a name.
+    The second has them for names, too; its windows hold a name and keep two literals at
+    least, for placeholders alone say nothing. Windows of next to nothing but numbers make
+    the third, in which the values themselves must agree.
     """
     n = len(kind) - width + 1
     if n <= 0:
         return []
-    plain = np.where(kind == NAME, value, template).astype(np.uint64)
-    named = template.astype(np.uint64)
+    inside = row[:n] == row[width - 1 :]
 
-    def rolled(x, seed):
-        h = np.full(n, seed, np.uint64)
+    def rolled(x, seed, places):
+        every = 4 * len(places) > n  # slices are cheaper than picking most of the places
+        h = np.full(n if every else len(places), seed, np.uint64)
         for k in range(width):
-            h += x[k : k + n] * _PLACE[k % 64] ^ (x[k : k + n] >> np.uint64(17))
+            h += (x[k : k + n] if every else x[places + k]) * _PLACE[k % 64]
             h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return h.view(np.int64)
+        return (h[places] if every else h).view(np.int64)
 
     def count(mask):
         c = np.append(0, np.cumsum(mask))
         return c[width:] - c[:-width]
 
-    number_only = count((kind == LITERAL) | (kind == NAME)) >= 2
-    some = np.flatnonzero((count(kind == NAME) > 0) & (count(kind == LITERAL) >= 2))
-    exact = np.flatnonzero(~number_only)
-    out = [(np.flatnonzero(number_only), rolled(plain, 1 + width)[number_only]), (some, rolled(named, 101 + width)[some])]
-    if len(exact):  # next to nothing but placeholders: the values themselves must agree
-        out.append((exact, rolled(value.astype(np.uint64), 201 + width)[exact]))
+    literal, name = kind == LITERAL, kind == NAME
+    n_literal, n_name = count(literal), count(name)
+    plain = np.where(literal | name, value, kind).view(np.uint64)
+    named = np.where(literal, value, kind).view(np.uint64)
+    enough = n_literal + n_name >= 2
+    out = []
+    for x, seed, mask in ((plain, 1, enough), (named, 101, (n_name > 0) & (n_literal >= 2)), (value.view(np.uint64), 201, ~enough)):
+        places = np.flatnonzero(inside & mask)
+        if len(places):
+            out.append((places, rolled(x, seed + width, places)))
     return out
 
 
@@ -115,45 +125,36 @@ def template_windows(df: DataFrame, key: str, widths: list[int], sieve: np.ndarr
         marks[(sieve & ((1 << 20) - 1))] = True
 
     def run(batch):
-        ids, ws, places, kinds_out, slots = [], [], [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            if not text:
-                continue
-            kind, value, template = canonical(text)
-            for width in widths:
-                for at, h in window_hashes(kind, value, template, width):
-                    if sieve is not None:
-                        ok = marks[h & ((1 << 20) - 1)]
-                        at, h = at[ok], h[ok]
-                        ok = sieve[np.minimum(np.searchsorted(sieve, h), len(sieve) - 1)] == h if len(sieve) else np.zeros(len(h), bool)
-                        at, h = at[ok], h[ok]
-                    if len(at):
-                        ids.append(np.full(len(at), i))
-                        ws.append(h)
-                        places.append(at)
-                        cells = at[:, None] + np.arange(width)
-                        kinds_out += kind[cells].tolist()
-                        slots += value[cells].tolist()
-        if not ids:
-            return None
-        rows = pa.array(np.concatenate(ids))
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(key).take(rows), pa.array(np.concatenate(ws)), pa.array(np.concatenate(places).astype(np.int32)),
-                pa.array(kinds_out, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int64())),
-            ],
-            names=[key, "w", "at", "kinds", "slots"],
-        )
+        row, kind, value = canonical(batch.column("text").to_pylist())
+        first = np.searchsorted(row, np.arange(batch.num_rows))
+        parts = []
+        for width in widths:
+            for at, h in window_hashes(row, kind, value, width):
+                if sieve is not None:
+                    ok = marks[h & ((1 << 20) - 1)]
+                    at, h = at[ok], h[ok]
+                    ok = sieve[np.minimum(np.searchsorted(sieve, h), len(sieve) - 1)] == h if len(sieve) else np.zeros(len(h), bool)
+                    at, h = at[ok], h[ok]
+                if len(at):
+                    cells = at[:, None] + np.arange(width)
+                    columns = [pa.array(x[cells].ravel()) for x in (kind, value)]
+                    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * width)
+                    lists = [pa.ListArray.from_arrays(ends, c) for c in columns]
+                    place = pa.array((at - first[row[at]]).astype(np.int32))
+                    parts.append(pa.RecordBatch.from_arrays(
+                        [batch.column(key).take(pa.array(row[at])), pa.array(h), place, *lists], names=[key, "w", "at", "kinds", "slots"]
+                    ))
+        return pa.Table.from_batches(parts) if parts else None
 
     kind = df.schema[key].dataType.simpleString()
-    return map_texts(df.select(key, "text"), run, f"{key} {kind}, w long, at int, kinds array<int>, slots array<bigint>")
+    return map_texts(df.select(key, "text"), run, f"{key} {kind}, w long, at int, kinds array<bigint>, slots array<bigint>")
 
 
 def _lengths(benchmark: DataFrame) -> DataFrame:
     """(item_id, n): words of each item, from one up."""
 
     def run(batch):
-        n = [len(canonical(t or "")[0]) for t in batch.column("text").to_pylist()]
+        n = np.bincount(canonical(batch.column("text").to_pylist())[0], minlength=batch.num_rows).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column("item"), pa.array(n, pa.int32())], names=["item", "n"])
 
     return map_texts(benchmark.select("item", "text"), run, "item long, n int").where("n > 0")

@@ -11,18 +11,18 @@ def brute(docs, items, width=templates.WINDOW, share=templates.SHARE):
     """Windows of all pairs of texts, slot by slot."""
     out = set()
     for doc_id, text in docs:
-        dk, dv, dt = templates.canonical(text or "")
+        dr, dk, dv = templates.canonical([text])
         for item_id, item in items:
-            ik, iv, it = templates.canonical(item or "")
+            ir, ik, iv = templates.canonical([item])
             if not len(ik) or doc_id is None:
                 continue
             w = min(width, len(ik))
             mine = {}
-            for family, (places, hashes) in enumerate(templates.window_hashes(dk, dv, dt, w)):
+            for places, hashes in templates.window_hashes(dr, dk, dv, w):
                 for p, h in zip(places.tolist(), hashes.tolist()):
                     mine.setdefault(h, []).append(p)
             offsets = {}
-            for places, hashes in templates.window_hashes(ik, iv, it, w):
+            for places, hashes in templates.window_hashes(ir, ik, iv, w):
                 for p, h in zip(places.tolist(), hashes.tolist()):
                     for q in mine.get(h, []):
                         offsets.setdefault(q - p, set()).add((p, q))
