@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.session import cut
+from plotweave.session import cut, discard
 
 # Earth radius and neighbourhood of the hotspot clustering.
 EARTH_KM = 6371.0088
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         )
         after = cut(small.where("u <> v").distinct())
         settled = _same(links, after)
+        discard(links)
         links = after
         if settled:
             break

@@ -58,7 +58,7 @@ def grid_join(
     keys: tuple[str, ...] = (),
     cell: float = MIN_CELL,
     levels: tuple[list[int], list[int]] | None = None,
-    ready: bool = False,
+    ready: bool | str = False,
 ) -> DataFrame:
     """Pairs whose boxes ``lbox`` and ``rbox`` meet, each exactly once.
 
@@ -66,10 +66,14 @@ def grid_join(
     of its larger member, in the one cell that holds the upper of the two lower corners,
     so no distinct is needed afterwards. Both sides are materialized first: they are
     read twice, and boxes of long polygons are costly to recompute. Pass ``ready`` when
-    they already are cheap projections of stored tables.
+    they already are cheap projections of stored tables, ``"left"`` or ``"right"`` if one is.
+    A cell that holds very many boxes is a skewed key; Spark splits its partition and repeats
+    the other side's.
     """
-    if not ready:
-        left, right = cut(left), cut(right)
+    if ready in (False, "right"):
+        left = cut(left)
+    if ready in (False, "left"):
+        right = cut(right)
     left_levels, right_levels = levels or _levels(left, right, cell)
     on = [*keys, "_level", "_cx", "_cy"]
 
@@ -169,8 +173,21 @@ def _boxed(df: DataFrame, prefix: str, pad: float = 0.0) -> DataFrame:
 
 
 def overlay_pairs(a: DataFrame, b: DataFrame, pad: float = 0.0) -> DataFrame:
-    """Box-intersecting pairs with both geometries; the base of every exact predicate below."""
-    return grid_join(_boxed(a, "a", pad), _boxed(b, "b")).drop("lbox", "rbox")
+    """Box-intersecting pairs with both geometries; the base of every exact predicate below.
+
+    A layer joined with itself is stored once.
+    """
+    if a is not b:
+        return grid_join(_boxed(a, "a", pad), _boxed(b, "b")).drop("lbox", "rbox")
+    columns = [c for c in ("feature_id", "idx") if c in a.columns]
+    stored = cut(a.select(*columns, "geom", bbox("geom").alias("box")))
+
+    def side(p: str, box: str, grown: Column) -> DataFrame:
+        names = {"feature_id": f"feature_{p}", "idx": f"idx_{p}", "geom": f"geom_{p}"}
+        return stored.select(*[F.col(c).alias(n) for c, n in names.items() if c in stored.columns], grown.alias(box))
+
+    left = side("a", "lbox", expand_bbox("box", pad) if pad else F.col("box"))
+    return grid_join(left, side("b", "rbox", F.col("box")), ready=True).drop("lbox", "rbox")
 
 
 def intersecting(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -230,12 +247,12 @@ def corridor_pairs(corridors: DataFrame, parcels: DataFrame, radius: float) -> D
     return grid_join(left, right).select("corridor_id", "parcel_id").distinct()
 
 
-def inside_any(points: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Point rows (pid, x, y) lying inside at least one polygon: distinct (keys, pid)."""
+def inside_any(points: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = (), ready: bool | str = False) -> DataFrame:
+    """Point rows (pid, x, y) lying inside at least one polygon: distinct (keys, pid). ``ready`` as for ``grid_join``."""
     spot = F.struct(F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
     left = points.select(*keys, "pid", "x", "y", spot.alias("lbox"))
     right = polygons.select(*keys, "geom", bbox("geom").alias("rbox"))
-    hits = grid_join(left, right, keys).where(k.contains_point("geom", "x", "y"))
+    hits = grid_join(left, right, keys, ready=ready).where(k.contains_point("geom", "x", "y"))
     return hits.select(*keys, "pid").distinct()
 
 

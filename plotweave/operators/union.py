@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plotweave.functions import kernels as k
 from plotweave.operators.spatial_join import grid_join, inside_any
-from plotweave.session import cut
+from plotweave.session import cut, discard
 
 TOUCH = 1e-11
 OFFSET = 1e-10
@@ -125,7 +125,7 @@ def union_boundary(polygons: DataFrame, group: str) -> DataFrame:
         }
     )
     outer = cut(outer)
-    covered = inside_any(outer, shapes.distinct(), (group,))
+    covered = inside_any(outer, shapes.distinct(), (group,), ready="left")
     return outer.join(covered, [group, "pid"], "left_anti").select(group, "x1", "y1", "x2", "y2")
 
 
@@ -143,13 +143,17 @@ def rings(edges: DataFrame, group: str, max_rounds: int = 64) -> DataFrame:
     step = e.join(leaving, [group, "x2", "y2"]).groupBy("id").agg(F.min_by("to", F.struct(turn, c("to"))).alias("next"))
     pieces = cut(e.join(step, "id"))
     jump = pieces.select("id", "next", F.least("id", "next").alias("label"), F.lit(False).alias("moved"))
+    last = None
     for _ in range(max_rounds):
         for _ in range(DOUBLINGS):
             ahead = jump.select(c("id").alias("next"), c("next").alias("after"), c("label").alias("far"))
             jump = jump.join(ahead, "next").select(
                 "id", c("after").alias("next"), F.least("label", "far").alias("label"), (c("far") < c("label")).alias("moved")
             )
-        jump = cut(jump)
+        done, jump = last, cut(jump)
+        last = jump
+        if done is not None:
+            discard(done)
         if jump.where("moved").limit(1).count() == 0:
             break
     else:

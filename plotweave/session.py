@@ -56,3 +56,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that no later step reads."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
