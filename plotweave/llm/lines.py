@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plotweave.llm.common import cut, map_texts, row_key
 
@@ -73,9 +74,10 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = cut(windows(docs, min_words))
     place = F.struct((F.col("k0") == -(1 << 62)).alias("no_id"), "k0", "k1", "k2", "at")
     shared = rows.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("fp")
-    met = rows.join(shared, "fp", "left_semi")
+    # As tables, both are plain sides of a join, whose skewed partitions Spark can split.
+    met = cut(rows.join(cut(shared), "fp", "left_semi"))
     firsts = met.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    firsts = firsts.where("low < high").select("w1", "w2", "low")
+    firsts = cut(firsts.where("low < high").select("w1", "w2", "low"))
     later = met.join(firsts, ["w1", "w2"]).where(place > F.col("low")).select(*_KEY, "at", "n")
     return later.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
 
@@ -121,7 +123,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     last), text and line, keeps it. A document that loses words and has none left is
     dropped; one that had none stays. Texts without repeats stay as they are, also null and
     empty ones. Rows of equal id and text are one document and are treated alike. All
-    columns are kept; an empty table gives no rows.
+    columns are kept, ``n_chars`` follows a changed text; an empty table gives no rows.
     """
     names = [f"line_dedup_{k}" for k in _KEY]
     keyed = docs.select(*docs.columns, *[c.alias(n) for c, n in zip(row_key(), names, strict=True)])
@@ -145,5 +147,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     joined = keyed.join(runs, names, "left")
     hit = joined.where("line_dedup_runs IS NOT NULL").withColumn("text", rest("text", "line_dedup_runs"))
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.NumericType):
+        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     clean = joined.where("line_dedup_runs IS NULL")
     return clean.select(*docs.columns).unionByName(hit.where("text IS NOT NULL").select(*docs.columns))
