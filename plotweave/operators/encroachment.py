@@ -81,13 +81,14 @@ def buffered(lines: DataFrame, metres: float, quad_segs: int = 16) -> DataFrame:
 def row_breaches(
     corridors: DataFrame, parcels: DataFrame, buffer_m: float = 10.0, outline: bool = False
 ) -> DataFrame:
-    """Parcel area inside the right-of-way buffer of each corridor."""
-    radius = buffer_m / METRES_PER_DEGREE
-    pairs = corridor_pairs(corridors, parcels, radius)
-    grown = buffered(corridors, buffer_m).select("corridor_id", F.col("geom").alias("zone"))
-    rows = pairs.join(grown, "corridor_id").join(
-        parcels.select(F.col("feature_id").alias("parcel_id"), F.col("idx"), "geom"), "parcel_id"
-    )
+    """Parcel area inside the right-of-way buffer of each corridor.
+
+    Only the pieces of a corridor near the parcel are grown, pair by pair: a buffer is the
+    union of the buffers of its pieces, so a corridor of any length is never one value.
+    """
+    pairs = corridor_pairs(corridors, parcels, buffer_m / METRES_PER_DEGREE)
+    pairs = buffered(pairs.withColumnRenamed("reach", "geom"), buffer_m).withColumnRenamed("geom", "zone")
+    rows = pairs.join(parcels.select(F.col("feature_id").alias("parcel_id"), F.col("idx"), "geom"), "parcel_id")
     rows = rows.withColumn("_inter", k.intersection_area("zone", "geom")).where("_inter > 1e-16")
     rows = rows.withColumns({"_box": bbox("geom"), "_zone": bbox("zone")})
     low, high = F.greatest("_box.miny", "_zone.miny"), F.least("_box.maxy", "_zone.maxy")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import kernels as k
-from plotweave.functions.geometry import bbox, expand_bbox
+from plotweave.functions.geometry import GEOMETRY, bbox, expand_bbox, part
 from plotweave.session import cut
 
 MIN_CELL = 0.0005
@@ -208,7 +208,7 @@ def neighbours(layer: DataFrame, tolerance: float) -> DataFrame:
 
 
 def line_pieces(lines: DataFrame, max_length: float) -> DataFrame:
-    """Lines cut into straight pieces no longer than ``max_length``: corridor_id, piece."""
+    """Lines cut into straight pieces no longer than ``max_length``: corridor_id, box, s and e (the two ends)."""
     points = F.flatten(F.transform("geom.parts", lambda p: F.zip_with(
         F.slice(p["shell"], 1, F.greatest(F.size(p["shell"]) - 1, F.lit(1))),
         F.slice(p["shell"], F.least(F.size(p["shell"]), F.lit(2)), F.greatest(F.size(p["shell"]) - 1, F.lit(1))),
@@ -233,18 +233,23 @@ def line_pieces(lines: DataFrame, max_length: float) -> DataFrame:
         F.greatest(*ends["x"]).alias("maxx"),
         F.greatest(*ends["y"]).alias("maxy"),
     )
-    return seg.select("corridor_id", box.alias("box"))
+    points = [F.struct(ends["x"][i].alias("x"), ends["y"][i].alias("y")).alias(n) for i, n in enumerate("se")]
+    return seg.select("corridor_id", box.alias("box"), *points)
 
 
 def corridor_pairs(corridors: DataFrame, parcels: DataFrame, radius: float) -> DataFrame:
-    """(corridor, parcel) pairs whose boxes meet once the corridor is grown by ``radius``.
+    """(corridor_id, parcel_id, reach): pairs near each other, ``reach`` the pieces of the corridor near the parcel.
 
-    Corridors enter as short pieces, so a long diagonal does not meet everything in its box.
+    Corridors enter as short pieces, so a long diagonal does not meet everything in its
+    box, and a pair carries the few pieces whose boxes, grown by ``radius``, meet the
+    parcel's; whatever lies within the radius of the parcel lies on them.
     """
-    piece = line_pieces(corridors, 8 * MIN_CELL)
-    left = piece.select("corridor_id", expand_bbox("box", radius).alias("lbox"))
+    left = cut(line_pieces(corridors, 8 * MIN_CELL)).select("corridor_id", "s", "e", expand_bbox("box", radius).alias("lbox"))
     right = parcels.select(F.col("feature_id").alias("parcel_id"), bbox("geom").alias("rbox"))
-    return grid_join(left, right).select("corridor_id", "parcel_id").distinct()
+    near = grid_join(left, right, ready="left").groupBy("corridor_id", "parcel_id").agg(F.collect_set(F.struct("s", "e")).alias("pieces"))
+    lines = F.transform("pieces", lambda p: part(F.array(p["s"], p["e"])))
+    reach = F.struct(F.lit("MultiLineString").alias("type"), lines.alias("parts")).cast(GEOMETRY)
+    return near.select("corridor_id", "parcel_id", reach.alias("reach"))
 
 
 def inside_any(points: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = (), ready: bool | str = False) -> DataFrame:

@@ -407,10 +407,8 @@ def j5(spark, sf):
 def j6(spark, sf):
     """Parcels within 0.00027 degrees of a corridor (no parcel starts beyond a corridor's end)."""
     pairs = sj.corridor_pairs(corridors(spark, sf), ly.cadastral(spark, sf), 0.00027)
-    pairs = pairs.join(corridors(spark, sf).withColumnRenamed("geom", "c"), "corridor_id").join(
-        ly.cadastral(spark, sf).select(F.col("feature_id").alias("parcel_id"), "geom"), "parcel_id"
-    )
-    return pairs.where(k.distance("c", "geom") <= 0.00027).select("corridor_id", "parcel_id")
+    pairs = pairs.join(ly.cadastral(spark, sf).select(F.col("feature_id").alias("parcel_id"), "geom"), "parcel_id")
+    return pairs.where(k.distance("reach", "geom") <= 0.00027).select("corridor_id", "parcel_id")
 
 
 OVERLAPS_SQL = f"""SELECT a.k AS idx_a, b.k AS idx_b, a.feature_id AS feature_a, b.feature_id AS feature_b,
