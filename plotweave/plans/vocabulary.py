@@ -98,7 +98,19 @@ def t7(spark, sf):
     )
 
 
-@query("t7_unmapped_report")
+def _layer_words(layer_type: str) -> str:
+    rows = ", ".join(f"('{w.lower()}')" for words in st.LAYER_FIELDS[layer_type].values() for w in words)
+    return f"(VALUES {rows})"
+
+
+@query(
+    "t7_unmapped_report",
+    rf"""WITH raw AS (SELECT p_partkey AS k, {KEY_SQL} AS key FROM part UNION ALL SELECT p_partkey, 'Owner_Name' FROM part),
+    keys AS (SELECT DISTINCT key, lower(key) AS f FROM raw),
+    scored AS (SELECT key, max({lcs_ratio('f', 'word')}) AS s FROM keys CROSS JOIN {_layer_words('cadastral')} v(word) GROUP BY key)
+    SELECT k AS feature_index, string_agg(raw.key, ',' ORDER BY raw.key = 'Owner_Name') AS unmapped_fields FROM raw JOIN scored ON raw.key = scored.key
+    WHERE s < 70 AND lower(raw.key) NOT IN ('ulpin', 'bhu_aadhar', 'parcel_id', 'plot_no', 'khasra', 'खसरा') GROUP BY k""",
+)
 def t7_unmapped(spark, sf):
     return _standardized(spark, sf)[1].select("feature_index", F.concat_ws(",", "unmapped_fields").alias("unmapped_fields"))
 
