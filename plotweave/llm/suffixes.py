@@ -32,9 +32,12 @@ _SEGMENT = "anchor long, h1 long, h2 long, left int, right int, k0 long, k1 int,
 
 
 def key_columns() -> list[F.Column]:
-    """(k0, k1): 96 bits that tell documents apart; rows of equal id and text share them."""
+    """(k0, k1): 96 bits that tell documents apart; rows of equal id and text share them.
+
+    A null id is replaced by a hash of the text.
+    """
     return [
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("k0"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k0"),
         F.hash(F.col("doc_id").isNull(), F.col("text")).alias("k1"),
     ]
 
