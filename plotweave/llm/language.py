@@ -17,6 +17,8 @@ UNDETERMINED = "und"
 FEATURES = 1 << 13
 #: Bound of the training sample: about this many documents per language are fitted.
 SAMPLE_PER_LANGUAGE = 600
+#: Bound of the languages that are learned, the most frequent ones.
+MAX_LANGUAGES = 512
 #: A text is ambiguous if the second codeword's loss is within this part of the mean loss per bit.
 AMBIGUITY = 0.05
 
@@ -92,11 +94,12 @@ def decode(margins: np.ndarray, codes: np.ndarray, trust: np.ndarray) -> tuple[n
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Model from rows with text and lang; about ``per_language`` rows of each language, chosen by hash.
 
-    The sample is bounded by that parameter, so one task fits it. No rows give a model
-    without languages.
+    The sample is bounded by that parameter and MAX_LANGUAGES, so one task fits it. No rows
+    give a model without languages.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     names = sorted(counts)
     model = {"languages": names, "codes": codewords(max(1, len(names)))}
     if len(names) < 2:
