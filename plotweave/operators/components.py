@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from plotweave.session import cut, discard
 EARTH_KM = 6371.0088
 HOTSPOT_KM = 0.5
 
+LEVELS = 4
+
 _KM_PER_DEGREE = 111.19508023353292
 
 
@@ -100,24 +104,28 @@ def _box_km(widest: bool) -> Column:
     return 2 * EARTH_KM * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
 
 
+def _parent(index: str, up: int) -> Column:
+    """Index of the box ``up`` levels of eight above."""
+    return F.floor(F.col(index) / float(8**up))
+
+
 def proximity_clusters(points: DataFrame, eps_km: float = HOTSPOT_KM) -> DataFrame:
     """Density clusters with one point enough per cluster: components of the ``eps_km`` graph.
 
     points: (id, lat, lon). Result: (id, cluster), the cluster named by a cell.
 
     Cells have a diagonal below ``eps_km``, so all points of a cell belong together and no
-    pair inside a cell is ever formed. Between neighbouring cells, the boxes of sixty-four
-    sub-cells decide most links; only cells they leave open compare distinct points.
+    pair inside a cell is ever formed. Between neighbouring cells one link is enough: the
+    boxes of sixty-four sub-cells decide most, and pairs of sub-cells they leave open are
+    divided again, up to LEVELS times. Only points in boxes of centimetres at a distance
+    of ``eps_km`` are compared one by one.
     """
     side = eps_km / 2**0.5 / _KM_PER_DEGREE * 0.999
     spots = points.where("lat is not null and lon is not null").select("id", "lat", "lon")
-    spots = spots.withColumns(
-        {
-            "row": F.floor(F.col("lat") / side),
-            "column": F.floor(F.col("lon") / side),
-            "sub": (F.floor(F.col("lat") / (side / 8)) % 8) * 8 + F.floor(F.col("lon") / (side / 8)) % 8,
-        }
-    )
+    finest = side / 8**LEVELS
+    # Coarser indexes are the finest one divided by powers of two, so parents always agree.
+    spots = spots.withColumns({"fi": F.floor(F.col("lat") / finest), "fj": F.floor(F.col("lon") / finest)})
+    spots = spots.withColumns({"row": _parent("fi", LEVELS), "column": _parent("fj", LEVELS)})
     spots = cut(spots.withColumn("cell", F.format_string("%d/%d", "row", "column")))
     cells = spots.groupBy("cell", "row", "column").agg(F.count(F.lit(1)).alias("n"))
 
@@ -139,30 +147,42 @@ def proximity_clusters(points: DataFrame, eps_km: float = HOTSPOT_KM) -> DataFra
     near = hops.join(cells.select("row", "column", F.col("cell").alias("cell2")), ["row", "column"])
     near = near.where("cell1 <> cell2").select("cell1", "cell2").distinct()
 
-    def boxes(i: str) -> DataFrame:
-        return spots.groupBy(F.col("cell").alias(f"cell{i}"), F.col("sub").alias(f"sub{i}")).agg(
+    def boxes(i: str, up: int) -> DataFrame:
+        place = [F.col("cell").alias(f"cell{i}"), _parent("fi", up).alias(f"i{i}"), _parent("fj", up).alias(f"j{i}")]
+        return spots.groupBy(*place).agg(
             F.min("lat").alias(f"s{i}"), F.max("lat").alias(f"n{i}"), F.min("lon").alias(f"w{i}"), F.max("lon").alias(f"e{i}")
         )
 
-    duos = near.join(boxes("1"), "cell1").join(boxes("2"), "cell2")
-    duos = duos.withColumn("sure", _box_km(True) <= eps_km).withColumn("maybe", _box_km(False) <= eps_km + 1e-9)
-    duos = cut(duos.where("sure or maybe").select("cell1", "sub1", "cell2", "sub2", "sure"))
-    linked = duos.where("sure").select("cell1", "cell2").distinct()
-    open_duos = duos.join(linked, ["cell1", "cell2"], "left_anti")
+    found, ends = [], ["cell1", "i1", "j1", "cell2", "i2", "j2"]
+    for up in range(LEVELS - 1, -1, -1):
+        duos = near
+        for i in "12":
+            inner = boxes(i, up)
+            if up < LEVELS - 1:
+                inner = inner.withColumns({f"p{i}": _parent(f"i{i}", 1), f"q{i}": _parent(f"j{i}", 1)})
+                duos = duos.withColumnsRenamed({f"i{i}": f"p{i}", f"j{i}": f"q{i}"}).join(inner, [f"cell{i}", f"p{i}", f"q{i}"])
+            else:
+                duos = duos.join(inner, f"cell{i}")
+        duos = duos.withColumn("sure", _box_km(True) <= eps_km).withColumn("maybe", _box_km(False) <= eps_km + 1e-9)
+        duos = cut(duos.where("sure or maybe").select(*ends, "sure"))
+        linked = duos.where("sure").select("cell1", "cell2").distinct()
+        found.append(linked)
+        near = cut(duos.join(linked, ["cell1", "cell2"], "left_anti").select(*ends))
+        if near.limit(1).count() == 0:
+            break
 
     def distinct_points(i: str) -> DataFrame:
-        return spots.select(
-            F.col("cell").alias(f"cell{i}"), F.col("sub").alias(f"sub{i}"), F.col("lat").alias(f"lat{i}"), F.col("lon").alias(f"lon{i}")
-        ).distinct()
+        place = [F.col("cell").alias(f"cell{i}"), F.col("fi").alias(f"i{i}"), F.col("fj").alias(f"j{i}")]
+        return spots.select(*place, F.col("lat").alias(f"lat{i}"), F.col("lon").alias(f"lon{i}")).distinct()
 
     by_point = (
-        open_duos.join(distinct_points("1"), ["cell1", "sub1"])
-        .join(distinct_points("2"), ["cell2", "sub2"])
+        near.join(distinct_points("1"), ["cell1", "i1", "j1"])
+        .join(distinct_points("2"), ["cell2", "i2", "j2"])
         .where(haversine_km("lat1", "lon1", "lat2", "lon2") <= eps_km)
         .select("cell1", "cell2")
         .distinct()
     )
-    links = linked.unionByName(by_point).select(F.col("cell1").alias("u"), F.col("cell2").alias("v"))
+    links = reduce(DataFrame.unionByName, found, by_point).select(F.col("cell1").alias("u"), F.col("cell2").alias("v"))
     parts = connected_components(links)
     return spots.join(parts, F.col("cell") == F.col("node"), "left").select(
         "id", F.coalesce("component", "cell").alias("cluster")
