@@ -100,6 +100,7 @@ def merge_parcels(features: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
             F.min_by("feature_id", F.when(F.col("_known").isNull(), F.col("pos"))).alias("missing"),
         )
     )
+    # Error texts, and the defaults of merged parcels below.
     few = F.when(F.col("n") < 2, F.lit("At least 2 parcel IDs are required for a parcel merge."))
     errors = counted.select("group_id", F.coalesce(few, _not_found("missing")).alias("error")).where("error is not null")
     accepted = counted.where("n >= 2 and missing is null").select("group_id")
@@ -153,6 +154,7 @@ def split_parcels(features: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     parcel gives an error row.
     """
     known, on = _named_by(features, requests)
+    # Error texts, and the defaults of strips below.
     wrong = (
         F.when(F.col("parts") < 2, "Split must create at least 2 parts.")
         .when(F.col("parts") > 10, "Split must create at most 10 parts.")

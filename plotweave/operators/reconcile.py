@@ -74,6 +74,7 @@ def detect_conflicts(matches: DataFrame, features: DataFrame, area_tol: float =
     def pick(area, geometry, absent) -> Column:
         return F.when(by_area, area).when(deviates, geometry).when(missing, absent)
 
+    # The texts of the three reasons.
     reason = F.format_string(
         "Area discrepancy detected: %.1f m² vs %.1f m² (Delta: %.1f m²)", "area_a", "area_b", "area_difference"
     )
@@ -148,6 +149,7 @@ def recommend(conflicts: DataFrame) -> DataFrame:
     a_more = F.coalesce(F.col("rel_a") > F.col("rel_b"), F.lit(False))
     b_more = F.coalesce(F.col("rel_b") > F.col("rel_a"), F.lit(False))
     only_a = (kind == "missing_feature") & F.col("has_a") & ~F.col("has_b")
+    # Actions and reasons, in order of precedence.
     explicit = "Conflict type requires explicit review"
     rules = [
         (kind == "duplicate", "manual_review_required", explicit),
@@ -243,6 +245,7 @@ def overlay_reviews(conflicts: DataFrame, reviews: DataFrame, key: str = "confli
 
 def auto_approve(conflicts: DataFrame, threshold: int = 90) -> DataFrame:
     """Review rows approving every conflict at or above ``threshold`` that is not approved yet."""
+    # Reviewer and comment of an automatic approval.
     return conflicts.where((F.col("score") >= threshold) & (F.col("status") != "APPROVED")).select(
         "conflict_id",
         F.lit("APPROVED").alias("decision"),

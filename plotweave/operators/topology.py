@@ -141,6 +141,7 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
     joined = joined.withColumn("_fixed", k.make_valid(F.when(~F.col("_ok"), F.col("_new"))))
     joined = cut(joined.withColumn("_new", F.when(F.col("_ok"), F.col("_new")).otherwise(F.coalesce("_fixed", "geom"))))
     changed = joined.where("_new <> geom")
+    # The text of the ledger row.
     text = "Intra-layer vertex snap with neighboring polygons" if own else f"Snapped vertices to reference layer (tolerance={tol:.6f})"
     delta = F.round(deg2_to_m2(F.abs(area("_new") - area("geom"))), 4)
     fixes = changed.select(
@@ -202,6 +203,7 @@ def resolve_overlaps(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[
     )
     new = cut(clipped.where("_new is not null").select("idx", "_new"))
     result = layer.join(new, "idx", "left").withColumn("geom", F.coalesce("_new", "geom")).drop("_new")
+    # The text of the ledger row.
     text = F.concat(F.format_string("Clipped %.2f m² overlap with feature ", "_m2"), F.col("anchor_id"))
     fixes = lost.join(new.select("idx"), "idx", "left_semi").select(
         *_fix("overlap_merge", text, F.round("_m2", 4), F.lit(0))
@@ -234,6 +236,7 @@ def resolve_gaps(
     )
     grown = cut(layer.join(cover, "idx").select("idx", k.join_outline("geom", "_cover").alias("_new")))
     result = layer.join(grown, "idx", "left").withColumn("geom", F.coalesce("_new", "geom")).drop("_new")
+    # The text of the ledger row.
     text = F.format_string("Absorbed %.2f m² vacant sliver gap", "gap_area_sqm")
     fixes = filled.drop("geom").select(*_fix("gap_fill", text, F.col("gap_area_sqm"), F.lit(0)))
     return result, fixes
@@ -268,6 +271,7 @@ def repair_layer(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
     invalid = ~is_empty("geom") & ~F.coalesce(k.is_valid("geom"), F.lit(False))
     judged = layer.withColumn("_bad", invalid)
     judged = cut(judged.withColumn("_fixed", k.make_valid(F.when(F.col("_bad"), F.col("geom")))))
+    # The text of the ledger row.
     fixes = judged.where("_bad").select(
         *_fix("make_valid", F.lit("Repaired self-intersection / invalid ring via make_valid"), F.lit(0.0), F.lit(0))
     )
