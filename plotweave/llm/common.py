@@ -68,11 +68,13 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, column: st
             start = end
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
-    """mapInArrow in bounded steps; ``fn`` takes a batch with a ``text`` column and gives rows of ``schema``."""
+def map_texts(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, limit: int = STEP_BYTES
+) -> DataFrame:
+    """mapInArrow in steps of about ``limit`` bytes of text; ``fn`` takes a batch with a ``text`` column and gives rows of ``schema``."""
 
     def run(batches):
-        for batch in steps(batches):
+        for batch in steps(batches, limit):
             out = fn(batch)
             if isinstance(out, pa.Table):
                 yield from out.to_batches()

@@ -17,6 +17,8 @@ from plotweave.llm.induced import suffix_order
 SPAN, GRAM = 200, 64
 #: Bytes of segments that are sorted together, unless one anchor has more.
 SHARD_BYTES = 1 << 20
+#: Bytes of text hashed at once; a dozen arrays of eight bytes for each are alive.
+STEP = 1 << 20
 #: Segments whose rows are marked without meeting, found in one of so many documents. Routing only.
 HEAVY, HEAVY_PART = 512, 64
 
@@ -131,7 +133,7 @@ def segments(docs: DataFrame, heavy: dict | None = None) -> DataFrame:
             names=["route", "known", "anchor", "h1", "h2", "left", "right", "k0", "k1", "at", "size"],
         )
 
-    return map_texts(docs.select("k0", "k1", "text"), run, f"route long, known boolean, {_SEGMENT}")
+    return map_texts(docs.select("k0", "k1", "text"), run, f"route long, known boolean, {_SEGMENT}", STEP)
 
 
 def heavy_segments(docs: DataFrame) -> dict:
