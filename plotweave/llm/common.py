@@ -13,6 +13,8 @@ from plotweave.session import cut, discard
 
 #: Bytes of text that one vectorized step takes at most, unless a single row is longer.
 STEP_BYTES = 2 << 20
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 4 << 20
 
 __all__ = ["cut", "discard", "held_out", "map_texts", "raw", "row_key", "steps", "uniform"]
 
@@ -68,10 +70,25 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, column: st
             start = end
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES, unless it is lower already.
+
+    The default of 64 MB is held several times over, by each task and its Python worker.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name, None) or ""
+    if not held.removesuffix("b").isdigit() or int(held.removesuffix("b")) > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+
+
 def map_texts(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str, limit: int = STEP_BYTES
 ) -> DataFrame:
-    """mapInArrow in steps of about ``limit`` bytes of text; ``fn`` takes a batch with a ``text`` column and gives rows of ``schema``."""
+    """mapInArrow in steps of about ``limit`` bytes of text; ``fn`` takes a batch with a ``text`` column and gives rows of ``schema``.
+
+    Batches between Spark and Python are held to BATCH_BYTES, whatever the length of texts.
+    """
+    bound_batches(df)
 
     def run(batches):
         for batch in steps(batches, limit):
@@ -80,5 +97,6 @@ def map_texts(
                 yield from out.to_batches()
             elif out is not None:
                 yield out
+        pa.default_memory_pool().release_unused()  # workers are used again
 
     return df.mapInArrow(run, schema)

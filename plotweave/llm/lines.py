@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotweave.llm.common import cut, map_texts, row_key
+from plotweave.llm.common import bound_batches, cut, map_texts, row_key
 
 #: A repeated run counts from so many words on.
 MIN_WORDS = 10
@@ -145,6 +145,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append("\n".join(kept) if any(x.strip() for x in kept) else None)
         return type(texts)(out, dtype=object)
 
+    bound_batches(docs)
     joined = keyed.join(runs, names, "left")
     hit = joined.where("line_dedup_runs IS NOT NULL").withColumn("text", rest("text", "line_dedup_runs"))
     if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.NumericType):

@@ -34,7 +34,7 @@ class Words(dict):
     """word -> kind in the upper bits and a hash of the literal in the lower 60, or -1; kept small by starting afresh."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         core = word if word.isalpha() else _EDGES.sub("", word)
         folded = core.casefold()
