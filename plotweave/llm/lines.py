@@ -17,14 +17,15 @@ MIN_WORDS = 10
 _KEY = ["k0", "k1", "k2"]
 
 
-def fingerprints(lines: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+def fingerprints(lines: list[bytes], min_words: int = MIN_WORDS, ends_too: bool = True) -> list[tuple[int, int, int, int]]:
     """(fingerprint, first line, number of lines, hash of these lines) of each window of a text.
 
-    A window is the shortest run of lines from its first on with ``min_words`` words; it
-    neither starts nor ends with a blank line. Its fingerprint is the smallest hash of a
-    line in it with its place, the leftmost on ties. Equal windows have equal
-    fingerprints, so a shared run of ``min_words`` words, which holds a window, shares
-    one for certain.
+    A window is the shortest run of lines from its first on, or up to its last, with
+    ``min_words`` words; it neither starts nor ends with a blank line. Its fingerprint is
+    the smallest hash of a line in it. Equal windows have equal fingerprints. A shared run
+    of ``min_words`` words is the union of the windows in it: a line with fewer words up to
+    it lies in the window from the run's first line on, any other ends a window of the run.
+    Without ``ends_too`` windows start at each line only.
     """
     kept = [(i, line.strip()) for i, line in enumerate(lines)]
     kept = [(i, line) for i, line in kept if line]
@@ -32,10 +33,12 @@ def fingerprints(lines: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[i
     hashes = [xxhash.xxh3_64_intdigest(line) for _, line in kept]
     reach = np.cumsum(counts)
     ends = np.searchsorted(reach, reach - counts + min_words)
+    starts = np.searchsorted(reach - counts, reach - min_words, "right") - 1
+    found = {(j, e) for j, e in enumerate(ends.tolist()) if e < len(kept)}
+    if ends_too:
+        found.update((j, e) for e, j in enumerate(starts.tolist()) if j >= 0)
     out = []
-    for j, e in enumerate(ends.tolist()):
-        if e == len(kept):
-            break
+    for j, e in sorted(found):
         window = hashes[j : e + 1]
         low = min(window)
         whole = xxhash.xxh3_128_intdigest(b"\n".join(line for _, line in kept[j : e + 1]))
@@ -43,14 +46,14 @@ def fingerprints(lines: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[i
     return out
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, ends_too: bool = True) -> DataFrame:
     """(k0, k1, k2, fp, at, n, w1, w2): the windows of ``docs`` (k0, k1, k2, text)."""
 
     def run(batch):
         keys = [batch.column(k).to_pylist() for k in _KEY]
         rows = []
         for k0, k1, k2, text in zip(*keys, batch.column("text").to_pylist(), strict=True):
-            for fp, at, n, w in fingerprints((text or "").encode().split(b"\n"), min_words):
+            for fp, at, n, w in fingerprints((text or "").encode().split(b"\n"), min_words, ends_too):
                 rows.append((k0, k1, k2, fp - (1 << 63), at, n, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)))
         cols = list(zip(*rows, strict=True)) or [[]] * 8
         kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] * 2
@@ -61,17 +64,16 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_texts(docs, run, "k0 long, k1 long, k2 long, fp long, at int, n int, w1 long, w2 long")
 
 
-def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, ends_too: bool = True) -> DataFrame:
     """(k0, k1, k2, runs): lines (at, n) of documents (k0, k1, k2, text) that repeat an earlier place.
 
     Fingerprints join positions: those of one place only are dropped. Where several places
-    share one, each is extended both ways to the windows around it, and a window that
-    was seen at an earlier place (by id, null last, then text hash, then line) is
-    marked. Neighbouring windows overlap, so marks add up to whole repeated runs. Minima
-    are aggregated before the shuffle; a line that very many documents share is a skewed
-    join, which Spark splits.
+    share one, a window that was seen at an earlier place (by id, null last, then text hash,
+    then line) is marked. Windows reach from each line both ways, so marks add up to whole
+    repeated runs, whichever earlier place has the longest. Minima are aggregated before
+    the shuffle; a line that very many documents share is a skewed join, which Spark splits.
     """
-    rows = cut(windows(docs, min_words))
+    rows = cut(windows(docs, min_words, ends_too))
     place = F.struct((F.col("k0") == -(1 << 62)).alias("no_id"), "k0", "k1", "k2", "at")
     shared = rows.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("fp")
     # As tables, both are plain sides of a join, whose skewed partitions Spark can split.
@@ -92,13 +94,15 @@ def _merge(runs: list[dict]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, first_line, n_lines): the maximal runs of lines that line dedup deletes.
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, ends_too: bool = False) -> DataFrame:
+    """(doc_id, first_line, n_lines): the runs of lines that repeat an earlier place.
 
     Rows of equal id and text are one document. Null ids come last in the order of places.
+    ``ends_too`` gives the runs to their ends, as ``line_dedup`` deletes them; without it
+    they end with the last window that starts in them.
     """
     plain = docs.select("doc_id", "text", *row_key())
-    found = cut(later_runs(plain.select(*_KEY, "text"), min_words))
+    found = cut(later_runs(plain.select(*_KEY, "text"), min_words, ends_too))
 
     def run(batches):
         for batch in batches:

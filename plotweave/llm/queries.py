@@ -28,7 +28,7 @@ def op1_suffix_array_dedup(spark, sf_dir):
 
 @_query
 def op2_line_dedup(spark, sf_dir):
-    return lines.repeated_runs(_table(spark, sf_dir, "documents"))
+    return lines.repeated_runs(_table(spark, sf_dir, "documents"), ends_too=True)
 
 
 @_query

@@ -59,3 +59,36 @@ def test_deletion_keeps_first_place_and_other_columns(spark):
     assert {i: r.text for i, r in got.items()} == {1: f"{a}\n{b}", 2: "x\ny", 4: None, 5: "", 6: f"{b} no"}
     assert lines.line_dedup(df).columns == df.columns and got[2].k0 == "x" and got[2].runs == {"a": 1}
     assert lines.line_dedup(df.where("false")).count() == 0
+
+
+def runs_brute(rows, min_words=lines.MIN_WORDS):
+    """(id, line) of each line in a maximal common run of ``min_words`` words with an earlier place; all pairs of places."""
+    docs = [(i, [(n, x.strip()) for n, x in enumerate(t.split("\n")) if x.strip()]) for i, t in sorted(set(rows))]
+    gone = set()
+    for b, (name, mine) in enumerate(docs):
+        for a in range(b + 1):
+            theirs = docs[a][1]
+            for i in range(len(mine)):
+                for j in range(i if a == b else len(theirs)):
+                    if i and j and mine[i - 1][1] == theirs[j - 1][1]:
+                        continue
+                    n = 0
+                    while i + n < len(mine) and j + n < len(theirs) and mine[i + n][1] == theirs[j + n][1]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in mine[i : i + n]) >= min_words:
+                        gone.update((name, x) for x, _ in mine[i : i + n])
+    return gone
+
+
+def test_runs_reach_their_ends(spark):
+    rng = random.Random(8)
+    pool = [sentences(rng, 1, words=rng.choice([1, 2, 4, 5, 7, 9, 12]))[0] for _ in range(14)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(1, 14)) + sentences(rng, rng.randint(0, 2), words=3)) for _ in range(40)]
+    head, tail = sentences(rng, 1)[0], "a tail of five words"
+    texts += [head, f"{head}\n{tail}\nalone one", f"x\n{head}\n{tail}", f"{tail}\n{head}\n{tail}", f"y\n{tail}\n\n{head}\n{tail}"]
+    rows = list(enumerate(texts))
+    found = lines.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), ends_too=True).collect()
+    filled = {(i, n) for i, t in rows for n, x in enumerate(t.split("\n")) if x.strip()}
+    got = {(r.doc_id, n) for r in found for n in range(r.first_line, r.first_line + r.n_lines)}
+    assert got & filled == runs_brute(rows)
+    assert {(42, 1), (42, 2), (44, 1), (44, 3), (44, 4)} <= got
