@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import cut, map_texts
@@ -160,14 +161,35 @@ def _lengths(benchmark: DataFrame) -> DataFrame:
     return map_texts(benchmark.select("item", "text"), run, "item long, n int").where("n > 0")
 
 
+def settled(windows: list[tuple[int, list[dict]]]) -> list[int]:
+    """Places of the windows (place, slot pairs a -> b of kind k) of one offset that go together.
+
+    Windows vote for their pairs, unless they contradict themselves. Pairs are taken by
+    votes, on ties equal values first, as long as slots still map one to one. Windows of
+    taken pairs stay, and so do those that agree word for word.
+    """
+    groups = []
+    for at, slots in windows:
+        pairs = {(p["k"], p["a"], p["b"]) for p in slots}
+        same = all(a == b for _, a, b in pairs)
+        if same or len({p[:2] for p in pairs}) == len(pairs) == len({p[::2] for p in pairs}):
+            groups.append((at, pairs, same))
+    votes = Counter(itertools.chain.from_iterable(pairs for _, pairs, _ in groups))
+    there, back = {}, {}
+    for k, a, b in sorted(votes, key=lambda p: (-votes[p], p[1] != p[2], p)):
+        if (k, a) not in there and (k, b) not in back:
+            there[k, a], back[k, b] = b, a
+    return sorted({at for at, pairs, same in groups if same or all(there.get((k, a)) == b for k, a, b in pairs)})
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(key, item_id, share): documents that hold at least ``share`` of the windows of a benchmark item.
 
     Windows of ``width`` words of the templates join by hash; an item of fewer words is one
     window of its own length. Matches of one document and item at one offset must fill
     slots consistently: a number or name of the item always becomes the same one in the
-    document, and different ones stay different. The windows of consistent offsets are
-    counted once each. The benchmark's hashes sieve the documents' windows in the tasks if
+    document, and different ones stay different. Windows that contradict the others of
+    their offset are left out, see ``settled``; the rest are counted once each. The benchmark's hashes sieve the documents' windows in the tasks if
     there are at most SIEVE of them; a larger benchmark meets all windows in the join.
     """
     items = cut(benchmark.select(F.col("item_id").cast("long").alias("item"), "text").where("text IS NOT NULL AND item_id IS NOT NULL"))
@@ -195,16 +217,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str, width: int = W
         .withColumn("pairs", F.filter("pairs", lambda p: p["k"] != LITERAL))
     )
     found = pairs.groupBy(key, "item", (F.col("at") - F.col("item_at")).alias("offset")).agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        F.collect_set(F.struct(F.col("item_at").alias("at"), "pairs")).alias("windows")
     )
+    total = F.greatest(F.col("n") - width + 1, F.lit(1))
+    found = found.join(lengths, "item").select(
+        key, "item", total.alias("total"), "windows", F.array_distinct("windows.at").alias("places"),
+        F.array_distinct(F.flatten("windows.pairs")).alias("pairs"),
+    )
+    # Pairs of too few windows at all offsets together need no look at their slots.
+    found = found.withColumn("most", F.sum(F.size("places")).over(Window.partitionBy(key, "item")))
     n = F.size("pairs")
     one_way = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["a"], p["k"])))) == n
     other_way = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["b"], p["k"])))) == n
-    held = found.where(one_way & other_way).groupBy(key, "item").agg(
+    found = cut(found.where(F.col("most") / F.col("total") >= share).withColumn("consistent", one_way & other_way))
+
+    def settle(batches):
+        for batch in batches:
+            places = [settled([(x["at"], x["pairs"]) for x in group]) for group in batch.column("windows").to_pylist()]
+            columns = [*[batch.column(c) for c in (key, "item", "total")], pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "item", "total", "places"])
+
+    plain = found.where("consistent").select(key, "item", "total", "places")
+    mixed = found.where("NOT consistent").select(key, "item", "total", "windows")
+    mixed = mixed.mapInArrow(settle, f"{key} {docs.schema[key].dataType.simpleString()}, item long, total int, places array<int>")
+    held = plain.unionByName(mixed).groupBy(key, "item", "total").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held")
     )
-    total = F.greatest(F.col("n") - width + 1, F.lit(1))
-    scored = held.join(lengths, "item").select(key, F.col("item").alias("item_id"), (F.col("held") / total).alias("share"))
+    scored = held.select(key, F.col("item").alias("item_id"), (F.col("held") / F.col("total")).alias("share"))
     return scored.where(F.col("share") >= share)
 
 

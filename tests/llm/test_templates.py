@@ -65,3 +65,19 @@ def test_other_numbers_and_names_are_found_and_mixed_up_ones_are_not(spark):
 def test_without_the_sieve(spark, monkeypatch):
     monkeypatch.setattr(templates, "SIEVE", 0)
     test_other_numbers_and_names_are_found_and_mixed_up_ones_are_not(spark)
+
+
+def test_one_contradiction_costs_its_windows_only(spark):
+    rng = random.Random(4)
+    item = "The clerk wrote 31 letters in May. " + " ".join(sentences(rng, 1, 18)) + " The boxes took 31 sheets and " + " ".join(sentences(rng, 1, 18))
+    moved = item.replace("31", "47")
+    texts = [item.replace("The boxes", "This boxes"), item.replace("31 sheets", "32 sheets"), moved.replace("47 sheets", "48 sheets"),
+             moved.replace("The boxes", "This boxes"), moved.replace("47 sheets", "48 sheets").replace("The boxes", "This boxes").replace("May", "The")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.share for r in templates.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), share=0.5).collect()}
+    n = len(item.split()) - templates.WINDOW + 1
+    # Four windows hold the first number, one the first name; both fewer than their rivals, but kept where word for word.
+    assert {i: round(x * n) for i, x in got.items() if i < 4} == {0: n, 1: n, 2: n - 4, 3: n - 1}
+    assert got.get(4, 0) < got[3]
+    few = templates.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {0, 1, 2, 3} <= {r.doc_id for r in few.collect()}
