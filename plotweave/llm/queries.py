@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the DuckDB oracles of those that SQL can express."""
+"""Registered queries of the thirteen operators and the DuckDB oracles of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotweave.llm import language, lines, mixing, quality, secrets, simhash, suffixes, templates, urls, vectors
+from plotweave.llm import language, lines, mixing, quality, rules, secrets, simhash, suffixes, templates, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,13 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return templates.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op13_quality_rules(spark, sf_dir):
+    got = rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
+    return got.select(*names)
+
+
 @_query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
