@@ -24,13 +24,13 @@ LONG_WORDS = 100
 
 #: Rule -> SQL of its score, a whole number that is higher for worse texts.
 RULES = {
-    "symbols": "1000 * n_symbols div word_chars",
-    "marks": "1000 * n_marks div word_chars",
-    "capitals": "1000 * n_capitals div word_chars",
-    "repeated_words": "1000 * n_repeat_words div n_words",
-    "repeated_lines": "1000 * n_dup_lines div n_lines",
-    "long_words": "10 * word_chars div n_words",
-    "short_words": "-(10 * word_chars div n_words)",
+    "symbols": "1000 * n_symbols div nullif(word_chars, 0)",
+    "marks": "1000 * n_marks div nullif(word_chars, 0)",
+    "capitals": "1000 * n_capitals div nullif(word_chars, 0)",
+    "repeated_words": "1000 * n_repeat_words div nullif(n_words, 0)",
+    "repeated_lines": "1000 * n_dup_lines div nullif(n_lines, 0)",
+    "long_words": "10 * word_chars div nullif(n_words, 0)",
+    "short_words": "-(10 * word_chars div nullif(n_words, 0))",
 }
 
 
@@ -131,7 +131,7 @@ def _scored(rows: DataFrame) -> DataFrame:
     """``rows`` with the stratum and one score per rule under ``s_<rule>``."""
     long = F.when(F.col("n_words") >= LONG_WORDS, "long").otherwise("short")
     stratum = F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("unknown"), long.alias("size"))
-    return rows.select("*", stratum.alias("stratum"), *[F.expr(f"try_cast({sql} AS long)").alias(f"s_{r}") for r, sql in RULES.items()])
+    return rows.select("*", stratum.alias("stratum"), *[F.expr(sql).alias(f"s_{r}") for r, sql in RULES.items()])
 
 
 def _level(cutoffs: Column) -> Column:

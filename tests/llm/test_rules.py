@@ -50,8 +50,9 @@ def test_bound_is_the_exact_binomial(spark):
         mine = [(k, n) for k, n, q in cases if q == p]
         df = spark.createDataFrame(mine, "k long, n long").withColumn("got", rules.tail_probability(F.col("k"), F.col("n"), p))
         for k, n, got in df.collect():
-            x = Fraction(p)
-            want = float(sum(math.comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(k + 1)))
+            x = Fraction(str(p))
+            a, b = x.numerator, x.denominator
+            want = float(Fraction(sum(math.comb(n, j) * a**j * (b - a) ** (n - j) for j in range(k + 1)), b**n))
             assert math.isclose(got, want, rel_tol=1e-9), (k, n, p)
     assert spark.range(1).select(rules.tail_probability(F.lit(3), F.lit(10), 0.2)).first()[0] == 1.0
 
