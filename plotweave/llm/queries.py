@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plotweave.llm import language, lines, mixing, quality, rules, secrets, simhash, suffixes, templates, urls, vectors
+from plotweave.llm import language, lines, mixing, periods, quality, rules, secrets, simhash, suffixes, templates, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +75,33 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return templates.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words to read of one document in ten: from some word on, the words of one period again and again."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+@_query
+def op11_periodic_runs(spark, sf_dir):
+    found = periods.periodic_runs(_table(spark, sf_dir, "documents"), _planted)
+    first = F.get("runs", F.lit(0))
+    # Runs are sorted, so of equal quotients the first stays.
+    top = F.aggregate("runs", first, lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    ranked = found.withColumn("top", top)
+    return ranked.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 @_query
 def op13_quality_rules(spark, sf_dir):
     got = rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
