@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotweave.llm import language, lines, mixing, periods, quality, rules, secrets, simhash, suffixes, templates, urls, vectors
+from plotweave.llm import alignment, language, lines, mixing, periods, quality, rules, secrets, simhash, suffixes, templates, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,11 @@ def op11_periodic_runs(spark, sf_dir):
     )
 
 
+@_query
+def op12_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 @_query
 def op13_quality_rules(spark, sf_dir):
     got = rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
