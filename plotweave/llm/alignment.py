@@ -19,7 +19,7 @@ from plotweave.llm.common import bound_batches, cut, raw
 #: Folder of the vocabulary files on every machine, and the files of the two sides.
 FOLDER, SIDE_A, SIDE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text whose records make one block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Id pairs in one chunk of a run, and entries that a merge gathers before it settles what it can.
 CHUNK_PAIRS, OPEN_ENTRIES = 1 << 12, 1 << 20
 #: Bytes of text that a tokenizer takes at once, unless one segment is longer.
@@ -32,8 +32,9 @@ _COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 class Side:
     """One tokenizer: ids of a text, and each id's bytes as a flat table."""
 
-    def __init__(self, names: list[bytes], encode, splits: bool):
-        self.encode, self.splits = encode, splits
+    def __init__(self, names: list[bytes], encode):
+        self.encode = encode
+        self.splits = all(len(_segments(np.frombuffer(b"   " + x, np.uint8), np.zeros(1, np.int64), True)) == 1 for x in names if b" " in x)
         self.sizes = np.array([len(x) for x in names], np.int64)
         self.begin = np.append(0, np.cumsum(self.sizes))
         self.flat = np.frombuffer(b"".join(names) or b"\0", np.uint8)
@@ -61,8 +62,7 @@ def _bytes_of_letters() -> dict[str, int]:
 def side(path: str) -> Side:
     """The tokenizer of a file: byte-level JSON, or a sentence-piece model.
 
-    ``splits`` says that a blank behind a visible character always begins a new token, so
-    a text may be cut there.
+    ``splits`` says that no token reaches over a place where ``_segments`` cuts a text.
     """
     if path.endswith(".json"):
         import os
@@ -77,16 +77,14 @@ def side(path: str) -> Side:
         for token, i in tool.get_vocab(with_added_tokens=True).items():
             names[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         fast = getattr(tool, "encode_batch_fast", tool.encode_batch)
-        splits = all(b" " not in x.lstrip(b" ") for x in names)
-        return Side(names, lambda text: np.array(fast([text], add_special_tokens=False)[0].ids, np.int64), splits)
+        return Side(names, lambda text: np.array(fast([text], add_special_tokens=False)[0].ids, np.int64))
     from sentencepiece import SentencePieceProcessor
 
     tool = SentencePieceProcessor(model_file=path)
     pieces = [tool.id_to_piece(i) for i in range(tool.vocab_size())]
     names = [bytes([int(p[1:-1], 16)]) if tool.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    splits = all(b" " not in x.lstrip(b" ") for x in names)
     # The model puts a blank before every text, which stands for the first one here.
-    return Side(names, lambda text: np.array(tool.encode(text[1:], num_threads=1) if text != " " else [], np.int64), splits)
+    return Side(names, lambda text: np.array(tool.encode(text[1:], num_threads=1) if text != " " else [], np.int64))
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, splits: bool) -> np.ndarray:
@@ -117,7 +115,7 @@ def _tokens(tool: Side, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray,
         if int(size.sum()) != len(text) or _gather(tool.flat, tool.begin[got], size).tobytes() != text:
             return False
         stop = np.cumsum(size) + base
-        if not np.isin(marks, stop).all():
+        if len(marks) and not (stop[np.searchsorted(stop, marks)] == marks).all():
             return False
         ids.append(got)
         ends.append(stop)
@@ -130,7 +128,8 @@ def _tokens(tool: Side, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray,
         while stop < len(segments) and (stop == at or size + len(segments[stop]) <= ENCODE_BYTES):
             size += len(segments[stop])
             stop += 1
-            if segments[stop - 1][-1] <= 32 or segments[stop - 1][-1] >= 128:
+            last = segments[stop - 1][-3:]
+            if last[-1] <= 32 or (last[-1] >= 128 and (last[-2] == 0xC2 or 0xE1 <= last[0] <= 0xE3)):
                 break
         base = int(stops[at] - sizes[at])
         if not spelled(b"".join(segments[at:stop]), base, stops[at:stop]):
