@@ -273,7 +273,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     different segments share.
     """
     marked = cut(meet(segments(docs, heavy_segments(docs))))
-    wanted = marked.where("compare").groupBy("k0", "k1").agg(F.collect_list(F.struct("anchor", "at", "size")).alias("pieces"))
+    wanted = marked.where("compare").groupBy("k0", "k1").agg(F.collect_set(F.struct("anchor", "at", "size")).alias("pieces"))
 
     def read(batch):
         offsets, data = raw(batch.column("text"))
@@ -295,7 +295,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     pieces = map_texts(once, read, "anchor long, k0 long, k1 int, at int, bytes binary")
     found = cut(sort_shards(pieces.dropDuplicates(["anchor", "k0", "k1", "at"])))
     spans = marked.where("whole").select("k0", "k1", "at", "size").unionByName(found)
-    return spans.groupBy("k0", "k1").agg(F.collect_list(F.struct("at", "size")).alias("spans"))
+    # Rows of equal id and text have equal spans; sets hold each once, before the shuffle already.
+    return spans.groupBy("k0", "k1").agg(F.collect_set(F.struct("at", "size")).alias("spans"))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
