@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.llm.common import held_out, map_texts, uniform
+from plotweave.llm.common import cut, held_out, map_texts, uniform
 
 UNDETERMINED = "und"
 FEATURES = 1 << 13
 #: Bound of the training sample: about this many documents per language are fitted.
 SAMPLE_PER_LANGUAGE = 600
-#: Bound of the languages that are learned, the most frequent ones.
-MAX_LANGUAGES = 512
+#: Bound of the sample over all languages; with many, each has fewer rows (one at least).
+SAMPLE = 12_000
 #: A text is ambiguous if the second codeword's loss is within this part of the mean loss per bit.
 AMBIGUITY = 0.05
 
@@ -94,18 +94,18 @@ def decode(margins: np.ndarray, codes: np.ndarray, trust: np.ndarray) -> tuple[n
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """Model from rows with text and lang; about ``per_language`` rows of each language, chosen by hash.
 
-    The sample is bounded by that parameter and MAX_LANGUAGES, so one task fits it. No rows
-    give a model without languages.
+    All languages are learned; together they draw about SAMPLE rows, so one task fits them.
+    No rows give a model without languages.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in frequent.collect()}
-    names = sorted(counts)
+    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())
     model = {"languages": names, "codes": codewords(max(1, len(names)))}
     if len(names) < 2:
         return model
-    part = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, per_language / n)) for k, n in counts.items()])
-    drawn = rows.withColumn("size", F.length("text")).where(uniform("language", "doc_id", "size") < part)
+    most = max(1, min(per_language, SAMPLE // len(names)))
+    part = sizes.select("lang", F.least(F.lit(1.0), most / F.col("n")).alias("part"))
+    drawn = rows.withColumn("size", F.length("text")).join(part, "lang").where(uniform("language", "doc_id", "size") < F.col("part"))
     codes = model["codes"]
 
     def fit(batches):
@@ -114,10 +114,12 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
             texts.append(ngram_features(b.column("text")))
             langs += b.column("lang").to_pylist()
         if texts:
-            labels = np.array([names.index(x) for x in langs])
+            number = {x: i for i, x in enumerate(names)}
+            labels = np.array([number[x] for x in langs])
             yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit_bits(np.concatenate(texts), labels, codes))]})
 
-    fitted = drawn.coalesce(1).mapInArrow(fit, "model binary").collect()
+    # The draw is shuffled to the task that fits; merging partitions would make it scan the table as well.
+    fitted = drawn.select("text", "lang").repartition(1).mapInArrow(fit, "model binary").collect()
     model["bits"] = pickle.loads(fitted[0]["model"]) if fitted else None
     return model
 

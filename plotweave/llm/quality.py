@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
             net = fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
             yield pa.RecordBatch.from_pydict({"net": [pickle.dumps(net)]})
 
-    got = rows.coalesce(1).mapInArrow(run, "net binary").collect()
+    # The draw is shuffled to the task that fits; merging partitions would make it scan the table as well.
+    got = rows.repartition(1).mapInArrow(run, "net binary").collect()
     return pickle.loads(got[0]["net"]) if got else None
 
 

@@ -67,3 +67,10 @@ def test_chunks_cover_every_byte():
             assert (chunk[: len(part)] == part).all() and not chunk[len(part) :].any()
             seen[k * step : k * step + quality.CHUNK] = True
         assert seen.all() and (rows == 0).all()
+
+
+def test_every_language_is_learned(spark):
+    letters = [chr(ord("a") + i) + chr(ord("a") + j) for i in range(26) for j in range(24)]
+    rows = [(i * 4 + k, f"{x}{x} " * 30, x) for i, x in enumerate(letters) for k in range(4)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=3)
+    assert model["languages"] == sorted(letters) and model["bits"][0].shape[1] == model["codes"].shape[1]
