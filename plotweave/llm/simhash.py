@@ -87,15 +87,17 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = 2) -> DataFrame:
     radius, each has a variant within half the radius that the other has, too. With
     ``blocks`` = 1 a fingerprint emits all 2081 variants of its 64 bits. With ``blocks`` = 2
     one 32-bit half must lie within radius // 2, so it emits the variants of each half
-    within radius // 4 of it: 66 rows. They are shuffled on (half, variant); members
+    within half of that, rounded up, of it: 66 rows for radius 4. They are shuffled on (half, variant); members
     of a bucket are verified on all 64 bits. A bucket of over SMALL members, as a large
     group of near copies makes, is not compared: its members emit the variants of the
     whole word, on which any two that meet are linked without comparing, so each bucket
     is a star. Work stays in proportion to rows for groups of every size.
     """
+    if radius % 2:
+        raise ValueError("the radius must be even: only then two words that share a variant of the whole word are within it")
     if blocks == 1:
         return _whole(fps, radius)
-    masks = ball(32, radius // 4)
+    masks = ball(32, -(-(radius // 2) // 2))
     both = np.concatenate([masks, masks << np.uint64(32)])
     kinds = np.repeat(np.arange(2, dtype=np.int8), len(masks))
 

@@ -70,3 +70,16 @@ def test_both_ball_forms_find_the_same_classes(spark, monkeypatch, blocks, small
     links = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     assert {r["fp"]: r["class"] for r in simhash.classes(df, blocks=blocks).collect()} == components(signed, links)
+
+
+@pytest.mark.parametrize("radius", [2, 6])
+def test_other_radii_lose_no_link(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), k)) for b in base for k in (0, radius, radius, radius + 1)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    assert {r["fp"]: r["class"] for r in simhash.classes(df, radius).collect()} == components(signed, links)
+    with pytest.raises(ValueError):
+        simhash.links(df, 3)
