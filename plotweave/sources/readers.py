@@ -11,6 +11,8 @@ from plotweave.functions.projection import epsg, to_wgs84
 from plotweave.functions.text import numeric_value
 from plotweave.operators.union import dissolve
 from plotweave.operators.validate import CRS_MISSING, FILE_UNREADABLE
+from plotweave.session import cut
+from plotweave.sources.collections import read_elements
 
 # Recognized column names, first hit wins.
 WKT_COLUMNS = ["geometry", "wkt", "geom", "the_geom", "shape"]
@@ -18,8 +20,6 @@ LAT_COLUMNS = ["latitude", "lat", "y", "y_coord", "northing"]
 LON_COLUMNS = ["longitude", "lon", "long", "lng", "x", "x_coord", "easting"]
 
 _SHAPE = "struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>"
-_FILE = f"""type string, crs struct<type:string,properties:struct<name:string>>,
-  features array<struct<type:string,id:string,properties:map<string,string>,geometry:{_SHAPE}>>, _corrupt_record string"""
 _FEATURE = f"type string, properties map<string,string>, geometry {_SHAPE}"
 UNREADABLE_REASON = "Failed to read geospatial file"
 _DEPTH = {
@@ -91,14 +91,32 @@ def _shape_of(rows: DataFrame, geometry: str) -> DataFrame:
     return rows.withColumns({"_t": kind, "_c": text})
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Feature collections: path, crs, feature_index, properties, geom (as stored)."""
-    files = spark.read.schema(_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    rows = files.select(
-        F.input_file_name().alias("path"),
-        F.col("crs.properties.name").alias("crs"),
-        F.posexplode("features").alias("feature_index", "f"),
+def _collections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(features, files): parsed features with path and feature_index, and (path, crs, broken) of each file.
+
+    Files are read in byte ranges. A file is broken if its brackets or strings do not close,
+    if a feature in it is not readable, or if it has none.
+    """
+    elements, files = read_elements(spark, path)
+    elements = cut(elements)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = elements.where(F.col("kind") == "features").select(
+        "path", F.col("index").alias("feature_index"), F.from_json("text", f"{_FEATURE}, _corrupt_record string", options).alias("f")
+    )
+    systems = elements.where(F.col("kind") == "crs").groupBy("path").agg(
+        F.min(F.from_json("text", "type string, properties struct<name:string>")["properties"]["name"]).alias("crs")
     )
+    bad = F.col("f").isNull() | F.col("f._corrupt_record").isNotNull()
+    read = parsed.groupBy("path").agg(F.count_if(bad).alias("bad"))
+    broken = ~F.col("whole") | F.col("bad").isNull() | (F.col("bad") > 0)
+    known = files.join(read, "path", "left").join(systems, "path", "left").select("path", "crs", broken.alias("broken"))
+    return parsed, cut(known)
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Feature collections: path, crs, feature_index, properties, geom (as stored). A large file is read by many tasks."""
+    parsed, files = _collections(spark, path)
+    rows = parsed.join(files.where("NOT broken").select("path", "crs"), "path")
     rows = _shape_of(rows, "f.geometry")
     return rows.select("path", "crs", "feature_index", F.col("f.properties").alias("properties"), parse_coordinates("_t", "_c").alias("geom"))
 
@@ -112,14 +130,12 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def file_issues(spark: SparkSession, path: str) -> DataFrame:
     """Whole-file problems as issue rows: no CRS member, or not readable as a feature collection."""
-    files = spark.read.schema(_FILE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    broken = F.col("_corrupt_record").isNotNull() | F.col("features").isNull() | (F.size("features") == 0)
-    no_crs = F.col("crs.properties.name").isNull()
-    return files.withColumn("path", F.input_file_name()).where(broken | no_crs).select(
+    _, files = _collections(spark, path)
+    return files.where(F.col("broken") | F.col("crs").isNull()).select(
         "path",
         F.lit(None).cast("int").alias("feature_index"),
-        F.when(broken, UNREADABLE_REASON).otherwise("CRS missing, cannot normalize").alias("reason"),
-        F.when(broken, FILE_UNREADABLE).otherwise(CRS_MISSING).alias("code"),
+        F.when(F.col("broken"), UNREADABLE_REASON).otherwise("CRS missing, cannot normalize").alias("reason"),
+        F.when(F.col("broken"), FILE_UNREADABLE).otherwise(CRS_MISSING).alias("code"),
     )
 
 
