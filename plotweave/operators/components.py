@@ -67,19 +67,31 @@ def match_groups(pairs: DataFrame, min_score: int = 70) -> tuple[DataFrame, Data
     """(groups, members): groups of features linked by pairs at or above ``min_score``.
 
     A group is ``clustered`` when at least two pairs agree, ``partial_group`` for a single
-    pair. Members are rows (group_id, feature_id), so a group of any size is no list.
+    pair. Members are rows (group_id, feature_id), so a group of any size is no list. Where
+    pairs carry dataset_a and dataset_b, features are told apart by dataset and id, and
+    groups and members also carry group_dataset and dataset_id; group_id is then the id of
+    the first feature by dataset, then id.
     """
-    linked = pairs.where(F.col("score") >= min_score).select("feature_a", "feature_b")
-    parts = cut(connected_components(linked.select(F.col("feature_a").alias("u"), F.col("feature_b").alias("v"))))
+    keyed = {"dataset_a", "dataset_b"} <= set(pairs.columns)
+
+    def node(side: str) -> Column:
+        name = F.col(f"feature_{side}")
+        return F.struct(F.col(f"dataset_{side}").alias("dataset_id"), name.alias("feature_id")) if keyed else name
+
+    linked = pairs.where(F.col("score") >= min_score).select(node("a").alias("u"), node("b").alias("v"))
+    parts = cut(connected_components(linked))
     links = (
-        linked.join(parts, F.col("feature_a") == F.col("node"))
+        linked.join(parts, F.col("u") == F.col("node"))
         .groupBy("component")
         .agg(F.count(F.lit(1)).alias("pair_count"))
     )
     groups = parts.groupBy("component").agg(F.count(F.lit(1)).cast("int").alias("member_count")).join(links, "component")
     status = F.when(F.col("pair_count") >= 2, "clustered").otherwise("partial_group").alias("status")
-    members = parts.select(F.col("component").alias("group_id"), F.col("node").alias("feature_id"))
-    return groups.select(F.col("component").alias("group_id"), "member_count", "pair_count", status), members
+    if not keyed:
+        members = parts.select(F.col("component").alias("group_id"), F.col("node").alias("feature_id"))
+        return groups.select(F.col("component").alias("group_id"), "member_count", "pair_count", status), members
+    group = [F.col("component.dataset_id").alias("group_dataset"), F.col("component.feature_id").alias("group_id")]
+    return groups.select(*group, "member_count", "pair_count", status), parts.select(*group, "node.dataset_id", "node.feature_id")
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:

@@ -42,15 +42,18 @@ def correct_harmonized(
     """
     if custom is not None:
         harmonized = apply_edits(harmonized, superseded, custom)
-    others = [c for c in harmonized.columns if c != "parcel_id"]
+    key = [c for c in ("dataset_id", "parcel_id") if c in harmonized.columns]
+    others = [c for c in harmonized.columns if c not in key]
     best = F.max_by(F.struct(*others), F.struct("confidence", "harmonized_id"))
-    parcels = harmonized.groupBy("parcel_id").agg(best.alias("_b")).select("parcel_id", "_b.*")
-    parcels = parcels.withColumn("idx", F.xxhash64("parcel_id") if order is None else order)
+    parcels = harmonized.groupBy(*key).agg(best.alias("_b")).select(*key, "_b.*")
+    parcels = parcels.withColumn("idx", F.xxhash64(*key) if order is None else order)
     parcels = cut(parcels.where(~is_empty("geom")))
-    shapes = parcels.select(F.col("parcel_id").alias("feature_id"), "idx", "geom")
+    # One name per parcel within the layer; ids may repeat between datasets.
+    name = F.col("parcel_id") if key == ["parcel_id"] else F.concat_ws("\0", F.col("dataset_id").cast("string"), "parcel_id")
+    shapes = parcels.select(name.alias("feature_id"), "idx", "geom")
     now, summary, fixes, issues = correct_topology(shapes, **options)
-    moved = now.where(~is_empty("geom")).select(F.col("feature_id").alias("parcel_id"), "geom")
-    layer = nan_to_null(parcels.drop("geom").join(moved, "parcel_id"))
+    moved = now.where(~is_empty("geom")).select(F.col("feature_id").alias("_name"), "geom")
+    layer = nan_to_null(parcels.withColumn("_name", name).drop("geom").join(moved, "_name").drop("_name"))
     snapped = None
     if buildings is not None:
         numbered = buildings if "idx" in buildings.columns else buildings.withColumn("idx", F.xxhash64("dataset_id", "feature_id"))

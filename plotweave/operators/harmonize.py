@@ -30,7 +30,8 @@ _MADE = (
 def harmonize(matches: DataFrame, features: DataFrame, min_score: int = 70) -> DataFrame:
     """Pairs at or above ``min_score`` with the geometry and all attributes of feature A.
 
-    Features are found by dataset and id where the matches carry ``dataset_a``.
+    Features are found by dataset and id where the matches carry ``dataset_a``; rows then
+    have the dataset as well.
     """
     names, keys = side_of(features, matches, "a")
     rest = [c for c in matches.columns if c == "feature_b"]
@@ -46,6 +47,7 @@ def harmonize(matches: DataFrame, features: DataFrame, min_score: int = 70) -> D
     return rows.select(
         F.concat(F.lit("HARM-"), "feature_id").alias("harmonized_id"),
         F.col("feature_id").alias("parcel_id"),
+        *[c for c in on if c == "dataset_id"],
         "ulpin",
         "bhu_aadhar",
         F.col("feature_id").alias("source_feature_a"),
@@ -75,11 +77,14 @@ def _not_found(name: str) -> Column:
 
 
 def apply_edits(harmonized: DataFrame, superseded: DataFrame, custom: DataFrame) -> DataFrame:
-    """Leave out superseded parcels (parcel_id) and append the ones that replace them."""
-    kept = harmonized.join(superseded.select("parcel_id").distinct(), "parcel_id", "left_anti")
-    kept = kept.join(
-        superseded.select(F.col("parcel_id").alias("harmonized_id")).distinct(), "harmonized_id", "left_anti"
-    )
+    """Leave out superseded parcels (parcel_id) and append the ones that replace them.
+
+    Where both tables carry dataset_id, a parcel is superseded in its own dataset only.
+    """
+    also = ["dataset_id"] if "dataset_id" in harmonized.columns and "dataset_id" in superseded.columns else []
+    kept = harmonized.join(superseded.select("parcel_id", *also).distinct(), ["parcel_id", *also], "left_anti")
+    gone = superseded.select(F.col("parcel_id").alias("harmonized_id"), *also).distinct()
+    kept = kept.join(gone, ["harmonized_id", *also], "left_anti").select(harmonized.columns)
     return kept.unionByName(custom, allowMissingColumns=True)
 
 

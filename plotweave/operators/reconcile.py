@@ -283,14 +283,11 @@ def match_sources(features: DataFrame) -> DataFrame:
 def source_pairs(features: DataFrame, **options) -> DataFrame:
     """Candidate pairs between every two datasets that overlap; A is of the larger one, ties by id.
 
-    One spatial join of the layer with itself; ``rank`` orders the two sides of a pair.
+    One spatial join of the layer with itself; ``rank`` orders the two sides of a pair and
+    is compared in the join, so pairs of one dataset and mirrored ones are never formed.
     """
     ranked = cut(features.join(match_sources(features).select("dataset_id", "rank"), "dataset_id"))
-    pairs = candidates(ranked, ranked, **options)
-    ranks = cut(ranked.select("dataset_id", "rank").distinct())
-    for s in "ab":
-        pairs = pairs.join(ranks.select(F.col("dataset_id").alias(f"dataset_{s}"), F.col("rank").alias(f"_rank_{s}")), f"dataset_{s}")
-    return pairs.where("_rank_a < _rank_b").drop("_rank_a", "_rank_b")
+    return candidates(ranked, ranked, rank="rank", **options)
 
 
 def balanced_queue(cadastral: DataFrame, building: DataFrame, n: int | None = None) -> DataFrame:
@@ -334,9 +331,11 @@ def impact(matches: DataFrame, summary: DataFrame) -> DataFrame:
     """Effect of a topology run on each feature_a: its last pair, score lift and new status.
 
     summary: one row with vertices_snapped, overlaps_resolved, gaps_resolved, slivers_cleaned.
+    With dataset_a and dataset_b on the matches, they belong to the keys and to the result.
     """
-    last = matches.groupBy("feature_a").agg(
-        F.max_by(F.struct("feature_b", "score", "status"), F.struct(-F.col("score"), "feature_b")).alias("m")
+    key, other = ([c for c in (f"dataset_{s}", f"feature_{s}") if c in matches.columns] for s in "ab")
+    last = matches.groupBy(*key).agg(
+        F.max_by(F.struct(*other, "score", "status"), F.struct(-F.col("score"), *reversed(other))).alias("m")
     )
     lift = (
         F.least(F.col("vertices_snapped"), F.lit(12)) * 0.4
@@ -349,8 +348,8 @@ def impact(matches: DataFrame, summary: DataFrame) -> DataFrame:
     rows = last.withColumn("_k", F.lit(1)).join(F.broadcast(one_row), "_k")
     after = F.least(F.lit(99.0), F.round(F.col("m.score") + F.col("lift"), 1))
     return rows.withColumn("score_after", after).select(
-        "feature_a",
-        F.col("m.feature_b").alias("feature_b"),
+        *key,
+        *[F.col(f"m.{c}").alias(c) for c in other],
         F.col("m.score").alias("score_before"),
         "score_after",
         F.col("m.status").alias("status_before"),

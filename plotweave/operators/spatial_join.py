@@ -108,7 +108,7 @@ def _ids(df: DataFrame, side: str) -> list[Column]:
 
 
 def candidates(
-    a: DataFrame, b: DataFrame, pad: float = CANDIDATE_PAD, cap: int | None = None, fallback: int = 0
+    a: DataFrame, b: DataFrame, pad: float = CANDIDATE_PAD, cap: int | None = None, fallback: int = 0, rank: str | None = None
 ) -> DataFrame:
     """Candidate pairs (feature_a, feature_b, distance, fallback) between two layers.
 
@@ -117,22 +117,26 @@ def candidates(
     pairs are given unless ``cap`` asks for the nearest per A, ties by id; copies of one
     shape in B are then cut to the first ``cap`` before the join, as no A can keep more of
     them. ``fallback`` pairs an A without any partner with so many first features of B.
+    ``rank`` names a column of both layers; only pairs whose A ranks lower than B are formed.
     """
     box = F.struct("minx", "miny", "maxx", "maxy")
     right = b.where("minx is not null").select(
-        *_ids(b, "b"), box.alias("rbox"), F.col("cx").alias("bx"), F.col("cy").alias("by")
+        *_ids(b, "b"), *([F.col(rank).alias("_rank_b")] if rank else []), box.alias("rbox"), F.col("cx").alias("bx"), F.col("cy").alias("by")
     )
     if cap is not None:
-        same_shape = Window.partitionBy("rbox", "bx", "by").orderBy("feature_b")
+        same_shape = Window.partitionBy("rbox", "bx", "by", *(["_rank_b"] if rank else [])).orderBy("feature_b")
         right = right.withColumn("_n", F.row_number().over(same_shape)).where(F.col("_n") <= cap).drop("_n")
     left = a.where("minx is not null").select(
         *_ids(a, "a"),
+        *([F.col(rank).alias("_rank_a")] if rank else []),
         expand_bbox(box, pad).alias("lbox"),
         F.col("cx").alias("ax"),
         F.col("cy").alias("ay"),
     )
     ids = [c for c in (*left.columns, *right.columns) if c.startswith(("feature_", "dataset_"))]
-    near = grid_join(left, right).select(*ids, F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("distance"))
+    met = grid_join(left, right)
+    met = met.where("_rank_a < _rank_b") if rank else met
+    near = met.select(*ids, F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("distance"))
     if cap is not None:
         order = Window.partitionBy(*[c for c in ids if c.endswith("_a")]).orderBy("distance", "feature_b")
         near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
@@ -262,11 +266,14 @@ def inside_any(points: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = (
 
 
 def expected_absence(a: DataFrame, near: DataFrame, coverage: DataFrame) -> DataFrame:
-    """A features without candidate: ``real_gap`` inside the coverage of B, else ``expected_absence``."""
-    alone = a.join(near.select(F.col("feature_a").alias("feature_id")), "feature_id", "left_anti")
-    spots = alone.select(F.col("feature_id").alias("pid"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    covered = inside_any(spots, coverage).select(F.col("pid").alias("feature_id"), F.lit(True).alias("_in"))
-    return alone.join(covered, "feature_id", "left").select(
-        "feature_id", F.when(F.col("_in"), "real_gap").otherwise("expected_absence").alias("absence")
-    )
+    """A features without candidate: ``real_gap`` inside the coverage of B, else ``expected_absence``.
+
+    Features are told apart, and named, by dataset and id where ``a`` and ``near`` carry both.
+    """
+    named = {"dataset_id": "dataset_a", "feature_id": "feature_a"}
+    on = [c for c, k in named.items() if c in a.columns and k in near.columns]
+    alone = a.join(near.select(*[F.col(named[c]).alias(c) for c in on]).distinct(), on, "left_anti")
+    spots = alone.select(F.struct(*on).alias("pid"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    covered = inside_any(spots, coverage).select(*[F.col(f"pid.{c}").alias(c) for c in on], F.lit(True).alias("_in"))
+    return alone.join(covered, on, "left").select(*on, F.when(F.col("_in"), "real_gap").otherwise("expected_absence").alias("absence"))
 

@@ -457,4 +457,4 @@ def j14(spark, sf):
     a, b = with_stats(ly.cadastral(spark, sf)), with_stats(ly.municipal(spark, sf))
     near = sj.candidates(a, b, pad=-0.00035)
     extent = b.agg(F.min("minx").alias("x0"), F.min("miny").alias("y0"), (F.max("maxx") - 0.02).alias("x1"), F.max("maxy").alias("y1"))
-    return sj.expected_absence(a, near, extent.select(rect("x0", "y0", "x1", "y1").alias("geom")))
+    return sj.expected_absence(a, near, extent.select(rect("x0", "y0", "x1", "y1").alias("geom"))).select("feature_id", "absence")
