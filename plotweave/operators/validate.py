@@ -24,6 +24,16 @@ def _judged(df: DataFrame) -> DataFrame:
     )
 
 
+def judged(df: DataFrame) -> DataFrame:
+    """``df`` with the issue of each row: ``code`` and ``reason``, null for a valid geometry."""
+    rows = _judged(df)
+
+    def told(place: int):
+        return F.when(F.col("_empty"), EMPTY[place]).when(~F.col("_valid"), INVALID[place])
+
+    return rows.withColumn("code", told(0)).withColumn("reason", told(1)).drop("_empty", "_valid")
+
+
 def validate(df: DataFrame) -> DataFrame:
     """Issue rows (dataset_id, feature_index, reason, code)."""
     bad = _judged(df).where("_empty or not _valid")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plotweave.functions.geometry import area, to_geojson
 from plotweave.plans import layers as ly
 from plotweave.plans.registry import query
-from plotweave.plans.shapes import HARM_SQL, HV, _harmonized
+from plotweave.plans.shapes import HARM_SQL, HV, _defects, _harmonized
 from plotweave.session import scratch_folder
 from plotweave.sources import readers as rd
 from plotweave.sources import writers as wr
@@ -193,6 +193,77 @@ def x1(spark, sf):
     return jobs.ingested(spark, store)
 
 
+def _validated_store(spark, sf) -> str:
+    """Uploads of three datasets with defects, in many files; dataset 1 comes again without some of its parcels."""
+    inbox, store, state = fresh(spark), fresh(spark), fresh(spark)
+    rows = _defects(spark, sf).select("dataset_id", F.lit(1).alias("upload_id"), "feature_index", to_geojson("geom").alias("g"))
+    again = rows.where("dataset_id = 1 AND feature_index % 2 = 1").withColumn("upload_id", F.lit(2))
+    for part, files in ((rows, 60), (again, 40)):
+        line = F.concat(
+            F.lit('{"dataset_id":'), "dataset_id", F.lit(',"upload_id":'), "upload_id", F.lit(',"feature_index":'), "feature_index",
+            F.lit(',"properties":{},"geometry":'), F.coalesce("g", F.lit("null")), F.lit("}"),
+        )
+        part.select(line.alias("value")).repartition(files).write.mode("append").text(inbox)
+        features = rd.uploaded_features(jobs.stream_uploads(spark, inbox, rd.UPLOAD, 25))
+        jobs.run_validated_ingest(features, store, state).awaitTermination()
+        jobs.compact(spark, store, jobs.newest_uploads)
+    return store
+
+
+UPLOADED = "fx_cadastral WHERE (k%3 <> 1 OR k%2 = 1)"
+
+
+@query(
+    "x1_stream_validation",
+    with_sql(
+        C,
+        f"""SELECT k%3 AS dataset_id, k AS feature_index, CASE k%10 WHEN 1 THEN 'invalid_geometry' ELSE 'empty_geometry' END AS code,
+        CASE k%10 WHEN 1 THEN 'Invalid geometry (e.g. self-intersection)' ELSE 'Empty geometry' END AS reason FROM {UPLOADED} AND k%10 IN (1, 2)""",
+    ),
+)
+def x1_validation(spark, sf):
+    return jobs.upload_issues(spark, _validated_store(spark, sf))
+
+
+@query(
+    "x1_upload_report",
+    with_sql(
+        C,
+        f"""SELECT k%3 AS dataset_id, CASE WHEN k%3=1 THEN 2 ELSE 1 END AS upload_id, count(*) AS feature_count, count(*) FILTER (WHERE k%10=2) AS empty_geometry,
+        count(*) FILTER (WHERE k%10=1) AS invalid_geometry, k%3 <> 2 AS complete,
+        CASE WHEN k%3 = 2 THEN 'uploaded' WHEN count(*) FILTER (WHERE k%10 IN (1,2)) = 0 THEN 'validated' ELSE 'invalid' END AS status FROM {UPLOADED} GROUP BY k%3""",
+    ),
+)
+def x1_report(spark, sf):
+    """Of dataset 2 one feature more is expected than has come."""
+    rows = _defects(spark, sf).where("dataset_id <> 1 OR feature_index % 2 = 1").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    upload = F.when(F.col("dataset_id") == 1, 2).otherwise(1).alias("upload_id")
+    expected = rows.select("dataset_id", upload, F.when(F.col("dataset_id") == 2, F.col("n") + 1).otherwise(F.col("n")).alias("expected"))
+    return jobs.upload_report(spark, _validated_store(spark, sf), expected)
+
+
+@query(
+    "x2_compacted_reviews",
+    with_sql(
+        "fx_review",
+        """SELECT conflict_id, event_id, CASE WHEN upper(decision) IN ('APPROVED','ACCEPT') THEN 'APPROVED'
+        WHEN upper(decision) IN ('REJECTED','REJECT') THEN 'REJECTED' WHEN upper(decision) IN ('FLAGGED','FLAG','EDIT') THEN 'FLAGGED' ELSE upper(decision) END AS decision
+        FROM (SELECT *, row_number() OVER (PARTITION BY conflict_id ORDER BY ts DESC, event_id DESC) AS n FROM fx_review) t WHERE n = 1""",
+    ),
+)
+def x2_compacted(spark, sf):
+    """As the review stream, with a compaction after each of three arrivals, the last one read from generation and tail."""
+    inbox, store, state = fresh(spark), fresh(spark), fresh(spark)
+    table = view(spark, sf, "fx_review")
+    for part in range(3):
+        table.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).repartition(4).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 3).parquet(inbox)
+        jobs.run_reviews(stream, store, state).awaitTermination()
+        if part < 2:
+            jobs.compact(spark, store, jobs.review_state)
+    return jobs.stored_reviews(spark, store)
+
+
 @query(
     "x2_stream_reviews",
     with_sql(

@@ -91,6 +91,16 @@ def _shape_of(rows: DataFrame, geometry: str) -> DataFrame:
     return rows.withColumns({"_t": kind, "_c": text})
 
 
+#: Columns of an uploaded feature, one per line.
+UPLOAD = f"dataset_id long, upload_id int, feature_index int, properties map<string,string>, geometry {_SHAPE}"
+
+
+def uploaded_features(rows: DataFrame) -> DataFrame:
+    """``rows`` of UPLOAD, a stream or a table, with ``geom`` in place of the GeoJSON geometry."""
+    shaped = _shape_of(rows, "geometry")
+    return shaped.withColumn("geom", parse_coordinates("_t", "_c")).drop("geometry", "_t", "_c")
+
+
 def _collections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(features, files): parsed features with path and feature_index, and (path, crs, broken) of each file.
 
