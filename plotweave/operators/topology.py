@@ -6,6 +6,8 @@ correction are cut from each other, so a lost executor repeats one stage at most
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from plotweave.functions import kernels as k
 from plotweave.functions.geometry import GEOMETRY, area, bbox, deg2_to_m2, expand_bbox, is_empty, m2_to_deg2, n_vertices
 from plotweave.operators.spatial_join import grid_join, overlay_pairs, overlapping
 from plotweave.operators.union import gaps
-from plotweave.session import cut
+from plotweave.session import cut, scratch_folder
 
 # Default tolerances of the correction.
 TOLERANCE = 0.00005
@@ -168,11 +170,11 @@ def detect_gaps(layer: DataFrame, max_m2: float = MAX_GAP_M2) -> DataFrame:
 
 
 def resolve_overlaps(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[DataFrame, DataFrame]:
-    """Clip the later feature of every overlap up to ``max_m2``. Returns (layer, fixes).
+    """Clip the later feature of every overlap up to ``max_m2`` in one pass over the given shapes. Returns (layer, fixes).
 
-    Works on distinct shapes: a heap of copies enters the join once, under its earliest
-    member, and every later feature loses the shared piece once, with one ledger row, as
-    in the pair-by-pair loop. Copies of one shape never clip each other (nothing would
+    For layers whose overlaps are separate; where three features share a piece, ``resolve_overlaps_in_order``
+    is the pair-by-pair loop. Works on distinct shapes: a heap of copies enters the join once, under its earliest
+    member, and every later feature loses the shared piece once, with one ledger row. Copies of one shape never clip each other (nothing would
     be left).
     """
     layer = cut(layer)
@@ -211,6 +213,106 @@ def resolve_overlaps(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[
     return result, fixes
 
 
+def _turns(layer: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(anchor, anchor_id, idx, box): which feature may clip which later one, and where at most.
+
+    Distinct shapes are joined. A heap of copies clips through its first member, whose piece the
+    later ones would only repeat; each of its members is clipped on its own.
+    """
+    met = overlapping(shapes).where(deg2_to_m2("overlap_units") > NOISE_M2)
+    box = F.struct(
+        F.greatest("ba.minx", "bb.minx").alias("minx"), F.greatest("ba.miny", "bb.miny").alias("miny"),
+        F.least("ba.maxx", "bb.maxx").alias("maxx"), F.least("ba.maxy", "bb.maxy").alias("maxy"),
+    )
+    met = met.withColumns({"ba": bbox("geom_a"), "bb": bbox("geom_b")})
+    pairs = cut(met.select("idx_a", "idx_b", "feature_a", "feature_b", box.alias("box")))
+    both = [
+        pairs.select(F.col(f"idx_{x}").alias("anchor"), F.col(f"feature_{x}").alias("anchor_id"), F.col(f"idx_{y}").alias("shape"), "box")
+        for x, y in ("ab", "ba")
+    ]
+    repeated = shapes.where("n > 1").select("geom", F.col("idx").alias("_shape"))
+    members = layer.join(repeated, "geom", "left").select("idx", F.coalesce("_shape", "idx").alias("shape"))
+    return both[0].unionByName(both[1]).join(members, "shape").where("idx > anchor").drop("shape")
+
+
+def _waits(turns: DataFrame) -> DataFrame:
+    """(before_anchor, before_idx, anchor, idx): turns that an earlier turn may change.
+
+    That needs a feature in common that the earlier turn clips, and boxes that meet: what is cut
+    off elsewhere does not matter.
+    """
+    first = turns.select(
+        F.col("anchor").alias("before_anchor"), F.col("idx").alias("before_idx"), F.col("idx").alias("shared"), F.col("box").alias("lbox")
+    )
+    second = turns.select("anchor", "idx", F.explode(F.array("anchor", "idx")).alias("shared"), F.col("box").alias("rbox"))
+    met = grid_join(first, second, keys=("shared",)).where("before_anchor < anchor")
+    return met.select("before_anchor", "before_idx", "anchor", "idx")
+
+
+def resolve_overlaps_in_order(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[DataFrame, DataFrame]:
+    """Clip the later feature of every overlap up to ``max_m2``, pair by pair in the layer's order. Returns (layer, fixes).
+
+    The outcome is that of a loop over all pairs (lower idx, higher idx) that clips shapes already
+    clipped: a piece that one feature has lost is not taken from the next one again, an overlap
+    that shrinks below the limit is resolved, and a clip that would leave nothing is left out. Pairs
+    run in rounds: one is due when no earlier pair that touches it is open. Layers whose overlaps are separate need
+    one round, others as many as their longest chain of touching overlaps.
+    """
+    layer = cut(layer)
+    spark = layer.sparkSession
+    shapes = layer.groupBy("geom").agg(F.min(F.struct("idx", "feature_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    shapes = cut(shapes.select("first.idx", "first.feature_id", "geom", "n"))
+    turns = cut(_turns(layer, shapes))
+    waits = cut(_waits(turns))
+    pair, folder, turn, kept = ["anchor", "idx"], f"{scratch_folder(spark)}/{uuid.uuid4().hex}", 0, {}
+    part_of = lambda rows: rows.select(F.explode(F.array(*pair)).alias("idx")).distinct()
+    now = cut(layer.select("idx", "geom").join(part_of(turns), "idx", "left_semi"))
+    while True:
+        due = cut(turns.join(waits.select(*pair).distinct(), pair, "left_anti"))
+        met = due.join(now.select(F.col("idx").alias("anchor"), F.col("geom").alias("geom_a")), "anchor").join(now, "idx")
+        met = met.withColumn("_m2", deg2_to_m2(k.intersection_area("geom_a", "geom")))
+        met = met.where((F.col("_m2") > NOISE_M2) & (F.col("_m2") <= max_m2)).withColumn("piece", k.clip("geom_a", "geom"))
+        met = cut(met.where("piece is not null").select("anchor", "anchor_id", "idx", "_m2", "piece"))
+        pieces = met.groupBy("idx").agg(
+            F.flatten(F.collect_list("piece.parts")).alias("parts"), F.min("anchor").alias("least"), F.count(F.lit(1)).alias("n")
+        )
+        cover = F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts")).cast(GEOMETRY)
+        tried = cut(pieces.join(now, "idx").select("idx", "least", "n", k.subtract("geom", cover).alias("_new")))
+        new = tried.where("_new is not null").select("idx", F.col("_new").alias("geom"))
+        # Pieces that only together leave nothing take turns, the first one now.
+        crowded = tried.where("_new is null and n > 1").select("idx", "least")
+        later = due.select(*pair).where("false")
+        if not crowded.isEmpty():
+            crowd = met.join(crowded, "idx")
+            later = cut(crowd.where("anchor > least").select(*pair))
+            alone = crowd.where("anchor = least").join(now, "idx").select("idx", k.subtract("geom", "piece").alias("geom"))
+            new = cut(new.unionByName(alone.where("geom is not null")))
+            met = met.join(later, pair, "left_anti")
+        # The text of the ledger row.
+        text = F.concat(F.format_string("Clipped %.2f m² overlap with feature ", "_m2"), F.col("anchor_id"))
+        fixes = met.join(new.select("idx"), "idx", "left_semi").join(layer.select("idx", "feature_id"), "idx").select(
+            *_fix("overlap_merge", text, F.round("_m2", 4), F.lit(0))
+        )
+        for name, rows in (("clipped", new), ("fixes", fixes)):
+            rows.write.parquet(f"{folder}/{name}/turn={turn}")
+            kept[name] = rows.schema
+        turn += 1
+        held = due.join(later, pair, "left_semi")
+        over = due.select(*pair).join(later, pair, "left_anti")
+        turns = cut(turns.join(due.select(*pair), pair, "left_anti").unionByName(held))
+        if turns.isEmpty():
+            break
+        waits = cut(waits.join(over.toDF("before_anchor", "before_idx"), ["before_anchor", "before_idx"], "left_anti"))
+        now = cut(
+            now.join(part_of(turns), "idx", "left_semi").join(new.withColumnRenamed("geom", "_new"), "idx", "left")
+            .select("idx", F.coalesce("_new", "geom").alias("geom"))
+        )
+    read = lambda name: spark.read.schema(kept[name].add("turn", "integer")).parquet(f"{folder}/{name}")
+    last = read("clipped").groupBy("idx").agg(F.max_by("geom", "turn").alias("_new"))
+    result = layer.join(last, "idx", "left").withColumn("geom", F.coalesce("_new", "geom")).drop("_new")
+    return result, read("fixes").drop("turn")
+
+
 def best_contacts(layer: DataFrame, found: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """For each gap the feature with the longest contact, lowest idx on ties: (gap, idx, feature_id)."""
     gap_side = found.select(F.col("gap").alias("feature_id"), "geom")
@@ -301,7 +403,7 @@ def correct_topology(
         now, more = snap(now, target, tol)
         fixes = fixes.unionByName(more)
     if merge_overlaps:
-        now, more = resolve_overlaps(now, max_overlap_m2)
+        now, more = resolve_overlaps_in_order(now, max_overlap_m2)
         fixes = fixes.unionByName(more)
     if fill_gaps:
         now, more = resolve_gaps(now, max_gap_m2, tol)

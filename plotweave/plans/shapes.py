@@ -346,6 +346,31 @@ def o5(spark, sf):
     return done.select("feature_id", F.round(gm.deg2_to_m2(gm.area("geom")), 3).alias("area"))
 
 
+@query(
+    "o5_overlap_chains",
+    f"""WITH p AS (SELECT p_partkey AS k, 3 + p_partkey % 8 AS h, 24 + p_partkey % 9 AS r, 1e-10 * {ly.FIXED_M2} AS u FROM part)
+    SELECT concat(k, '-', m) AS feature_id, round(u * h * CASE m
+      WHEN 0 THEN 10
+      WHEN 1 THEN 12 - 2
+      WHEN 2 THEN r - 1 - CASE WHEN 9*h*u <= 100 THEN 9 ELSE 0 END - CASE WHEN 10*h*u <= 100 THEN 10 ELSE 0 END
+      ELSE 20 - 5 - CASE WHEN (r-20)*h*u <= 100 THEN r-20 ELSE 0 END END, 3) AS area
+    FROM p, (SELECT unnest([0, 1, 2, 3]) AS m) x""",
+)
+def o5_chains(spark, sf):
+    """Four parcels in a row that share pieces three at a time: each is clipped by what the earlier ones have kept."""
+    p, m, u = F.col("p_partkey"), F.col("m"), 1e-5
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("m"))
+    x, y = 77 + p % 200 * 1e-3, 28 + F.floor(p / 200) * 1e-3
+    first, last = (F.element_at(F.array(*[F.lit(v) for v in ends]), m + 1) for ends in ((0, 8, 1, 15), (10, 20, 0, 35)))
+    last = F.when(m == 2, 24 + p % 9).otherwise(last)
+    layer = part.select(
+        F.concat(p, F.lit("-"), m).alias("feature_id"), (p * 4 + m).alias("idx"),
+        gm.rect(x + first * u, y, x + last * u, y + (3 + p % 8) * u).alias("geom"),
+    )
+    done, _ = tp.resolve_overlaps_in_order(layer)
+    return done.select("feature_id", F.round(gm.deg2_to_m2(gm.area("geom")), 3).alias("area"))
+
+
 @query(
     "o6_resolve_gaps",
     with_sql(

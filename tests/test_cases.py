@@ -299,6 +299,49 @@ def test_copies_lose_a_shared_piece_once(spark):
     assert width[0] == pytest.approx(1e-4) and width[5] == pytest.approx(1e-4) and width[38] == pytest.approx(9e-5)
 
 
+def in_order(boxes, limit):
+    """Pair-by-pair loop over axis-parallel boxes, as sets of cells of a grid of 1e-5 degrees."""
+    cells = [{(x, y) for x in range(x0, x1) for y in range(y0, y1)} for x0, y0, x1, y1 in boxes]
+    fixes = []
+    for i in range(len(cells)):
+        for j in range(i + 1, len(cells)):
+            both = cells[i] & cells[j]
+            if both and len(both) <= limit and cells[j] - both:
+                cells[j] = cells[j] - both
+                fixes.append((j, str(i), len(both)))
+    return cells, sorted(fixes)
+
+
+def check_order(spark, boxes, limit=80):
+    unit = 1e-10 * gm._FIXED_SCALE
+    layer = rects(spark, [(i, str(i), *[v * 1e-5 for v in b]) for i, b in enumerate(boxes)])
+    fixed, fixes = tp.resolve_overlaps_in_order(layer, (limit + 0.5) * unit)
+    cells, want = in_order(boxes, limit)
+    got = sorted((r.idx, r.description.rsplit(" ", 1)[1], round(r.delta_area_sqm / unit)) for r in fixes.collect())
+    assert got == want
+    size = {r.idx: round(r.a / unit) for r in fixed.select("idx", gm.deg2_to_m2(gm.area("geom")).alias("a")).collect()}
+    assert size == {i: len(c) for i, c in enumerate(cells)}
+
+
+def test_overlaps_in_order_equal_the_pair_loop(spark):
+    rng = np.random.default_rng(4)
+    boxes = []
+    for x, y, w, h in rng.integers([0, 0, 3, 3], [60, 60, 14, 14], (24, 4)).tolist():
+        boxes.append((x, y, x + w, y + h))
+    check_order(spark, boxes + boxes[:4])
+
+
+@pytest.mark.parametrize("boxes", [
+    [(0, 0, 10, 2), (8, 0, 20, 2), (6, 0, 30, 2)],  # the second has lost what the third shares with both
+    [(0, 0, 10, 10), (9, 0, 20, 10), (9, 0, 19, 10), (18, 0, 40, 10)],
+    [(0, 0, 5, 5), (6, 0, 11, 5), (0, 0, 11, 5)], [(0, 0, 5, 5), (5, 0, 10, 5), (0, 0, 10, 5)],  # covered in full by two
+    [(0, 0, 10, 10), (9, 0, 20, 10), (0, 0, 10, 10), (9, 0, 20, 10)],  # heaps of copies
+    [(0, 0, 3, 3)], [(0, 0, 20, 20), (0, 0, 20, 20)],
+])
+def test_chains_of_overlaps(spark, boxes):
+    check_order(spark, boxes)
+
+
 def test_t_junction_closes_in_either_order(spark):
     """The corner of one parcel near the long edge of another is inserted there, whichever comes first."""
     long_one = ("long", 77.0, 28.0, 77.002, 28.001)
