@@ -18,7 +18,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+#: The propagation ends when ``STRIDE`` rounds add less than this to the sum of the scores (at most 2) and reach no new host.
+SETTLED, STRIDE = 1e-6, 4
 #: A host is blocked if its distrust is more than this share of trust and distrust.
 BLOCK_SHARE = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,48 +45,56 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return (rule, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, score): personalised PageRank along ``edges`` (src, dst, share) from ``seeds`` (host, seed).
+def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None, settled: float) -> DataFrame:
+    """(way, host, score): personalised PageRank along ``edges`` (way, src, dst, share) from ``seeds`` (way, host, seed).
 
     Shares leaving a host sum to one; what reaches a host without edges ends there. Sums
-    are aggregated before each shuffle and each round is a table of one row per host
-    reached, written to the shared folder.
+    are aggregated before each shuffle and each round is a table of one row per way and host
+    reached, written to the shared folder. Scores only grow, so the difference of two sums is
+    the whole change between them: a sum and a count every ``STRIDE`` rounds reach the driver.
     """
-    base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-    score = cut(base)
-    for _ in range(rounds):
-        flow = (
-            edges.join(score, F.col("src") == F.col("host"))
-            .select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-            .unionByName(base)
-        )
-        after = cut(flow.groupBy("host").agg(F.sum("score").alias("score")))
-        discard(score)
-        score = after
+    base = cut(seeds.select("way", "host", (F.col("seed") * (1 - damping)).alias("score")))
+    score, turn, before = base, 0, (0.0, 0)
+    while rounds is None or turn < rounds:
+        met = edges.join(score.withColumnRenamed("host", "src"), ["way", "src"])
+        flow = met.select("way", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        after = cut(flow.unionByName(base).groupBy("way", "host").agg(F.sum("score").alias("score")))
+        if score is not base:
+            discard(score)
+        score, turn = after, turn + 1
+        if rounds is None and turn % STRIDE == 0:
+            now = score.agg(F.coalesce(F.sum("score"), F.lit(0.0)), F.count(F.lit(1))).first()
+            if now[1] == before[1] and now[0] - before[0] < settled:
+                break
+            before = now
     return score
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(
+    edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, settled: float = SETTLED
+) -> DataFrame:
     """(host, trust, distrust) from weighted host edges (src, dst, n) and seeds (host, allowed, blocked).
 
     Trust starts at hosts with allowed pages, in proportion to them, and follows links.
     Distrust starts at hosts with blocked pages and follows links backwards: who links to
-    blocked hosts is distrusted.
+    blocked hosts is distrusted. Both run together until they settle, so every host that a
+    path joins to a seed gets its share; ``rounds`` asks for a fixed number instead.
     """
 
-    def shares(a: str, b: str) -> DataFrame:
+    def shares(way: str, a: str, b: str) -> DataFrame:
         out = edges.groupBy(a).agg(F.sum("n").alias("all"))
-        return cut(edges.join(out, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("all")).alias("share")))
+        share = (F.col("n") / F.col("all")).alias("share")
+        return edges.join(out, a).select(F.lit(way).alias("way"), F.col(a).alias("src"), F.col(b).alias("dst"), share)
 
-    def start(column: str) -> DataFrame:
+    def start(way: str, column: str) -> DataFrame:
         total = seeds.agg(F.sum(column)).first()[0] or 0
-        return seeds.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(float(total or 1))).alias("seed"))
+        seed = (F.col(column) / F.lit(float(total or 1))).alias("seed")
+        return seeds.where(F.col(column) > 0).select(F.lit(way).alias("way"), "host", seed)
 
-    trust = _rank(shares("src", "dst"), start("allowed"), damping, rounds).withColumnRenamed("score", "trust")
-    distrust = _rank(shares("dst", "src"), start("blocked"), damping, rounds).withColumnRenamed("score", "distrust")
-    return trust.join(distrust, "host", "full_outer").select(
-        "host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
-    )
+    both = cut(shares("trust", "src", "dst").unionByName(shares("distrust", "dst", "src")))
+    ranks = _rank(both, start("trust", "allowed").unionByName(start("distrust", "blocked")), damping, rounds, settled)
+    of = lambda way: F.coalesce(F.sum(F.when(F.col("way") == way, F.col("score"))), F.lit(0.0)).alias(way)
+    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -119,7 +128,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     A page takes the verdict of the longest rule that fits its url. The others take their
     host's: blocked if distrust is over ``block_share`` of trust and distrust there,
-    allowed otherwise, also for hosts the graph does not reach. Seeds are the pages that
+    allowed otherwise, also for hosts that no path joins to a seed. Seeds are the pages that
     rules allow or block. Null urls and urls without ``://`` have an empty host and
     path and are allowed. Null html has no links. Repeated rows weigh as rows, extra
     columns are not read, an empty table gives no rows.

@@ -54,6 +54,23 @@ def test_propagation_equals_matrix_form(spark):
         assert abs(t - trust[x]) < 1e-9 and abs(d - distrust[x]) < 1e-9
 
 
+def test_settled_scores_equal_the_solution(spark):
+    """A chain far longer than the rounds that settle a sum, and a ring, against the linear system."""
+    chain = [(f"c{i}", f"c{i + 1}", 1) for i in range(90)]
+    ring = [(f"r{i}", f"r{(i + 1) % 4}", 2) for i in range(4)] + [("r0", "c88", 1)]
+    edges, seeds = chain + ring, [("c90", 0, 3), ("r1", 2, 0)]
+    nodes = sorted({x for e in edges for x in e[:2]})
+    got = urls.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, allowed long, blocked long"))
+    got = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    trust = rank(nodes, edges, {"r1": 2}, urls.DAMPING, 2000)
+    distrust = rank(nodes, [(b, a, n) for a, b, n in edges], {"c90": 3}, urls.DAMPING, 2000)
+    for x in nodes:
+        t, d = got.get(x, (0, 0))
+        assert abs(t - trust[x]) < 1e-5 and abs(d - distrust[x]) < 1e-5
+        assert (t > 0) == (trust[x] > 0) and (d > 0) == (distrust[x] > 0)
+    assert got["c0"][1] > 0
+
+
 def test_links_to_blocked_hosts_spread_distrust(spark):
     html = '<a href="http://bad.com/de/1">x</a><A HREF = //bad.com/de/2><img src=\'http://bad.com/x\'>'
     rows = [(1, "http://bad.com/de/1", ""), (2, "http://farm.net/a", html), (3, "http://shop.net/a", None), (4, "http://ok.org/", '<a href="https://shop.net/a">'), (5, "http://alone.net/", "<a href='/x'>")]
