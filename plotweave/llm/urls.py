@@ -19,7 +19,7 @@ RULES = (
 )
 DAMPING = 0.85
 #: The propagation ends when ``STRIDE`` rounds add less than this to the sum of the scores (at most 2) and reach no new host.
-SETTLED, STRIDE = 1e-6, 4
+SETTLED, STRIDE = 1e-6, 8
 #: A host is blocked if its distrust is more than this share of trust and distrust.
 BLOCK_SHARE = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,24 +49,29 @@ def _rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None
     """(way, host, score): personalised PageRank along ``edges`` (way, src, dst, share) from ``seeds`` (way, host, seed).
 
     Shares leaving a host sum to one; what reaches a host without edges ends there. Sums
-    are aggregated before each shuffle and each round is a table of one row per way and host
-    reached, written to the shared folder. Scores only grow, so the difference of two sums is
-    the whole change between them: a sum and a count every ``STRIDE`` rounds reach the driver.
+    are aggregated before each shuffle. ``STRIDE`` rounds are one plan, in which the edges
+    are shuffled once, and leave a table of one row per way and host reached in the shared
+    folder. Scores only grow, so the difference of two sums is the whole change between
+    them: one sum and one count per table reach the driver.
     """
     base = cut(seeds.select("way", "host", (F.col("seed") * (1 - damping)).alias("score")))
+    by_source = edges.repartition("way", "src")
     score, turn, before = base, 0, (0.0, 0)
     while rounds is None or turn < rounds:
-        met = edges.join(score.withColumnRenamed("host", "src"), ["way", "src"])
-        flow = met.select("way", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        after = cut(flow.unionByName(base).groupBy("way", "host").agg(F.sum("score").alias("score")))
+        steps = STRIDE if rounds is None else min(STRIDE, rounds - turn)
+        after = score
+        for _ in range(steps):
+            met = by_source.join(after.withColumnRenamed("host", "src"), ["way", "src"])
+            flow = met.select("way", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            after = flow.unionByName(base).groupBy("way", "host").agg(F.sum("score").alias("score"))
+        after = cut(after)
         if score is not base:
             discard(score)
-        score, turn = after, turn + 1
-        if rounds is None and turn % STRIDE == 0:
-            now = score.agg(F.coalesce(F.sum("score"), F.lit(0.0)), F.count(F.lit(1))).first()
-            if now[1] == before[1] and now[0] - before[0] < settled:
-                break
-            before = now
+        score, turn = after, turn + steps
+        now = score.agg(F.coalesce(F.sum("score"), F.lit(0.0)), F.count(F.lit(1))).first()
+        if rounds is None and now[1] == before[1] and now[0] - before[0] < settled:
+            break
+        before = now
     return score
 
 
