@@ -385,6 +385,20 @@ def assemble(rings: pa.Array) -> pa.Array:
     return rg.geometry_array(out)
 
 
+SIMPLE_RINGS_TYPE = T.ArrayType(T.StructType([T.StructField("area", T.DoubleType()), T.StructField("outline", RING_TYPE)]))
+
+
+@_once
+@F.arrow_udf(SIMPLE_RINGS_TYPE)
+def simple_rings(outline: pa.Array) -> pa.Array:
+    """A closed ring as simple rings with their signed areas: one that revisits a vertex falls into several."""
+    out = []
+    for ring in outline.to_pylist():
+        loops = ol.split_pinches(np.array([(p["x"], p["y"]) for p in ring]))
+        out.append([{"area": ol.ring_area(r), "outline": [{"x": x, "y": y} for x, y in r.tolist()]} for r in loops])
+    return pa.array(out, type=pa.list_(pa.struct([("area", pa.float64()), ("outline", rg.RING_T)])))
+
+
 @_once
 @F.arrow_udf(RING_TYPE)
 def chain(steps: pa.Array) -> pa.Array:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.functions import kernels as k
-from plotweave.operators.spatial_join import grid_join, inside_any
+from plotweave.functions.geometry import GEOMETRY, part, polygon
+from plotweave.operators.spatial_join import MIN_CELL, grid_join, inside_any
 from plotweave.session import cut, discard
 
 TOUCH = 1e-11
@@ -129,18 +130,20 @@ def union_boundary(polygons: DataFrame, group: str) -> DataFrame:
     return outer.join(covered, [group, "pid"], "left_anti").select(group, "x1", "y1", "x2", "y2")
 
 
-def rings(edges: DataFrame, group: str, max_rounds: int = 64) -> DataFrame:
+def rings(edges: DataFrame, group: str, max_rounds: int = 64, solid: bool = False) -> DataFrame:
     """Closed rings of boundary pieces: (group, ring, area_units, edges struct rows kept per piece).
 
-    Every piece points to the piece that leaves its end with the rightmost turn. Labels
-    spread along the pointers, doubling their reach each round.
+    Every piece points to the piece that leaves its end with the rightmost turn, so where
+    rings touch in a corner they go round what is outside, and gaps are told apart. With
+    ``solid`` it is the leftmost turn: they go round what is inside, and polygons that touch
+    in corners are told apart. Labels spread along the pointers, doubling their reach each round.
     """
     e = cut(edges.withColumn("id", F.monotonically_increasing_id()))
     c = F.col
     leaving = e.select(group, c("x1").alias("x2"), c("y1").alias("y2"), c("id").alias("to"), c("x2").alias("x3"), c("y2").alias("y3"))
     dx, dy, fx, fy = c("x2") - c("x1"), c("y2") - c("y1"), c("x3") - c("x2"), c("y3") - c("y2")
     turn = F.atan2(dx * fy - dy * fx, dx * fx + dy * fy)
-    step = e.join(leaving, [group, "x2", "y2"]).groupBy("id").agg(F.min_by("to", F.struct(turn, c("to"))).alias("next"))
+    step = e.join(leaving, [group, "x2", "y2"]).groupBy("id").agg(F.min_by("to", F.struct(-turn if solid else turn, c("to"))).alias("next"))
     pieces = cut(e.join(step, "id"))
     jump = pieces.select("id", "next", F.least("id", "next").alias("label"), F.lit(False).alias("moved"))
     last = None
@@ -177,13 +180,75 @@ def ring_outlines(pieces: DataFrame, group: str) -> DataFrame:
     return steps.select(group, "ring", k.chain("steps").alias("outline"))
 
 
-def dissolve(polygons: DataFrame, group: str) -> DataFrame:
-    """One (multi)polygon per group: (group, geom)."""
-    pieces = rings(union_boundary(polygons, group), group)
-    outlines = ring_outlines(pieces, group)
-    return outlines.groupBy(group).agg(F.collect_list("outline").alias("rings")).select(
-        group, k.assemble("rings").alias("geom")
+def nested_rings(polygons: DataFrame, group: str) -> DataFrame:
+    """Boundary of the union as rows, one per simple ring: (group, shell, hole, area_units, outline).
+
+    ``shell`` names the shell a ring belongs to, its own if it is one; holes have a
+    negative area. No row or task holds all rings of a group: holes meet the shells whose
+    boxes enclose theirs. Where there is one such shell, as nearly always, it is the owner.
+    Otherwise the pieces of those shells in the hole's slab of x are counted below a point
+    of the hole, an odd count is inside, and the smallest shell around it owns the hole.
+    """
+    c = F.col
+    outlines = ring_outlines(rings(union_boundary(polygons, group), group, solid=True), group)
+    split = outlines.select(group, "ring", F.posexplode(k.simple_rings("outline")).alias("n", "r"))
+    xs, ys = F.transform("r.outline", lambda p: p["x"]), F.transform("r.outline", lambda p: p["y"])
+    box = F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    simple = cut(
+        split.where("r.area <> 0").select(
+            group, F.struct("ring", "n").alias("id"), c("r.area").alias("area_units"), box.alias("box"), c("r.outline").alias("outline")
+        )
+    )
+    shells, holes = simple.where("area_units > 0"), simple.where("area_units < 0")
+    mid = lambda axis: (c("outline")[0][axis] + c("outline")[1][axis]) / 2
+    inner = holes.select(
+        group, c("id").alias("hole"), (-c("area_units")).alias("lost"), c("box").alias("lbox"), mid("x").alias("x"), mid("y").alias("y")
     )
+    outer = shells.select(group, c("id").alias("shell"), c("area_units").alias("size"), c("box").alias("rbox"))
+    l, r = c("lbox"), c("rbox")
+    encloses = (r["minx"] <= l["minx"]) & (l["maxx"] <= r["maxx"]) & (r["miny"] <= l["miny"]) & (l["maxy"] <= r["maxy"])
+    pairs = grid_join(inner, outer, (group,), ready=True).where(encloses & (c("size") > c("lost")))
+    rivals = F.count(F.lit(1)).over(Window.partitionBy(group, "hole"))
+    pairs = cut(pairs.select(group, "hole", "shell", "size", "x", "y", rivals.alias("rivals")))
+
+    names = [group, "hole", "shell", "size"]
+    unsure = pairs.where("rivals > 1")
+    asked = unsure.select(*names, "x", "y", F.floor(c("x") / MIN_CELL).alias("slab"))
+    walls = shells.join(unsure.select(group, c("shell").alias("id")).distinct(), [group, "id"], "left_semi")
+    walls = walls.select(group, c("id").alias("shell"), F.posexplode("outline").alias("i", "p"), "outline").where("i > 0")
+    start, end = F.get("outline", c("i") - 1), c("p")
+    walls = walls.select(group, "shell", start["x"].alias("x1"), start["y"].alias("y1"), end["x"].alias("x2"), end["y"].alias("y2"))
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    walls = walls.where("x1 <> x2").withColumn("slab", F.explode(F.sequence(F.floor(low / MIN_CELL), F.floor(high / MIN_CELL))))
+    height = c("y1") + (c("x") - c("x1")) * (c("y2") - c("y1")) / (c("x2") - c("x1"))
+    below = (low <= c("x")) & (c("x") < high) & (height < c("y"))
+    crossed = asked.join(walls, [group, "shell", "slab"]).where(below).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    around = pairs.where("rivals = 1").select(*names).unionByName(crossed.where("n % 2 = 1").select(*names))
+    owner = around.groupBy(group, "hole").agg(F.min_by("shell", F.struct("size", "shell")).alias("shell"))
+
+    own = shells.select(group, c("id").alias("shell"), F.lit(False).alias("hole"), "area_units", "outline")
+    owned = holes.join(owner.withColumnRenamed("hole", "id"), [group, "id"])
+    return own.unionByName(owned.select(group, "shell", F.lit(True).alias("hole"), "area_units", "outline"))
+
+
+def dissolved_parts(polygons: DataFrame, group: str) -> DataFrame:
+    """The union as rows, one per polygon: (group, area_units, geom). A row holds one shell and its holes."""
+    outline = F.col("outline")
+    rows = nested_rings(polygons, group).groupBy(group, "shell").agg(
+        F.sum("area_units").alias("area_units"),
+        F.max(F.when(~F.col("hole"), outline)).alias("around"),
+        F.collect_list(F.when(F.col("hole"), outline)).alias("holes"),
+    )
+    return rows.select(group, "area_units", polygon(F.col("around"), F.col("holes")).alias("geom"))
+
+
+def dissolve(polygons: DataFrame, group: str) -> DataFrame:
+    """One (multi)polygon per group, the value of one result row: (group, geom), the largest part first."""
+    first = F.col("geom.parts")[0]
+    ranked = F.struct((-F.col("area_units")).alias("rank"), part(first["shell"], first["holes"]).alias("p"))
+    whole = dissolved_parts(polygons, group).groupBy(group).agg(F.array_sort(F.collect_list(ranked)).alias("ps"))
+    kind = F.when(F.size("ps") > 1, "MultiPolygon").otherwise("Polygon")
+    return whole.select(group, F.struct(kind.alias("type"), F.transform("ps", lambda v: v["p"]).alias("parts")).cast(GEOMETRY).alias("geom"))
 
 
 def gaps(polygons: DataFrame, group: str, low_units: float, high_units: float) -> DataFrame:

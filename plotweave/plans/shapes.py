@@ -93,8 +93,8 @@ def s2(spark, sf):
 
 @query("g4_coverage", with_sql("fx_building", "SELECT dataset_id, round(sum((x1-x0)*(y1-y0))*1000000, 6) AS area FROM fx_building GROUP BY dataset_id"))
 def g4(spark, sf):
-    whole = rd.coverage(ly.buildings(spark, sf))
-    return whole.select("dataset_id", F.round(gm.area("geom") * 1000000, 6).alias("area"))
+    parts = rd.coverage(ly.buildings(spark, sf))
+    return parts.groupBy("dataset_id").agg(F.round(F.sum(gm.area("geom")) * 1000000, 6).alias("area"))
 
 
 def _defects(spark, sf):

@@ -9,7 +9,7 @@ from plotweave.functions import kernels as k
 from plotweave.functions.geometry import GEOMETRY, RING, fix_inversion, is_empty, part, point_geometry, polygon
 from plotweave.functions.projection import epsg, to_wgs84
 from plotweave.functions.text import numeric_value
-from plotweave.operators.union import dissolve
+from plotweave.operators.union import dissolved_parts
 from plotweave.operators.validate import CRS_MISSING, FILE_UNREADABLE
 from plotweave.session import cut
 from plotweave.sources.collections import read_elements
@@ -365,7 +365,6 @@ def flexible_features(df: DataFrame, column: str) -> DataFrame:
 
 
 def coverage(layer: DataFrame, group: str = "dataset_id") -> DataFrame:
-    """Per dataset the union of the convex hulls of its features."""
+    """Per dataset the union of the convex hulls of its features, one row per polygon of it: (group, geom)."""
     hulls = layer.where(~is_empty("geom")).select(group, k.convex_hull("geom").alias("geom"))
-    return dissolve(hulls.where("geom is not null"), group)
-
+    return dissolved_parts(hulls.where("geom is not null"), group).select(group, "geom")

@@ -263,6 +263,44 @@ def test_distributed_union_agrees_with_local_union(spark):
     assert whole == pytest.approx(sum(ol.ring_area(s) + sum(map(ol.ring_area, hs)) for s, hs in local), abs=1e-8)
 
 
+def patches(cells):
+    """Sizes of the groups of cells that share sides."""
+    left, sizes = set(cells), []
+    while left:
+        heap, n = [left.pop()], 0
+        while heap:
+            i, j = heap.pop()
+            n += 1
+            for near in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                if near in left:
+                    left.remove(near)
+                    heap.append(near)
+        sizes.append(n)
+    return sorted(sizes)
+
+
+def test_union_as_ring_rows_agrees_with_patches_of_cells(spark):
+    """Holes in islands in holes, shells beside holes in their boxes, and rings that touch in corners."""
+    side, rng = 0.001, random.Random(8)
+    frame = lambda a, b: {(i, j) for i in range(a, b + 1) for j in range(a, b + 1) if i in (a, b) or j in (a, b)}
+    bay = {(i, 14) for i in range(24)} | {(0, j) for j in range(14, 24)} | {(23, j) for j in range(14, 24)}
+    inlet = {(i + 8, j + 16) for i, j in frame(0, 4)} | {(10, 18)}
+    groups = [
+        frame(0, 12) | frame(2, 10) | frame(4, 8) | {(6, 6)} | bay | inlet,
+        *({(i, j) for i in range(14) for j in range(14) if rng.random() < share} for share in (0.45, 0.65, 0.8)),
+        {(3, 3)},
+    ]
+    rows = [(g, i * side, j * side, (i + 1) * side, (j + 1) * side) for g, cells in enumerate(groups) for i, j in sorted(cells)]
+    layer = spark.createDataFrame(rows * 2, "g int, x0 double, y0 double, x1 double, y1 double").select("g", gm.rect("x0", "y0", "x1", "y1").alias("geom"))
+    parts = [(r.g, r.a, r.units) for r in un.dissolved_parts(layer, "g").select("g", gm.area("geom").alias("a"), F.col("area_units").alias("units")).collect()]
+    for g, cells in enumerate(groups):
+        assert sorted(round(a / side**2) for k, a, _ in parts if k == g) == patches(cells)
+    assert all(a == pytest.approx(units, abs=1e-12) for _, a, units in parts)
+    whole = {r.g: (r.n, r.kind) for r in un.dissolve(layer, "g").select("g", F.size("geom.parts").alias("n"), F.col("geom.type").alias("kind")).collect()}
+    assert whole == {g: (len(patches(c)), "MultiPolygon" if len(patches(c)) > 1 else "Polygon") for g, c in enumerate(groups)}
+    assert un.dissolved_parts(layer.where("false"), "g").count() == 0
+
+
 def test_hotspots_agree_with_brute_force(spark):
     rng = random.Random(11)
     pts = [(i, 60 + rng.uniform(0, 0.05), 10 + rng.uniform(0, 0.1)) for i in range(150)] + [(500 + i, 60.02, 10.05) for i in range(50)]
