@@ -223,3 +223,43 @@ def find_parcels(wanted: DataFrame, custom: DataFrame, features: DataFrame) -> D
         F.when(F.col("_c").isNotNull(), F.col("_co")).otherwise(F.col("_fo")).alias("owner"),
         F.when(origin.isNull(), missing).alias("error"),
     )
+
+
+def trace_parcels(wanted: DataFrame, lineage: DataFrame) -> DataFrame:
+    """Where parcels have gone by now: (parcel_id, current_id, cyclic), a row per wanted and current parcel.
+
+    ``lineage`` (source_id, parcel_id) holds one row per merge or split step; a parcel is
+    current if nothing came from it, so a parcel without steps is its own. ``cyclic`` marks
+    parcels whose steps lead into a circle; ``current_id`` is null if they lead nowhere else.
+    Repeated and null steps count once and not at all. Only wanted parcels are followed,
+    two steps a round, so rounds are half the longest history; only row counts reach the driver.
+    """
+    steps = cut(lineage.select("source_id", "parcel_id").where("source_id is not null and parcel_id is not null").distinct())
+    onward = steps.withColumnsRenamed({"source_id": "node", "parcel_id": "next"})
+
+    def follow(rows: DataFrame) -> DataFrame:
+        return rows.join(onward, "node").select("root", F.col("next").alias("node"))
+
+    new = cut(wanted.select(F.col("parcel_id").alias("root"), F.col("parcel_id").alias("node")).where("root is not null").distinct())
+    seen = new
+    while new.limit(1).count():
+        once = follow(new)
+        new = cut(once.unionByName(follow(once)).distinct().join(seen, ["root", "node"], "left_anti"))
+        seen = seen.unionByName(new)
+
+    # Steps to current parcels are taken away until none is left: what stays leads into circles.
+    left, n = steps, steps.count()
+    while n:
+        fewer = left
+        for _ in range(2):
+            fewer = fewer.join(fewer.select(F.col("source_id").alias("parcel_id")).distinct(), "parcel_id", "left_semi")
+        left, before = cut(fewer), n
+        n = left.count()
+        if n == before:
+            break
+    stuck = left.select(F.col("source_id").alias("root"), F.lit(True).alias("_stuck")).distinct()
+    ends = seen.join(onward.select("node"), "node", "left_anti").withColumnRenamed("node", "current_id")
+    roots = wanted.select(F.col("parcel_id").alias("root")).where("root is not null").distinct()
+    return roots.join(ends, "root", "left").join(stuck, "root", "left").select(
+        F.col("root").alias("parcel_id"), "current_id", F.coalesce("_stuck", F.lit(False)).alias("cyclic")
+    )

@@ -630,6 +630,31 @@ def r11(spark, sf):
     return hz.find_parcels(wanted, custom, ly.cadastral(spark, sf))
 
 
+@query(
+    "r11_trace_parcels",
+    """WITH RECURSIVE p AS (SELECT c_custkey AS k FROM customer),
+      e AS (SELECT concat('P-', k) AS s, concat('P-', k//2) AS t FROM p WHERE k >= 8 UNION SELECT concat('P-', k), concat('S-', k) FROM p WHERE k%5=0
+        UNION SELECT concat('P-', k), concat('P-', 2*k) FROM p WHERE k%50=7),
+      c(a, b) AS (SELECT s, t FROM e UNION SELECT a, t FROM c JOIN e ON b = s),
+      w AS (SELECT concat('P-', k) AS a FROM p),
+      r AS (SELECT a, b FROM c UNION SELECT a, a FROM w),
+      g AS (SELECT a, b FROM r WHERE b NOT IN (SELECT s FROM e)),
+      x AS (SELECT DISTINCT r.a FROM r JOIN c ON c.a = r.b AND c.b = r.b)
+    SELECT w.a AS parcel_id, g.b AS current_id, x.a IS NOT NULL AS cyclic FROM w LEFT JOIN g ON g.a = w.a LEFT JOIN x ON x.a = w.a""",
+)
+def r11_trace(spark, sf):
+    """Merges in pairs over many generations, every fifth parcel split off as well, some merged into what came from them."""
+    k = F.col("c_custkey")
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select(k)
+
+    def steps(when, to):
+        return customers.where(when).select(F.concat(F.lit("P-"), k).alias("source_id"), to.alias("parcel_id"))
+
+    lineage = steps(k >= 8, F.concat(F.lit("P-"), F.floor(k / 2)))
+    lineage = lineage.union(steps(k % 5 == 0, F.concat(F.lit("S-"), k))).union(steps(k % 50 == 7, F.concat(F.lit("P-"), 2 * k)))
+    return hz.trace_parcels(customers.select(F.concat(F.lit("P-"), k).alias("parcel_id")), lineage)
+
+
 @query("r13_snap_buildings")
 def r13(spark, sf):
     """Buildings of the first survey against the harmonized boundary."""

@@ -16,6 +16,7 @@ from plotweave.functions import text as tx
 from plotweave.functions import ulpin as ul
 from plotweave.operators import components as cc
 from plotweave.operators import encroachment as en
+from plotweave.operators import harmonize as hz
 from plotweave.operators import model as md
 from plotweave.operators import reconcile as rc
 from plotweave.operators import scoring as sc
@@ -455,3 +456,14 @@ def test_tables_without_coordinates_are_issues(spark, tmp_path):
         (tmp_path / name).write_text(text)
     assert sorted(r.path.rsplit("/", 1)[1] for r in rd.table_issues(spark, str(tmp_path)).collect()) == ["c.csv"]
     assert rd.read_points(spark, str(tmp_path / "c.csv")).count() == 0
+
+
+def test_trace_of_parcels(spark):
+    """Chains, splits, circles met or joined, null and repeated steps, and parcels nobody knows."""
+    steps = [("a", "b"), ("b", "c"), ("b", "c"), ("c", "d"), ("a", "s"), ("x", "y"), ("y", "x"), ("w", "x"), ("w", "v"), (None, "a"), ("d", None), ("o", "o")]
+    lineage = spark.createDataFrame([(*s, 1) for s in steps], "source_id string, parcel_id string, root int")
+    wanted = spark.createDataFrame([(p,) for p in ["a", "c", "d", "x", "w", "o", "z", "a", None]], "parcel_id string")
+    got = {tuple(r) for r in hz.trace_parcels(wanted, lineage).collect()}
+    assert got == {("a", "d", False), ("a", "s", False), ("c", "d", False), ("d", "d", False), ("x", None, True), ("w", "v", True), ("o", None, True), ("z", "z", False)}
+    assert hz.trace_parcels(wanted.where("false"), lineage).count() == 0
+    assert hz.trace_parcels(wanted, lineage.where("false")).count() == 7
