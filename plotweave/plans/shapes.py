@@ -402,6 +402,97 @@ def o2(spark, sf):
     return tp.snap(_layer(spark, sf))[1].select("feature_id", "vertices_affected")
 
 
+def _spots(spark, sf):
+    """A place of its own for every part, hundredths of a degree apart: k, and x, y of its corner."""
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf}/part.parquet").select(
+        k.alias("k"), (77 + (k % 100) * 0.01).alias("x"), (28 + F.floor(k / 100) * 0.01).alias("y")
+    )
+
+
+SPOTS_SQL = "s AS (SELECT p_partkey AS k, 77 + (p_partkey%100)*0.01e0 AS x, 28 + (p_partkey//100)*0.01e0 AS y FROM part)"
+FIXED_M2 = "12321000000e0*cos(radians(28.6e0))"
+
+
+def _square(x: str, y: str, right: str = "0.001D", top: str = "0.001D"):
+    return gm.rect(F.expr(x), F.expr(y), F.expr(f"x + {right}"), F.expr(f"y + {top}"))
+
+
+def _strays(spark, sf):
+    """(reference squares, strays): a shift within the tolerance, one beyond it, and a wide one whose long sides pass the corners."""
+    spots = _spots(spark, sf)
+    kind, name = F.col("k") % 3, F.concat(F.lit("P"), F.col("k"))
+    geom = (
+        F.when(kind == 0, _square("x + 0.00003D", "y - 0.00002D", "0.00103D", "0.00098D"))
+        .when(kind == 1, _square("x + 0.0003D", "y + 0.0002D", "0.0013D", "0.0012D"))
+        .otherwise(_square("x - 0.0003D", "y + 0.00002D", "0.0013D", "0.00102D"))
+    )
+    columns = [F.col("k").alias("idx"), name.alias("feature_id")]
+    return spots.select(*columns, _square("x", "y").alias("geom")), spots.select(*columns, geom.alias("geom"))
+
+
+SNAPPED_SQL = f"""WITH {SPOTS_SQL}, b AS (SELECT concat('P', k) AS feature_id, CASE k%3 WHEN 0 THEN x WHEN 1 THEN x + 0.0003e0 ELSE x - 0.0003e0 END AS minx,
+    CASE k%3 WHEN 1 THEN y + 0.0002e0 ELSE y END AS miny, CASE k%3 WHEN 0 THEN x + 0.001e0 ELSE x + 0.0013e0 END AS maxx,
+    CASE k%3 WHEN 0 THEN y + 0.001e0 WHEN 1 THEN y + 0.0012e0 ELSE y + 0.00102e0 END AS maxy, CASE k%3 WHEN 2 THEN 9 ELSE 5 END AS corners FROM s)"""
+BOX_SQL = "round(minx, 9) AS minx, round(miny, 9) AS miny, round(maxx, 9) AS maxx, round(maxy, 9) AS maxy, corners"
+
+
+def _boxes(df, *names):
+    box = [F.round(F.col("b")[n], 9).alias(n) for n in ("minx", "miny", "maxx", "maxy")]
+    corners = F.size(F.col("geom.parts")[0]["shell"]).alias("corners")
+    return df.withColumn("b", gm.bbox("geom")).select(*names, *box, corners)
+
+
+@query("o1_snapped_strays", f"{SNAPPED_SQL} SELECT feature_id, {BOX_SQL} FROM b")
+def o1_strays(spark, sf):
+    """Every stray after snapping: onto the reference corners, unmoved, or with four reference corners let in."""
+    squares, strays = _strays(spark, sf)
+    return _boxes(tp.snap(strays, squares)[0], "feature_id")
+
+
+@query("r13_snapped_strays", f"{SNAPPED_SQL} SELECT feature_id, true AS snapped, 'ai_predicted_optimal' AS reconciled_status, {BOX_SQL} FROM b")
+def r13_strays(spark, sf):
+    squares, strays = _strays(spark, sf)
+    return _boxes(tp.snap_buildings(strays, squares), "feature_id", "snapped", "reconciled_status")
+
+
+def _twins(spark, sf):
+    """Two squares at each spot: corners within the tolerance, far apart, or a taller right one beside the left one's side."""
+    spots, kind = _spots(spark, sf), F.col("k") % 3
+    right = (
+        F.when(kind == 0, _square("x + 0.00102D", "y + 0.00001D", "0.002D", "0.00101D"))
+        .when(kind == 1, _square("x + 0.0013D", "y", "0.002D"))
+        .otherwise(_square("x + 0.00103D", "y - 0.0002D", "0.002D", "0.0012D"))
+    )
+    side = lambda n, name, geom: spots.select(
+        (F.col("k") * 2 + n).alias("idx"), F.concat(F.lit(name), F.col("k")).alias("feature_id"), geom.alias("geom")
+    )
+    return side(0, "L", _square("x", "y")).union(side(1, "R", right))
+
+
+@query(
+    "o2_snapped_twins",
+    f"""WITH {SPOTS_SQL} SELECT concat(CASE k%3 WHEN 0 THEN 'L' ELSE 'R' END, k) AS feature_id, CAST(CASE k%3 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS vertices_affected,
+      round(CASE k%3 WHEN 0 THEN 0.00002e0*0.001e0 ELSE 0.00003e0*0.0012e0 END*{FIXED_M2}, 2) AS delta_area_sqm FROM s WHERE k%3 <> 1""",
+)
+def o2_twins(spark, sf):
+    """The left one's corners move to the right one's; a taller right one takes two corners into its side."""
+    return tp.snap(_twins(spark, sf))[1].select("feature_id", "vertices_affected", F.round("delta_area_sqm", 2).alias("delta_area_sqm"))
+
+
+@query(
+    "o10_snap_ledger",
+    f"""WITH {SPOTS_SQL} SELECT 'snap' AS fix_type, count(*) AS n, CAST(sum(CASE k%3 WHEN 0 THEN 1 ELSE 2 END) AS BIGINT) AS vertices,
+      round(sum(round(CASE k%3 WHEN 0 THEN 0.00002e0*0.001e0 ELSE 0.00003e0*0.0012e0 END*{FIXED_M2}, 2)), 1) AS delta FROM s WHERE k%3 <> 1""",
+)
+def o10_snaps(spark, sf):
+    """The whole ledger of a correction run in which everything is snapped, so that nothing is left to merge or fill."""
+    fixes = tp.correct_topology(_twins(spark, sf))[2]
+    return fixes.groupBy("fix_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("vertices_affected").alias("vertices"), F.round(F.sum(F.round("delta_area_sqm", 2)), 1).alias("delta")
+    )
+
+
 COUNTS_SQL = f""", ov AS ({OVERLAPS_SQL}), {GAPS_SQL},
   c AS (SELECT (SELECT count(*) FROM fx_cadastral) AS n, (SELECT count(*) FROM ov WHERE m2 >= 0.01e0) AS o,
     (SELECT coalesce(sum(m2), 0) FROM ov WHERE m2 >= 0.01e0) AS om, (SELECT count(*) FROM g) AS gp, (SELECT coalesce(sum(m2), 0) FROM g) AS gm)"""
