@@ -98,6 +98,31 @@ def t7(spark, sf):
     )
 
 
+@query(
+    "t7_known_fields",
+    """SELECT p_partkey AS feature_index, CASE p_partkey%3 WHEN 0 THEN concat('P', p_partkey) WHEN 1 THEN concat('K', p_partkey) ELSE concat('unknown-', p_partkey) END AS feature_id,
+      p_brand AS owner, CASE WHEN p_partkey%3 < 2 THEN p_type END AS land_use, CASE WHEN p_partkey%3 = 2 THEN p_name END AS village,
+      CAST(4 AS INT) AS n_attributes, true AS coded FROM part""",
+)
+def t7_known(spark, sf):
+    """Plain, vernacular and missing parcel numbers: owner, land use and village arrive, codes are assigned anew, junk goes."""
+    k = F.col("p_partkey")
+    named = lambda *pairs: F.map_from_arrays(F.array(*[F.lit(n) for n, _ in pairs]), F.array(*[v for _, v in pairs]))
+    owner, use = F.col("p_brand"), F.col("p_type")
+    props = (
+        F.when(k % 3 == 0, named(("plot_no", F.concat(F.lit("P"), k)), ("Owner_Name", owner), ("land_use", use), ("Qxzwv", F.lit("junk"))))
+        .when(k % 3 == 1, named(("khasra", F.concat(F.lit("K"), k)), ("malik", owner), ("kism", use)))
+        .otherwise(named(("mauza", F.col("p_name")), ("owner", owner), ("ulpin", F.lit("given"))))
+    )
+    place = point_geometry(77 + (k % 100) * 0.001, 28 + (k % 77) * 0.001)
+    rows = _parts(spark, sf).select(F.lit(1).alias("dataset_id"), k.alias("feature_index"), props.alias("properties"), place.alias("geom"))
+    got = lambda n: F.try_element_at("attributes", F.lit(n))
+    return sd.standardize(rows, "cadastral")[0].select(
+        "feature_index", "feature_id", *[got(n).alias(n) for n in ("owner", "land_use", "village")],
+        F.size("attributes").alias("n_attributes"), (F.length(got("ulpin")) == 14).alias("coded"),
+    )
+
+
 def _layer_words(layer_type: str) -> str:
     rows = ", ".join(f"('{w.lower()}')" for words in st.LAYER_FIELDS[layer_type].values() for w in words)
     return f"(VALUES {rows})"
