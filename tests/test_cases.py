@@ -25,6 +25,7 @@ from plotweave.operators import standardize as sd
 from plotweave.operators import topology as tp
 from plotweave.operators import union as un
 from plotweave.operators import validate as vd
+from plotweave.session import cut
 from plotweave.sources import readers as rd
 
 
@@ -467,3 +468,17 @@ def test_trace_of_parcels(spark):
     assert got == {("a", "d", False), ("a", "s", False), ("c", "d", False), ("d", "d", False), ("x", None, True), ("w", "v", True), ("o", None, True), ("z", "z", False)}
     assert hz.trace_parcels(wanted.where("false"), lineage).count() == 0
     assert hz.trace_parcels(wanted, lineage.where("false")).count() == 7
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_on_cut_tables_are_merge_joins(spark):
+    """Regular coordinates pack a hundred times, so a table broadcast by the size of its files may not fit the driver."""
+    ids = cut(spark.range(2000).select("id", F.struct(*[(F.col("id") * 0.001).alias(n) for n in ("minx", "miny", "maxx", "maxy")]).alias("box")))
+    left, right = ids.select("id", F.col("box").alias("lbox")), ids.select(F.col("id").alias("other"), F.col("box").alias("rbox"))
+    met = sj.grid_join(left, right, ready=True)
+    assert "BroadcastHashJoin" not in _plan(met) and "SortMergeJoin" in _plan(met)
+    assert "BroadcastHashJoin" not in _plan(ids.join(ids.select("id").distinct(), "id", "left_anti"))
+    assert met.where("id = other").count() == 2000
