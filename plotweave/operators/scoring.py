@@ -146,12 +146,15 @@ def prepare(layer: DataFrame) -> DataFrame:
 
 
 def pair_rows(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Attach both prepared features to pairs, by dataset and feature id where the pairs carry both."""
+    """Attach both prepared features to pairs, by dataset and feature id where the pairs carry both.
+
+    In merge joins: by the size of its packed files, a layer with texts and shapes would be broadcast.
+    """
     for df, p in ((a, "a"), (b, "b")):
         keys = {c: f"{c.removesuffix('_id')}_{p}" for c in ("feature_id", "dataset_id")}
         keys = {c: k for c, k in keys.items() if c in df.columns and k in pairs.columns}
         side = df.select(*[F.col(c).alias(keys.get(c, f"{p}_{c}")) for c in df.columns])
-        pairs = pairs.join(side, list(keys.values()))
+        pairs = pairs.join(side.hint("merge"), list(keys.values()))
     return pairs
 
 

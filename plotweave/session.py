@@ -60,6 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as a shuffle has.
+
+    A small file is read by one task, whatever work its rows make afterwards.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later step reads."""
     for df in tables:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotweave.functions.geometry import line, point, rect
+from plotweave.session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -106,13 +107,17 @@ FROM (SELECT p_partkey AS k, o FROM part CROSS JOIN (SELECT 0 AS o UNION ALL SEL
 """,
 }
 
+# Views whose rows make much work in later steps, and the column that deals them out.
+SPREAD = dict.fromkeys(("fx_cadastral", "fx_municipal", "fx_building", "fx_footprint"), "feature_id") | {"fx_match": "feature_a"}
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, read from the parquet tables under ``sf_dir``."""
     for table in TABLES:
         if f" {table}" in VIEWS[name]:
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(VIEWS[name])
+    rows = spark.sql(VIEWS[name])
+    return spread(rows, SPREAD[name]) if name in SPREAD else rows
 
 
 def with_sql(names: str, body: str) -> str:

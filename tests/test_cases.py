@@ -25,7 +25,9 @@ from plotweave.operators import standardize as sd
 from plotweave.operators import topology as tp
 from plotweave.operators import union as un
 from plotweave.operators import validate as vd
+from plotweave.plans import matching as mt
 from plotweave.session import cut
+from plotweave.sources import fixtures as fx
 from plotweave.sources import readers as rd
 
 
@@ -482,3 +484,15 @@ def test_joins_on_cut_tables_are_merge_joins(spark):
     assert "BroadcastHashJoin" not in _plan(met) and "SortMergeJoin" in _plan(met)
     assert "BroadcastHashJoin" not in _plan(ids.join(ids.select("id").distinct(), "id", "left_anti"))
     assert met.where("id = other").count() == 2000
+
+
+def test_pairs_meet_their_features_in_merge_joins(spark):
+    """Layers with texts and shapes are larger than their files by far; the driver need not hold them."""
+    assert "BroadcastHashJoin" not in _plan(mt.near_rows(spark, "/root/testdata/sf0.001"))
+
+
+def test_rows_of_layers_are_dealt_out(spark):
+    """A small file is one task's; the work its shapes make is not."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in fx.SPREAD:
+        assert fx.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() == tasks
