@@ -91,10 +91,19 @@ def s2(spark, sf):
     return rd.points_from(rows).select("row_id", p["x"].alias("lon"), p["y"].alias("lat"))
 
 
-@query("g4_coverage", with_sql("fx_building", "SELECT dataset_id, round(sum((x1-x0)*(y1-y0))*1000000, 6) AS area FROM fx_building GROUP BY dataset_id"))
+@query(
+    "g4_coverage",
+    with_sql(
+        "fx_building",
+        """, b AS (SELECT DISTINCT dataset_id, x0, y0, x1, y1 FROM fx_building)
+        SELECT dataset_id, round(CAST(sum(CAST(round((x1-x0)*(y1-y0)*1000000, 9) AS DECIMAL(28,9))) AS DOUBLE), 6) AS area FROM b GROUP BY dataset_id""",
+    ),
+)
 def g4(spark, sf):
+    """Area of the union: buildings on the same place count once. Sums are decimal, so their order does not matter."""
     parts = rd.coverage(ly.buildings(spark, sf))
-    return parts.groupBy("dataset_id").agg(F.round(F.sum(gm.area("geom")) * 1000000, 6).alias("area"))
+    area = F.round(gm.area("geom") * 1000000, 9).cast("decimal(28,9)")
+    return parts.groupBy("dataset_id").agg(F.round(F.sum(area).cast("double"), 6).alias("area"))
 
 
 def _defects(spark, sf):

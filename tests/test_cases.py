@@ -3,10 +3,13 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
+import check
 from plotweave.functions import geometry as gm
 from plotweave.functions import kernels as k
 from plotweave.functions import outline as ol
@@ -496,3 +499,13 @@ def test_rows_of_layers_are_dealt_out(spark):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in fx.SPREAD:
         assert fx.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() == tasks
+
+
+def test_coverage_counts_buildings_on_one_place_once(spark, tmp_path):
+    """Moved buildings of the second survey lie on others as soon as keys reach 150,000."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k AS c_custkey FROM (SELECT unnest(range(100)) AS k UNION ALL SELECT unnest(range(150000, 150100))) t) TO '{tmp_path}/customer.parquet'")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    df = entry_module.queries()["g4_coverage"](spark, str(tmp_path))
+    assert check.compare(df, con, entry_module.oracle_sql()["g4_coverage"]) is None
+    assert {r.dataset_id: r.area for r in df.collect()} == {1: 32.0, 2: 30.08}
