@@ -201,10 +201,11 @@ def contact_length(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def _overlay(a: pa.Array, b: pa.Array, rule) -> pa.Array:
-    out = []
-    for ra, rb in zip(rg.row_rings(a), rg.row_rings(b)):
-        out.append(rg.to_geometry(ol.regions([ol.oriented(ra), ol.oriented(rb)], rule)))
-    return rg.geometry_array(out)
+    return _outlines([a, b], rule, turn=True)
+
+
+def _outlines(geoms: list, rule, turn: bool) -> pa.Array:
+    return rg.geometry_array([rg.to_geometry(r) for r in ol.row_regions(*rg.segments(geoms, turn), len(geoms[0]), len(geoms), rule)])
 
 
 @_once
@@ -232,10 +233,7 @@ def join_outline(a: pa.Array, b: pa.Array) -> pa.Array:
 @F.arrow_udf(GEOMETRY_TYPE)
 def make_valid(geom: pa.Array) -> pa.Array:
     """Even-odd interpretation of the rings; null when no area is left."""
-    out = []
-    for rr in rg.row_rings(geom):
-        out.append(rg.to_geometry(ol.regions([[r for r, _ in rr]], lambda w: np.abs(w[0]) % 2 == 1)))
-    return rg.geometry_array(out)
+    return _outlines([geom], lambda w: np.abs(w[0]) % 2 == 1, turn=False)
 
 
 def _valid_rows(geom: pa.Array) -> np.ndarray:

@@ -99,6 +99,38 @@ def edges(geom) -> Edges:
     return Edges(r.n_rows, r.row[pick], x1[order], y1[order], x2[order], y2[order], weight[pick])
 
 
+def segments(geoms: list, turn: bool) -> tuple[np.ndarray, ...]:
+    """Segments of the rings of several geometry columns, sorted by row: (p, q, row, layer), the column as the layer.
+
+    With ``turn`` shells run counter-clockwise and holes clockwise, and rings of less than four points are left out.
+    """
+    found = []
+    for layer, geom in enumerate(geoms):
+        r = rings(geom)
+        starts, count = np.cumsum(r.size) - r.size, np.maximum(r.size - 1, 0)
+        ring = np.repeat(np.arange(len(r.size)), count)
+        before = np.cumsum(count) - count
+        step = np.arange(len(ring)) - np.repeat(before, count)
+        p = starts[ring] + step
+        q = p + 1
+        if turn:
+            ox, oy = r.x[starts[ring]], r.y[starts[ring]]
+            gain, loss = (r.x[p] - ox) * (r.y[q] - oy), (r.x[q] - ox) * (r.y[p] - oy)
+            twice, scale = (np.bincount(ring, weights=v, minlength=len(r.size)) for v in (gain - loss, np.abs(gain) + np.abs(loss)))
+            for k in np.flatnonzero((np.abs(twice) <= 1e-9 * scale) & (r.size > 3)):  # the order of the sum decides
+                twice[k] = np.sum((gain - loss)[before[k] : before[k] + count[k]])
+            back = ((twice >= 0) == r.hole)[ring]
+            low = np.where(back, starts[ring] + r.size[ring] - 2 - step, p)
+            p, q = np.where(back, low + 1, low), np.where(back, low, low + 1)
+            some = (r.size > 3)[ring]
+            p, q, ring = p[some], q[some], ring[some]
+        xy = np.column_stack([r.x, r.y])
+        found.append((xy[p], xy[q], r.row[ring], np.full(len(ring), layer)))
+    p, q, row, layer = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((layer, row))
+    return p[order], q[order], row[order], layer[order]
+
+
 def areas(e: Edges) -> np.ndarray:
     ox, oy = _row_min(e.row, e.x1, e.n_rows), _row_min(e.row, e.y1, e.n_rows)
     x1, x2, y1, y2 = e.x1 - ox[e.row], e.x2 - ox[e.row], e.y1 - oy[e.row], e.y2 - oy[e.row]
@@ -144,7 +176,7 @@ def to_geometry(polygons: list[tuple[np.ndarray, list[np.ndarray]]]) -> dict | N
         return None
 
     def ring(r):
-        return [{"x": float(x), "y": float(y)} for x, y in r]
+        return [{"x": x, "y": y} for x, y in r.tolist()]
 
     return {
         "type": "Polygon" if len(polygons) == 1 else "MultiPolygon",

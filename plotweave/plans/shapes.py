@@ -18,6 +18,7 @@ from plotweave.operators.reconcile import detect_conflicts
 from plotweave.plans import layers as ly
 from plotweave.plans.matching import OVERLAPS_SQL
 from plotweave.plans.registry import query
+from plotweave.session import spread
 from plotweave.sources import readers as rd
 from plotweave.sources import writers as wr
 from plotweave.sources.fixtures import corridors, layer, view, with_sql
@@ -368,7 +369,7 @@ def o5(spark, sf):
 def o5_chains(spark, sf):
     """Four parcels in a row that share pieces three at a time: each is clipped by what the earlier ones have kept."""
     p, m, u = F.col("p_partkey"), F.col("m"), 1e-5
-    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("m"))
+    part = spread(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey"), "p_partkey").select("p_partkey", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("m"))
     x, y = 77 + p % 200 * 1e-3, 28 + F.floor(p / 200) * 1e-3
     first, last = (F.element_at(F.array(*[F.lit(v) for v in ends]), m + 1) for ends in ((0, 8, 1, 15), (10, 20, 0, 35)))
     last = F.when(m == 2, 24 + p % 9).otherwise(last)
@@ -414,7 +415,7 @@ def o2(spark, sf):
 def _spots(spark, sf):
     """A place of its own for every part, hundredths of a degree apart: k, and x, y of its corner."""
     k = F.col("p_partkey")
-    return spark.read.parquet(f"{sf}/part.parquet").select(
+    return spread(spark.read.parquet(f"{sf}/part.parquet").select(k), "p_partkey").select(
         k.alias("k"), (77 + (k % 100) * 0.01).alias("x"), (28 + F.floor(k / 100) * 0.01).alias("y")
     )
 

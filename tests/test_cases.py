@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,3 +510,23 @@ def test_coverage_counts_buildings_on_one_place_once(spark, tmp_path):
     df = entry_module.queries()["g4_coverage"](spark, str(tmp_path))
     assert check.compare(df, con, entry_module.oracle_sql()["g4_coverage"]) is None
     assert {r.dataset_id: r.area for r in df.collect()} == {1: 32.0, 2: 30.08}
+
+
+def test_outlines_of_many_rows_at_once_are_those_of_each_row():
+    """Rows share no nodes, whatever they hold: bowties, holes, several parts, nothing."""
+    rnd = random.Random(3)
+
+    def ring(n):
+        points = [{"x": 77 + rnd.randrange(9) * 0.0005, "y": 28 + rnd.randrange(9) * 0.0005} for _ in range(n)]
+        return points + points[:1]
+
+    def geom():
+        parts = [{"shell": ring(rnd.randrange(3, 9)), "holes": [ring(4) for _ in range(rnd.randrange(3))]} for _ in range(rnd.randrange(3))]
+        return {"type": "MultiPolygon", "parts": parts} if rnd.random() < 0.9 else None
+
+    rule = lambda w: (w[0] > 0) & (w[1] <= 0)
+    a, b = (pa.array([geom() for _ in range(300)], type=rg.GEOMETRY_T) for _ in range(2))
+    together = ol.row_regions(*rg.segments([a, b], True), 300, 2, rule)
+    alone = [ol.regions([ol.oriented(x), ol.oriented(y)], rule) for x, y in zip(rg.row_rings(a), rg.row_rings(b))]
+    assert [rg.to_geometry(r) for r in together] == [rg.to_geometry(r) for r in alone]
+    assert sum(map(bool, alone)) > 100
