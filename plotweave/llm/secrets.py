@@ -106,11 +106,9 @@ def _members(data: bytes) -> Iterator[bytes]:
         at -= len(stream.unused_data)
 
 
-def _inner(data: bytes) -> Iterator[bytes]:
-    """What the streams of ``data`` hold, in pieces that overlap; nothing if it only looks like a stream."""
+def _overlapped(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The pieces of one layer in larger ones, each with the end of the one before."""
     carry, held, size = b"", [], 0
-    pieces = _members(data)
-    del data
     for piece in pieces:
         held.append(piece)
         size += len(piece)
@@ -125,6 +123,11 @@ def _inner(data: bytes) -> Iterator[bytes]:
         yield whole
 
 
+def _inner(data: bytes) -> Iterator[bytes]:
+    """What the streams of ``data`` hold, in pieces that overlap; nothing if it only looks like a stream."""
+    return _overlapped(_members(data))
+
+
 def _unfolded(data: bytes) -> Iterator[bytes]:
     """Pieces of what compressed streams hold, streams inside streams opened to any depth; other bytes as they are.
 
@@ -152,16 +155,33 @@ def _unfolded(data: bytes) -> Iterator[bytes]:
         del first, pieces
 
 
-def _raw_deflate(data: bytes) -> bytes:
-    """What a deflate stream without a head holds, if ``data`` is one from start to end; else nothing."""
-    stream, out = zlib.decompressobj(-15), []
+def _raw_members(data: bytes) -> Iterator[bytes]:
+    """Pieces of what a deflate stream without a head holds; an error unless it ends where ``data`` does."""
+    stream, at = _Inflater(-15), 0
+    while not stream.eof:
+        waited = stream.needs_input
+        fed = data[at : at + FEED_BYTES] if waited else b""
+        at += len(fed)
+        piece = stream.decompress(fed, PIECE_BYTES)
+        if piece:
+            yield piece
+        elif waited and not fed:
+            raise zlib.error("the stream ends early")
+    if stream.unused_data or at < len(data):
+        raise zlib.error("more follows the stream")
+
+
+def _raw_deflate(data: bytes) -> Iterator[bytes]:
+    """All of a deflate stream without a head, in pieces that overlap, if ``data`` is one from start to end; else nothing.
+
+    Any bytes may begin such a stream, so it is run to its end first.
+    """
     try:
-        out.append(stream.decompress(data, PIECE_BYTES))
-        while stream.unconsumed_tail and sum(map(len, out)) < PIECE_BYTES:
-            out.append(stream.decompress(stream.unconsumed_tail, PIECE_BYTES))
+        for _ in _raw_members(data):
+            pass
     except zlib.error:
-        return b""
-    return b"".join(out) if stream.eof and not stream.unused_data else b""
+        return
+    yield from _overlapped(_raw_members(data))
 
 
 def _readable(data: bytes) -> list[str]:
@@ -194,7 +214,8 @@ def _base64_layers(run: str) -> Iterator[str]:
         data = base64.b64decode(part + "=" * (-len(part) % 4))
         yield from _opened(data)
         if shift == 0 and not _packed(data[:6]):
-            yield from _readable(_raw_deflate(data))
+            for piece in _raw_deflate(data):
+                yield from _readable(piece)
         starts = {(p - shift) // 4 * 3 for p in breaks if p > shift and p % 4 == shift}
         starts.update(m.start() for m in _GZIP.finditer(data, 1))
         for p in sorted(starts):

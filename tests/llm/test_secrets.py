@@ -156,3 +156,13 @@ def test_random_nestings(spark):
         if not any(k == "assign" for _, _, k in secrets.scan(text)[1]):
             missed.append(text[:80])
     assert not missed
+
+
+def test_a_deflate_stream_without_a_head_is_read_to_its_end():
+    """The secret lies behind the first piece, and once across the border of two."""
+    for before in (secrets.PIECE_BYTES + 1000, secrets.PIECE_BYTES - 10):
+        packer = zlib.compressobj(wbits=-15)
+        raw = packer.compress(b"plain words " * (before // 12) + b" " * (before % 12) + SECRET.encode() + b" plain" * 1000) + packer.flush()
+        run = base64.b64encode(raw).decode()
+        assert ("assign" in {kind for _, _, kind in secrets.scan(f"see {run} .")[1]}), before
+        assert "assign" not in {kind for _, _, kind in secrets.scan(base64.b64encode(raw + b"more").decode())[1]}
