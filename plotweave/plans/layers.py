@@ -37,7 +37,7 @@ def buildings(spark: SparkSession, sf: str) -> DataFrame:
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Both parcel layers under one schema."""
-    return cadastral(spark, sf).unionByName(municipal(spark, sf), allowMissingColumns=True)
+    return cadastral(spark, sf).unionByName(municipal(spark, sf), allowMissingColumns=True).hint("merge")
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:

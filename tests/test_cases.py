@@ -495,6 +495,11 @@ def test_pairs_meet_their_features_in_merge_joins(spark):
     assert "BroadcastHashJoin" not in _plan(mt.near_rows(spark, "/root/testdata/sf0.001"))
 
 
+def test_registry_and_bridge_join_layers_by_merging(spark):
+    for name in ("s9_registry_export", "r5_contract_bridge", "j14_expected_absence"):
+        assert "BroadcastHashJoin" not in _plan(entry_module.queries()[name](spark, "/root/testdata/sf0.001")), name
+
+
 def test_rows_of_layers_are_dealt_out(spark):
     """A small file is one task's; the work its shapes make is not."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
