@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.session import cut, discard
+from plotweave.session import discard, stored as cut
 
 #: Bytes of text that one vectorized step takes at most, unless a single row is longer.
 STEP_BYTES = 2 << 20

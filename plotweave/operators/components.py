@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotweave.session import cut, discard
+from plotweave.session import discard, stored as cut
 
 # Earth radius and neighbourhood of the hotspot clustering.
 EARTH_KM = 6371.0088

@@ -46,18 +46,25 @@ def scratch_folder(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
-def cut(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Materialize as a table in the shared folder and continue from it.
 
     Survives lost executors, keeps plans short, lets later steps read only the columns
     they need and gives the optimizer true row counts (a checkpoint keeps estimates, which
-    multiply over repeated self-joins). Joins on the table are merge joins: its files pack
-    regular coordinates a hundred times, so by their size the driver would collect and
-    broadcast tables that do not fit it. ``F.broadcast`` on a side still goes first.
+    multiply over repeated self-joins).
     """
     path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``stored``, for tables with coordinates: joins on them are merge joins.
+
+    Their files pack regular coordinates a hundred times, so by their size the driver would
+    collect and broadcast tables that do not fit it. ``F.broadcast`` on a side still goes first.
+    """
+    return stored(df).hint("merge")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
