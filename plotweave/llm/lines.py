@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,15 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotweave.llm.common import bound_batches, cut, map_texts, row_key
+from plotweave.llm.common import bound_batches, cut, row_key, steps
 
 #: A repeated run counts from so many words on.
 MIN_WORDS = 10
+#: Windows that a task hands on at once.
+ROWS = 4096
 
 _KEY = ["k0", "k1", "k2"]
 
 
-def fingerprints(lines: list[bytes], min_words: int = MIN_WORDS, ends_too: bool = True) -> list[tuple[int, int, int, int]]:
+def fingerprints(lines: list[bytes], min_words: int = MIN_WORDS, ends_too: bool = True) -> Iterator[tuple[int, int, int, int]]:
     """(fingerprint, first line, number of lines, hash of these lines) of each window of a text.
 
     A window is the shortest run of lines from its first on, or up to its last, with
@@ -27,41 +32,45 @@ def fingerprints(lines: list[bytes], min_words: int = MIN_WORDS, ends_too: bool
     it lies in the window from the run's first line on, any other ends a window of the run.
     Without ``ends_too`` windows start at each line only.
     """
-    kept = [(i, line.strip()) for i, line in enumerate(lines)]
-    kept = [(i, line) for i, line in kept if line]
-    counts = np.fromiter((len(line.split()) for _, line in kept), np.int64, len(kept))
-    hashes = [xxhash.xxh3_64_intdigest(line) for _, line in kept]
+    kept = [line.strip() for line in lines]
+    at = [i for i, line in enumerate(kept) if line]
+    kept = [line for line in kept if line]
+    n = len(kept)
+    counts = np.fromiter((len(line.split()) for line in kept), np.int64, n)
+    hashes = [xxhash.xxh3_64_intdigest(line) for line in kept]
     reach = np.cumsum(counts)
     ends = np.searchsorted(reach, reach - counts + min_words)
-    starts = np.searchsorted(reach - counts, reach - min_words, "right") - 1
-    found = {(j, e) for j, e in enumerate(ends.tolist()) if e < len(kept)}
+    found = np.flatnonzero(ends < n) * n + ends[ends < n]
     if ends_too:
-        found.update((j, e) for e, j in enumerate(starts.tolist()) if j >= 0)
-    out = []
-    for j, e in sorted(found):
-        window = hashes[j : e + 1]
-        low = min(window)
-        whole = xxhash.xxh3_128_intdigest(b"\n".join(line for _, line in kept[j : e + 1]))
-        out.append((low, kept[j][0], kept[e][0] - kept[j][0] + 1, whole))
-    return out
+        starts = np.searchsorted(reach - counts, reach - min_words, "right") - 1
+        found = np.sort(np.append(found, starts[starts >= 0] * n + np.flatnonzero(starts >= 0)))
+        found = found[np.diff(found, prepend=-1) > 0]
+    for w in found:  # as they are wanted, so that a text of many short lines holds no row per window
+        j, e = divmod(int(w), n)
+        whole = xxhash.xxh3_128_intdigest(b"\n".join(kept[j : e + 1]))
+        yield min(hashes[j : e + 1]), at[j], at[e] - at[j] + 1, whole
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS, ends_too: bool = True) -> DataFrame:
     """(k0, k1, k2, fp, at, n, w1, w2): the windows of ``docs`` (k0, k1, k2, text)."""
+    names, kinds = [*_KEY, "fp", "at", "n", "w1", "w2"], [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] * 2
 
-    def run(batch):
-        keys = [batch.column(k).to_pylist() for k in _KEY]
-        rows = []
-        for k0, k1, k2, text in zip(*keys, batch.column("text").to_pylist(), strict=True):
+    def rows(batch):
+        for i in range(batch.num_rows):
+            k0, k1, k2, text = (batch.column(c)[i].as_py() for c in (*_KEY, "text"))
             for fp, at, n, w in fingerprints((text or "").encode().split(b"\n"), min_words, ends_too):
-                rows.append((k0, k1, k2, fp - (1 << 63), at, n, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 8
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*_KEY, "fp", "at", "n", "w1", "w2"]
-        )
-
-    return map_texts(docs, run, "k0 long, k1 long, k2 long, fp long, at int, n int, w1 long, w2 long")
+                yield k0, k1, k2, fp - (1 << 63), at, n, (w >> 64) - (1 << 63), (w & (1 << 64) - 1) - (1 << 63)
+
+    def run(batches):
+        for batch in steps(batches):
+            found = rows(batch)
+            while some := list(islice(found, ROWS)):
+                cols = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        pa.default_memory_pool().release_unused()  # workers are used again
+
+    bound_batches(docs)
+    return docs.mapInArrow(run, "k0 long, k1 long, k2 long, fp long, at int, n int, w1 long, w2 long")
 
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, ends_too: bool = True) -> DataFrame:

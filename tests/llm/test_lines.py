@@ -1,6 +1,7 @@
 """Line dedup against brute force."""
 
 import random
+import tracemalloc
 
 from helpers import SCHEMA, EXTRA, awkward, sentences
 
@@ -92,3 +93,12 @@ def test_runs_reach_their_ends(spark):
     got = {(r.doc_id, n) for r in found for n in range(r.first_line, r.first_line + r.n_lines)}
     assert got & filled == runs_brute(rows)
     assert {(42, 1), (42, 2), (44, 1), (44, 3), (44, 4)} <= got
+
+
+def test_many_short_lines_hold_no_row_per_window():
+    text = [b"w%d" % (i % 977) for i in range(60_000)]
+    tracemalloc.start()
+    n = sum(1 for _ in lines.fingerprints(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 59_991 and peak < 200 * n  # bytes
