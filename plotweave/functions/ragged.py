@@ -143,7 +143,7 @@ def _row_min(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.where(np.isfinite(out), out, 0.0)
 
 
-def products(row_a: np.ndarray, row_b: np.ndarray, n_rows: int, block: int = 2_000_000):
+def products(row_a: np.ndarray, row_b: np.ndarray, n_rows: int, block: int = 1 << 16):
     """Index pairs (i, j) with equal row, in bounded blocks. Both inputs are sorted by row."""
     count_b = np.bincount(row_b, minlength=n_rows)
     first_b = np.concatenate([[0], np.cumsum(count_b)])[:-1]
