@@ -165,15 +165,17 @@ def is_empty(geom: str) -> Column:
     return _sql(EMPTY, geom)
 
 
+_BBOX = let(
+    SHELL_POINTS,
+    "v",
+    """named_struct('minx', array_min(transform(v, p -> p.x)), 'miny', array_min(transform(v, p -> p.y)),
+                    'maxx', array_max(transform(v, p -> p.x)), 'maxy', array_max(transform(v, p -> p.y)))""",
+)
+
+
 def bbox(geom: str) -> Column:
     """struct(minx, miny, maxx, maxy); null members when the geometry is empty."""
-    points = let(
-        SHELL_POINTS,
-        "v",
-        """named_struct('minx', array_min(transform(v, p -> p.x)), 'miny', array_min(transform(v, p -> p.y)),
-                        'maxx', array_max(transform(v, p -> p.x)), 'maxy', array_max(transform(v, p -> p.y)))""",
-    )
-    return _sql(points, geom)
+    return _sql(_BBOX, geom)
 
 
 def n_vertices(geom: str) -> Column:
@@ -181,9 +183,12 @@ def n_vertices(geom: str) -> Column:
     return _sql(f"coalesce(aggregate({RINGS}, 0, (a, r) -> a + size(r)), 0)", geom)
 
 
+_AREA = f"if({IS_POLYGON}, {let(ORIGIN, 'o', _AREA2)} / 2, 0D)"
+
+
 def area(geom: str) -> Column:
     """Planar area in squared coordinate units."""
-    return _sql(f"if({IS_POLYGON}, {let(ORIGIN, 'o', _AREA2)} / 2, 0D)", geom)
+    return _sql(_AREA, geom)
 
 
 def centroid(geom: str) -> Column:
@@ -211,9 +216,13 @@ def vertex_centroid(geom: str) -> Column:
 
 
 def area_local_m2(geom: str) -> Column:
-    """Square metres when the box looks geographic and is under ten degrees wide, else planar."""
-    b = bbox(geom)
-    return local_m2(area(geom), b["minx"], b["miny"], b["maxx"], b["maxy"])
+    """Square metres when the box looks geographic and is under ten degrees wide, else planar.
+
+    ``local_m2`` in SQL text that works out area and box once: Spark repeats expressions with lambdas wherever they occur.
+    """
+    geographic = "b.minx between -180D and 180D and b.miny between -90D and 90D and abs(b.maxx - b.minx) < 10D"
+    scaled = f"if({geographic}, a * ({METRES_PER_DEGREE**2!r}D * cos(radians((b.miny + b.maxy) / 2D))), a)"
+    return _sql(let(_BBOX, "b", let(_AREA, "a", scaled)), geom)
 
 
 def local_m2(area_units, minx, miny, maxx, maxy) -> Column:

@@ -205,7 +205,16 @@ def _overlay(a: pa.Array, b: pa.Array, rule) -> pa.Array:
 
 
 def _outlines(geoms: list, rule, turn: bool) -> pa.Array:
-    return rg.geometry_array([rg.to_geometry(r) for r in ol.row_regions(*rg.segments(geoms, turn), len(geoms[0]), len(geoms), rule)])
+    """Rows that are left with one plain ring, as nearly all, are written column by column, the others one by one."""
+    n = len(geoms[0])
+    xy, node_row, start, end = ol.boundaries(*rg.segments(geoms, turn), n, len(geoms), rule)
+    rows, size, points = ol.lone_rings(xy, node_row, start, end, n)
+    plain = np.zeros(n, bool)
+    plain[rows] = True
+    rest, others = ~plain[node_row[start]], np.flatnonzero(~plain)
+    found = ol.walked(xy, node_row, start[rest], end[rest], n)
+    columns = [rg.polygon_array(size, points), rg.geometry_array([rg.to_geometry(found[at]) for at in others.tolist()])]
+    return pa.concat_arrays(columns).take(pa.array(np.argsort(np.concatenate([rows, others]))))
 
 
 @_once

@@ -186,3 +186,17 @@ def to_geometry(polygons: list[tuple[np.ndarray, list[np.ndarray]]]) -> dict | N
 
 def geometry_array(records: list[dict | None]) -> pa.Array:
     return pa.array(records, type=GEOMETRY_T)
+
+
+def polygon_array(size: np.ndarray, points: np.ndarray) -> pa.Array:
+    """Polygons without holes, one row per closed ring: points per ring, and the points of all rings."""
+    n = len(size)
+    kind, parts = GEOMETRY_T.field("type"), GEOMETRY_T.field("parts")
+    fields = list(parts.type.value_type)
+    offsets = lambda counts: pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+    x, y = (pa.array(np.ascontiguousarray(points[:, i])) for i in (0, 1))
+    shells = pa.ListArray.from_arrays(offsets(size), pa.StructArray.from_arrays([x, y], fields=list(POINT_T)))
+    holes = pa.ListArray.from_arrays(offsets(np.zeros(n, np.int64)), pa.array([], RING_T))
+    part = pa.StructArray.from_arrays([shells, holes], fields=fields)
+    listed = pa.ListArray.from_arrays(offsets(np.ones(n, np.int64)), part)
+    return pa.StructArray.from_arrays([pa.array(["Polygon"] * n, pa.string()), listed], fields=[kind, parts])

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from plotweave.functions import kernels as k
+from plotweave.functions import outline as ol
 from plotweave.functions import ragged as rg
 
 
@@ -29,3 +30,21 @@ def test_pairs_of_many_edges_are_taken_in_small_blocks(kernel):
     parts = [v for at in range(0, 1500, 100) for v in kernel.func(a[at : at + 100], b[at : at + 100]).to_pylist()]
     assert np.allclose(whole.to_pylist(), parts, rtol=1e-9, atol=1e-12)
     assert peak < 60e6
+
+
+def boxes(x, y, w, h):
+    corners = np.stack([np.column_stack([x, y]), np.column_stack([x + w, y]), np.column_stack([x + w, y + h]), np.column_stack([x, y + h]), np.column_stack([x, y])], 1)
+    return rg.geometry_array([rg.to_geometry([(c, [])]) for c in corners])
+
+
+def test_plain_outlines_are_written_column_by_column(monkeypatch):
+    i = np.arange(500)
+    x, y = 77 + i % 50 * 1e-3, 28 + i // 50 * 1e-3
+    a, strips = boxes(x, y, 1e-3, 1e-3), boxes(x - 1e-3, y + 3e-4, 3e-3, 3e-4)
+    sought = ol.row_regions(*rg.segments([a, strips], True), 500, 2, lambda w: (w[0] > 0) & (w[1] > 0))
+    alone = []
+    monkeypatch.setattr(ol, "nest", lambda rings, nest=ol.nest: alone.append(rings) or nest(rings))
+    assert k.clip.func(a, strips).to_pylist() == [rg.to_geometry(r) for r in sought]
+    assert not alone
+    assert k.subtract.func(a, strips).to_pylist()[0]["type"] == "MultiPolygon"  # several rings are nested row by row
+    assert len(alone) == 500
