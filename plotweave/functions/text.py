@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,7 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+@lru_cache(1 << 17)
 def ratio(a: str, b: str) -> float:
     """Insert/delete similarity 0..100."""
     if a == b:

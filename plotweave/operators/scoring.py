@@ -160,10 +160,13 @@ def pair_rows(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 def evidence(rows: DataFrame) -> DataFrame:
     """Add iou, prox, area_sim, haus, attrs, matched/differing fields, rel_a, rel_b (unrounded)."""
-    rows = (
-        rows.withColumn("_inter", k.intersection_area("a_geom", "b_geom"))
-        .withColumn("_haus", k.hausdorff("a_geom", "b_geom"))
-        .withColumn("_sims", similarities("a_texts", "b_texts"))
+    # In one step, so that a pair goes to Python once.
+    rows = rows.withColumns(
+        {
+            "_inter": k.intersection_area("a_geom", "b_geom"),
+            "_haus": k.hausdorff("a_geom", "b_geom"),
+            "_sims": similarities("a_texts", "b_texts"),
+        }
     )
     mean, matched, differing = attribute_evidence("_sims")
     flat = F.coalesce((F.col("_haus") == 0).cast("double"), F.lit(0.0))

@@ -316,8 +316,9 @@ def resolve_overlaps_in_order(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2)
 def best_contacts(layer: DataFrame, found: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """For each gap the feature with the longest contact, lowest idx on ties: (gap, idx, feature_id)."""
     gap_side = found.select(F.col("gap").alias("feature_id"), "geom")
-    pairs = overlay_pairs(gap_side, layer, pad=tol).withColumn("contact", k.contact_length("geom_b", "geom_a"))
-    pairs = pairs.withColumn("apart", k.distance("geom_a", "geom_b")).where(F.col("apart") <= tol)
+    pairs = overlay_pairs(gap_side, layer, pad=tol)
+    pairs = pairs.withColumns({"contact": k.contact_length("geom_b", "geom_a"), "apart": k.distance("geom_a", "geom_b")})
+    pairs = pairs.where(F.col("apart") <= tol)
     best = pairs.groupBy(F.col("feature_a").alias("gap")).agg(
         F.min_by(F.struct(F.col("idx_b").alias("idx"), F.col("feature_b").alias("feature_id")), F.struct(-F.round("contact", 12), "idx_b")).alias("b")
     )

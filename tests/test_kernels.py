@@ -3,11 +3,13 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plotweave.functions import kernels as k
 from plotweave.functions import outline as ol
 from plotweave.functions import ragged as rg
+from plotweave.functions import text as tx
 
 
 def rounds(n, corners, seed):
@@ -48,3 +50,12 @@ def test_plain_outlines_are_written_column_by_column(monkeypatch):
     assert not alone
     assert k.subtract.func(a, strips).to_pylist()[0]["type"] == "MultiPolygon"  # several rings are nested row by row
     assert len(alone) == 500
+
+
+def test_texts_are_compared_once_for_many_batches(monkeypatch):
+    swept = []
+    monkeypatch.setattr(tx, "_common_subsequence", lambda a, b, sweep=tx._common_subsequence: swept.append(a) or sweep(a, b))
+    batch = lambda word: pa.array([[f"{word} {n}"] for n in range(40)])
+    for _ in range(3):
+        assert len(tx.similarities.func(batch("plot of batches"), batch("parcel of batches"))) == 40
+    assert len(swept) == 40
