@@ -40,11 +40,15 @@ def _fix(kind: str, description: Column, delta: Column, vertices: Column) -> lis
 
 
 def _vertices(layer: DataFrame) -> DataFrame:
-    """One row per coordinate: idx, part, ring, pos, x, y, and whether it closes its ring."""
-    rows = layer.select("idx", F.posexplode("geom.parts").alias("part", "p"))
-    rows = rows.select("idx", "part", F.posexplode(F.concat(F.array("p.shell"), F.col("p.holes"))).alias("ring", "r"))
-    return rows.select("idx", "part", "ring", F.posexplode("r").alias("pos", "q"), F.size("r").alias("n")).select(
-        "idx", "part", "ring", "pos", "n", F.col("q.x").alias("x"), F.col("q.y").alias("y")
+    """One row per coordinate: idx, odd, part, ring, pos, x, y. ``odd`` geometries change when they are rebuilt as they are."""
+    repeats = "exists(zip_with(r, slice(r, 2, size(r)), (p, q) -> coalesce(p = q, false)), e -> e)"
+    plain = f"""geom.type = if(size(geom.parts) > 1, 'MultiPolygon', 'Polygon') and not exists(
+        flatten(transform(geom.parts, p -> concat(array(p.shell), p.holes))), r -> size(r) < 4 or {repeats})"""
+    odd = ~F.coalesce(F.expr(" ".join(plain.split())), F.lit(False))
+    rows = layer.select("idx", odd.alias("odd"), F.posexplode("geom.parts").alias("part", "p"))
+    rows = rows.select("idx", "odd", "part", F.posexplode(F.concat(F.array("p.shell"), F.col("p.holes"))).alias("ring", "r"))
+    return rows.select("idx", "odd", "part", "ring", F.posexplode("r").alias("pos", "q")).select(
+        "idx", "odd", "part", "ring", "pos", F.col("q.x").alias("x"), F.col("q.y").alias("y")
     )
 
 
@@ -97,17 +101,15 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
     near = grid_join(verts.withColumn("lbox", _spot("x", "y", tol)), anchors, ready=True).where((d <= tol) & later)
     best = F.struct(-F.col("rank") if own else F.lit(0), d, F.col("rx"), F.col("ry"))
     key = ["idx", "part", "ring", "pos"]
-    target = near.groupBy(*key).agg(F.min_by(F.struct("rx", "ry"), best).alias("to"))
-    moved = cut(
-        verts.join(target, key, "left").select(
-            *key, "n", F.coalesce("to.rx", "x").alias("x"), F.coalesce("to.ry", "y").alias("y")
-        )
-    )
-
+    real = (F.col("rx") != F.col("x")) | (F.col("ry") != F.col("y")) | F.col("odd")
+    target = near.groupBy(*key).agg(F.min_by(F.struct("rx", "ry", real.alias("real")), best).alias("to")).where("to.real")
+    # From here on rows meet by feature: they are dealt out once, by idx, and no join, window or ring needs another shuffle.
     along = Window.partitionBy("idx", "part", "ring").orderBy("pos")
-    edges = moved.withColumns({"x2": F.lead("x").over(along), "y2": F.lead("y").over(along)}).where(
-        "x2 is not null and (x <> x2 or y <> y2)"
+    moved = verts.repartition("idx").join(target.repartition("idx"), key, "left").select(
+        *key, F.coalesce("to.rx", "x").alias("x"), F.coalesce("to.ry", "y").alias("y"), F.col("to").isNotNull().alias("hit")
     )
+    moved = cut(moved.withColumns({"x2": F.lead("x").over(along), "y2": F.lead("y").over(along)}))
+    edges = moved.drop("hit").where("x2 is not null and (x <> x2 or y <> y2)")
     box = F.struct(
         (F.least("x", "x2") - tol).alias("minx"),
         (F.least("y", "y2") - tol).alias("miny"),
@@ -124,19 +126,15 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
         )
         anchors = anchors.withColumn("rbox", _spot("rx", "ry"))
     others = (F.col("rank") != F.col("idx")) | (F.col("least") != F.col("idx")) if own else F.lit(True)
-    beside = grid_join(edges.withColumn("lbox", box), anchors).where(others & (off <= tol) & (t > 0) & (t < 1))
-    corners = moved.select("idx", F.col("x").alias("rx"), F.col("y").alias("ry")).distinct()
-    beside = beside.join(corners, ["idx", "rx", "ry"], "left_anti")
-    inserted = beside.groupBy("idx", "rx", "ry").agg(
-        F.min_by(F.struct("part", "ring", "pos", t.alias("t")), F.struct(off, "part", "ring", "pos")).alias("e")
-    )
-    inserted = inserted.select(
-        "idx", "e.part", "e.ring", F.struct(F.col("e.pos").alias("pos"), F.col("e.t").alias("t")).alias("at"),
-        F.col("rx").alias("x"), F.col("ry").alias("y"),
-    )
-    kept = moved.select("idx", "part", "ring", F.struct("pos", F.lit(0.0).alias("t")).alias("at"), "x", "y")
-    touched = target.select("idx").union(inserted.select("idx")).distinct()
-    rebuilt = _rebuild(kept.unionByName(inserted).join(touched, "idx", "left_semi"))
+    beside = grid_join(edges.withColumn("lbox", box), anchors, ready="left" if own else True)
+    beside = beside.where(others & (off <= tol) & (t > 0) & (t < 1))
+    inserted = beside.select(*key, F.col("rx").alias("x"), F.col("ry").alias("y"), F.lit(True).alias("hit"), t.alias("t"), off.alias("off"))
+    kept = moved.select(*key, "x", "y", "hit", F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("off"))
+    # A vertex is inserted once, into the nearest edge, and not where the feature has a corner: corners have no ``off`` and come first.
+    at_spot = Window.partitionBy("idx", "x", "y").orderBy(F.asc_nulls_first("off"), "part", "ring", "pos")
+    rows = kept.unionByName(inserted).repartition("idx").withColumn("_n", F.row_number().over(at_spot))
+    rows = rows.where("off is null or _n = 1").withColumn("_hit", F.max("hit").over(Window.partitionBy("idx"))).where("_hit")
+    rebuilt = _rebuild(rows.select("idx", "part", "ring", F.struct("pos", "t").alias("at"), "x", "y"))
     rebuilt = rebuilt.withColumnRenamed("geom", "_new")
     joined = layer.join(rebuilt, "idx", "left").withColumn("_new", F.coalesce("_new", "geom"))
     joined = joined.withColumn("_ok", k.is_valid("_new"))

@@ -535,3 +535,13 @@ def test_outlines_of_many_rows_at_once_are_those_of_each_row():
     alone = [ol.regions([ol.oriented(x), ol.oriented(y)], rule) for x, y in zip(rg.row_rings(a), rg.row_rings(b))]
     assert [rg.to_geometry(r) for r in together] == [rg.to_geometry(r) for r in alone]
     assert sum(map(bool, alone)) > 100
+
+
+def test_snap_rebuilds_only_features_that_change(spark, monkeypatch):
+    square = lambda i, x, y: (i, f"s{i}", x, y, x + 0.25, y + 0.25)
+    layer = rects(spark, [square(i, 77 + i % 4 * 0.25, 28 + i // 4 * 0.25) for i in range(16)] + [square(16, 80.0, 28.0), square(17, 80.25001, 28.0)])
+    rebuilt = []
+    monkeypatch.setattr(tp, "_rebuild", lambda rows, rebuild=tp._rebuild: rebuilt.append(rows.select("idx").distinct().count()) or rebuild(rows))
+    snapped, fixes = tp.snap(layer)
+    assert rebuilt == [1] and [r.feature_id for r in fixes.collect()] == ["s16"]  # corners that neighbours share stay where they are
+    assert snapped.count() == 18
