@@ -99,15 +99,16 @@ def _split(edges: DataFrame, group: str) -> DataFrame:
     cuts = pairs.select(
         group, "x1", "y1", "x2", "y2",
         F.explode(F.filter(F.array(touch("u1", "v1"), touch("u2", "v2"), cross), lambda q: q.isNotNull())).alias("cut"),
-    ).distinct()
+    )
+    # One row per edge with its cuts in order, so that an edge is shuffled once, not once per end and cut.
     keys = [group, "x1", "y1", "x2", "y2"]
-    ends = edges.select(*keys, F.explode(F.array(
-        F.struct(F.lit(0.0).alias("t"), c("x1").alias("x"), c("y1").alias("y")),
-        F.struct(F.lit(1.0).alias("t"), c("x2").alias("x"), c("y2").alias("y")),
-    )).alias("cut"))
-    along = Window.partitionBy(*keys).orderBy("cut.t")
-    points = ends.unionByName(cuts).withColumn("next", F.lead("cut").over(along)).where("next is not null")
-    pieces = points.select(group, c("cut.x").alias("x1"), c("cut.y").alias("y1"), c("next.x").alias("x2"), c("next.y").alias("y2"))
+    cuts = cuts.groupBy(*keys).agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
+    end = lambda t, x, y: F.array(F.struct(F.lit(t).alias("t"), c(x).alias("x"), c(y).alias("y")))
+    first, last = end(0.0, "x1", "y1"), end(1.0, "x2", "y2")
+    inner = F.coalesce("cuts", F.filter(first, lambda p: F.lit(False)))
+    step = lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
+    whole = edges.select(*keys).join(cuts, keys, "left")
+    pieces = whole.select(group, F.explode(F.zip_with(F.concat(first, inner), F.concat(inner, last), step)).alias("p")).select(group, "p.*")
     return pieces.where("x1 <> x2 or y1 <> y2")
 
 
@@ -120,7 +121,7 @@ def union_boundary(polygons: DataFrame, group: str) -> DataFrame:
     length = F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))
     outer = pieces.withColumns(
         {
-            "pid": F.struct("x1", "y1", "x2", "y2"),
+            "pid": F.monotonically_increasing_id(),
             "x": (c("x1") + c("x2")) / 2 + OFFSET * (c("y2") - c("y1")) / length,
             "y": (c("y1") + c("y2")) / 2 - OFFSET * (c("x2") - c("x1")) / length,
         }
