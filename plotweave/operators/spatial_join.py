@@ -176,13 +176,16 @@ def _boxed(df: DataFrame, prefix: str, pad: float = 0.0) -> DataFrame:
     )
 
 
-def overlay_pairs(a: DataFrame, b: DataFrame, pad: float = 0.0) -> DataFrame:
+def overlay_pairs(a: DataFrame, b: DataFrame, pad: float = 0.0, touching: bool = True) -> DataFrame:
     """Box-intersecting pairs with both geometries; the base of every exact predicate below.
 
-    A layer joined with itself is stored once.
+    A layer joined with itself is stored once. Without ``touching`` boxes must share some area.
     """
+    l, r = F.col("lbox"), F.col("rbox")
+    apart = [F.least(l[f"max{n}"], r[f"max{n}"]) <= F.greatest(l[f"min{n}"], r[f"min{n}"]) for n in "xy"]
+    met = F.lit(True) if touching else ~(apart[0] | apart[1])
     if a is not b:
-        return grid_join(_boxed(a, "a", pad), _boxed(b, "b")).drop("lbox", "rbox")
+        return grid_join(_boxed(a, "a", pad), _boxed(b, "b")).where(met).drop("lbox", "rbox")
     columns = [c for c in ("feature_id", "idx") if c in a.columns]
     stored = cut(a.select(*columns, "geom", bbox("geom").alias("box")))
 
@@ -191,7 +194,7 @@ def overlay_pairs(a: DataFrame, b: DataFrame, pad: float = 0.0) -> DataFrame:
         return stored.select(*[F.col(c).alias(n) for c, n in names.items() if c in stored.columns], grown.alias(box))
 
     left = side("a", "lbox", expand_bbox("box", pad) if pad else F.col("box"))
-    return grid_join(left, side("b", "rbox", F.col("box")), ready=True).drop("lbox", "rbox")
+    return grid_join(left, side("b", "rbox", F.col("box")), ready=True).where(met).drop("lbox", "rbox")
 
 
 def intersecting(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -200,8 +203,8 @@ def intersecting(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def overlapping(layer: DataFrame) -> DataFrame:
-    """Pairs of one layer, idx_a < idx_b, with the shared area in squared units."""
-    pairs = overlay_pairs(layer, layer).where("idx_a < idx_b")
+    """Pairs of one layer, idx_a < idx_b, with the shared area in squared units; boxes that only touch share none."""
+    pairs = overlay_pairs(layer, layer, touching=False).where("idx_a < idx_b")
     return pairs.withColumn("overlap_units", k.intersection_area("geom_a", "geom_b"))
 
 

@@ -54,13 +54,12 @@ def _vertices(layer: DataFrame) -> DataFrame:
 
 def _rebuild(rows: DataFrame) -> DataFrame:
     """(idx, geom) from ordered coordinate rows (idx, part, ring, at, x, y)."""
-    ring = rows.groupBy("idx", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("at", "x", "y"))).alias("c"))
-    points = "transform(c, v -> named_struct('x', v.x, 'y', v.y))"
+    ring = rows.groupBy("idx", "part", "ring").agg(F.sort_array(F.collect_list(F.struct("at", "x", "y"))).alias("c"))
     # Neighbouring equal points merge after snapping.
-    slim = f"""aggregate({points}, cast(array() as array<struct<x:double,y:double>>), (s, v) ->
-        if(size(s) > 0 and s[size(s) - 1] = v, s, concat(s, array(v))))"""
-    ring = ring.select("idx", "part", "ring", F.expr(" ".join(slim.split())).alias("r")).where("size(r) > 3")
-    parts = ring.groupBy("idx", "part").agg(F.array_sort(F.collect_list(F.struct("ring", "r"))).alias("rs"))
+    spot = "named_struct('x', {0}.x, 'y', {0}.y)"
+    slim = f"transform(filter(c, (v, i) -> i = 0 or {spot.format('v')} <> {spot.format('c[i - 1]')}), v -> {spot.format('v')})"
+    ring = ring.select("idx", "part", "ring", F.expr(slim).alias("r")).where("size(r) > 3")
+    parts = ring.groupBy("idx", "part").agg(F.sort_array(F.collect_list(F.struct("ring", "r"))).alias("rs"))
     parts = parts.where("rs[0].ring = 0").select(
         "idx",
         "part",
@@ -68,7 +67,7 @@ def _rebuild(rows: DataFrame) -> DataFrame:
             F.expr("rs[0].r").alias("shell"), F.expr("transform(slice(rs, 2, size(rs)), v -> v.r)").alias("holes")
         ).alias("p"),
     )
-    whole = parts.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("part", "p"))).alias("ps"))
+    whole = parts.groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("part", "p"))).alias("ps"))
     kind = F.when(F.size("ps") > 1, "MultiPolygon").otherwise("Polygon")
     geom = F.struct(kind.alias("type"), F.expr("transform(ps, v -> v.p)").alias("parts")).cast(GEOMETRY)
     return whole.select("idx", geom.alias("geom"))
@@ -79,6 +78,13 @@ def _spot(x: str, y: str, pad: float = 0.0) -> Column:
     return F.struct((x - pad).alias("minx"), (y - pad).alias("miny"), (x + pad).alias("maxx"), (y + pad).alias("maxy"))
 
 
+def _spots(verts: DataFrame) -> DataFrame:
+    """Distinct places of vertices: rx, ry, rank and least (highest and lowest idx there), odd."""
+    return verts.groupBy(F.col("x").alias("rx"), F.col("y").alias("ry")).agg(
+        F.max("idx").alias("rank"), F.min("idx").alias("least"), F.bool_or("odd").alias("odd")
+    )
+
+
 def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """Snap a polygon layer to the vertices of a reference layer, or to itself.
 
@@ -92,21 +98,29 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
     own = ref is None
     layer = cut(layer)
     verts = cut(_vertices(layer))
-    anchors = verts if own else _vertices(ref)
-    anchors = anchors.groupBy(F.col("x").alias("rx"), F.col("y").alias("ry")).agg(F.max("idx").alias("rank"))
-    anchors = cut(anchors.withColumn("rbox", _spot("rx", "ry")))
+    spots = cut(_spots(verts))
+    anchors = spots if own else cut(_spots(_vertices(ref)))
+    anchors = anchors.select("rx", "ry", "rank", _spot("rx", "ry").alias("rbox"))
 
     d = F.hypot(F.col("rx") - F.col("x"), F.col("ry") - F.col("y"))
-    later = F.col("rank") > F.col("idx") if own else F.lit(True)
-    near = grid_join(verts.withColumn("lbox", _spot("x", "y", tol)), anchors, ready=True).where((d <= tol) & later)
+    later = lambda idx: F.col("rank") > F.col(idx) if own else F.lit(True)
     best = F.struct(-F.col("rank") if own else F.lit(0), d, F.col("rx"), F.col("ry"))
     key = ["idx", "part", "ring", "pos"]
     real = (F.col("rx") != F.col("x")) | (F.col("ry") != F.col("y")) | F.col("odd")
-    target = near.groupBy(*key).agg(F.min_by(F.struct("rx", "ry", real.alias("real")), best).alias("to")).where("to.real")
-    # From here on rows meet by feature: they are dealt out once, by idx, and no join, window or ring needs another shuffle.
+    # Vertices on one spot have the same neighbours, so spots meet once for all of them; those that meet only themselves are done.
+    left = spots.select(F.col("rx").alias("x"), F.col("ry").alias("y"), "least", "odd", _spot("rx", "ry", tol).alias("lbox"))
+    near = grid_join(left, anchors, ready=True).where((d <= tol) & later("least"))
+    near = near.withColumn("_real", F.max(real).over(Window.partitionBy("x", "y"))).where("_real").select("x", "y", "rx", "ry", "rank")
+    target = verts.join(near, ["x", "y"]).where(later("idx")).groupBy(*key).agg(
+        F.min_by(F.struct("rx", "ry", real.alias("real")), best).alias("to")
+    )
+    target = target.where("to.real").select(*key, *[F.lit(None).cast("double").alias(n) for n in "xy"], "to.rx", "to.ry")
+    # From here on rows meet by feature: they are dealt out once, by idx, and no aggregate, window or ring needs another shuffle.
+    # Vertices and their targets are united, as a join on the whole key would be dealt out again.
     along = Window.partitionBy("idx", "part", "ring").orderBy("pos")
-    moved = verts.repartition("idx").join(target.repartition("idx"), key, "left").select(
-        *key, F.coalesce("to.rx", "x").alias("x"), F.coalesce("to.ry", "y").alias("y"), F.col("to").isNotNull().alias("hit")
+    united = verts.select(*key, "x", "y").unionByName(target, allowMissingColumns=True).repartition("idx")
+    moved = united.groupBy(*key).agg(*[F.max(n).alias(n) for n in ("x", "y", "rx", "ry")]).select(
+        *key, F.coalesce("rx", "x").alias("x"), F.coalesce("ry", "y").alias("y"), F.col("rx").isNotNull().alias("hit")
     )
     moved = cut(moved.withColumns({"x2": F.lead("x").over(along), "y2": F.lead("y").over(along)}))
     edges = moved.drop("hit").where("x2 is not null and (x <> x2 or y <> y2)")
@@ -132,8 +146,10 @@ def snap(layer: DataFrame, ref: DataFrame | None = None, tol: float = TOLERANCE)
     kept = moved.select(*key, "x", "y", "hit", F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("off"))
     # A vertex is inserted once, into the nearest edge, and not where the feature has a corner: corners have no ``off`` and come first.
     at_spot = Window.partitionBy("idx", "x", "y").orderBy(F.asc_nulls_first("off"), "part", "ring", "pos")
-    rows = kept.unionByName(inserted).repartition("idx").withColumn("_n", F.row_number().over(at_spot))
-    rows = rows.where("off is null or _n = 1").withColumn("_hit", F.max("hit").over(Window.partitionBy("idx"))).where("_hit")
+    # Features that nothing touches leave before the long sort, those whose insertions all fall on corners after it.
+    touched = lambda rows: rows.withColumn("_hit", F.max("hit").over(Window.partitionBy("idx"))).where("_hit")
+    rows = touched(kept.unionByName(inserted).repartition("idx")).withColumn("_n", F.row_number().over(at_spot))
+    rows = touched(rows.where("off is null or _n = 1"))
     rebuilt = _rebuild(rows.select("idx", "part", "ring", F.struct("pos", "t").alias("at"), "x", "y"))
     rebuilt = rebuilt.withColumnRenamed("geom", "_new")
     joined = layer.join(rebuilt, "idx", "left").withColumn("_new", F.coalesce("_new", "geom"))
@@ -167,6 +183,21 @@ def detect_gaps(layer: DataFrame, max_m2: float = MAX_GAP_M2) -> DataFrame:
     return found.select("gap", F.round(deg2_to_m2("area_units"), 4).alias("gap_area_sqm"), "geom")
 
 
+def _shapes(layer: DataFrame) -> DataFrame:
+    """Distinct shapes under their first member: hash, idx, feature_id, geom, n. Outlines meet by a hash first, as they sort slowly."""
+    shapes = layer.groupBy(F.xxhash64("geom").alias("hash"), "geom").agg(
+        F.min(F.struct("idx", "feature_id")).alias("first"), F.count(F.lit(1)).alias("n")
+    )
+    return shapes.select("hash", "first.idx", "first.feature_id", "geom", "n")
+
+
+def _members(layer: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The layer with ``shape``, the first feature of the same shape."""
+    repeated = shapes.where("n > 1").select("hash", "geom", F.col("idx").alias("_shape"))
+    members = layer.withColumn("hash", F.xxhash64("geom")).join(repeated, ["hash", "geom"], "left")
+    return members.withColumn("shape", F.coalesce("_shape", "idx"))
+
+
 def resolve_overlaps(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[DataFrame, DataFrame]:
     """Clip the later feature of every overlap up to ``max_m2`` in one pass over the given shapes. Returns (layer, fixes).
 
@@ -176,10 +207,7 @@ def resolve_overlaps(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[
     be left).
     """
     layer = cut(layer)
-    shapes = layer.groupBy("geom").agg(
-        F.min(F.struct("idx", "feature_id")).alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    shapes = cut(shapes.select("first.idx", "first.feature_id", "geom", "n"))
+    shapes = cut(_shapes(layer))
     pairs = overlapping(shapes).withColumn("_m2", deg2_to_m2("overlap_units"))
     pairs = cut(
         pairs.where((F.col("_m2") > NOISE_M2) & (F.col("_m2") <= max_m2))
@@ -193,8 +221,7 @@ def resolve_overlaps(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2) -> tuple[
         )
         for x, y in ("ab", "ba")
     ]
-    repeated = shapes.where("n > 1").select("geom", F.col("idx").alias("_shape"))
-    members = layer.join(repeated, "geom", "left").select("idx", "feature_id", F.coalesce("_shape", "idx").alias("shape"))
+    members = _members(layer, shapes).select("idx", "feature_id", "shape")
     lost = both[0].unionByName(both[1]).join(members, "shape").where("idx > anchor")
     pieces = lost.groupBy("idx").agg(F.flatten(F.collect_set("piece.parts")).alias("parts"))
     cover = F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts")).cast(GEOMETRY)
@@ -228,8 +255,7 @@ def _turns(layer: DataFrame, shapes: DataFrame) -> DataFrame:
         pairs.select(F.col(f"idx_{x}").alias("anchor"), F.col(f"feature_{x}").alias("anchor_id"), F.col(f"idx_{y}").alias("shape"), "box")
         for x, y in ("ab", "ba")
     ]
-    repeated = shapes.where("n > 1").select("geom", F.col("idx").alias("_shape"))
-    members = layer.join(repeated, "geom", "left").select("idx", F.coalesce("_shape", "idx").alias("shape"))
+    members = _members(layer, shapes).select("idx", "shape")
     return both[0].unionByName(both[1]).join(members, "shape").where("idx > anchor").drop("shape")
 
 
@@ -258,8 +284,7 @@ def resolve_overlaps_in_order(layer: DataFrame, max_m2: float = MAX_OVERLAP_M2)
     """
     layer = cut(layer)
     spark = layer.sparkSession
-    shapes = layer.groupBy("geom").agg(F.min(F.struct("idx", "feature_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    shapes = cut(shapes.select("first.idx", "first.feature_id", "geom", "n"))
+    shapes = cut(_shapes(layer))
     turns = cut(_turns(layer, shapes))
     waits = cut(_waits(turns))
     pair, folder, turn, kept = ["anchor", "idx"], f"{scratch_folder(spark)}/{uuid.uuid4().hex}", 0, {}
@@ -335,7 +360,7 @@ def resolve_gaps(
     cover = cover.select(
         "idx", F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts")).cast(GEOMETRY).alias("_cover")
     )
-    grown = cut(layer.join(cover, "idx").select("idx", k.join_outline("geom", "_cover").alias("_new")))
+    grown = layer.join(cover, "idx").select("idx", k.join_outline("geom", "_cover").alias("_new"))
     result = layer.join(grown, "idx", "left").withColumn("geom", F.coalesce("_new", "geom")).drop("_new")
     # The text of the ledger row.
     text = F.format_string("Absorbed %.2f m² vacant sliver gap", "gap_area_sqm")
@@ -380,7 +405,7 @@ def repair_layer(layer: DataFrame) -> tuple[DataFrame, DataFrame]:
     return now.drop("_bad", "_fixed"), fixes
 
 
-def correct_topology(
+def fix_topology(
     layer: DataFrame,
     ref: DataFrame | None = None,
     tol: float = TOLERANCE,
@@ -388,15 +413,8 @@ def correct_topology(
     max_overlap_m2: float = MAX_OVERLAP_M2,
     merge_overlaps: bool = True,
     fill_gaps: bool = True,
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Audit, make valid, snap, resolve overlaps and gaps, audit again.
-
-    Returns (corrected layer, one-row summary, fixes, remaining issues).
-    """
-    layer = cut(layer)
-    pre_overlaps, pre_gaps = cut(detect_overlaps(layer)), cut(detect_gaps(layer, max_gap_m2))
-    before = audit(layer, pre_overlaps, pre_gaps)
-
+) -> tuple[DataFrame, DataFrame]:
+    """Make valid, snap, resolve overlaps and gaps. Returns (corrected layer, fixes)."""
     now, fixes = repair_layer(layer)
     for target in [None] if ref is None else [ref, None]:
         now, more = snap(now, target, tol)
@@ -407,6 +425,28 @@ def correct_topology(
     if fill_gaps:
         now, more = resolve_gaps(now, max_gap_m2, tol)
         fixes = fixes.unionByName(more)
+    return now, fixes
+
+
+def correct_topology(
+    layer: DataFrame,
+    ref: DataFrame | None = None,
+    tol: float = TOLERANCE,
+    max_gap_m2: float = MAX_GAP_M2,
+    max_overlap_m2: float = MAX_OVERLAP_M2,
+    merge_overlaps: bool = True,
+    fill_gaps: bool = True,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Audit, make valid, snap, resolve overlaps and gaps, audit again.
+
+    Returns (corrected layer, one-row summary, fixes, remaining issues). Where only the layer or
+    its ledger is wanted, ``fix_topology`` is the run without the two audits.
+    """
+    layer = cut(layer)
+    pre_overlaps, pre_gaps = cut(detect_overlaps(layer)), cut(detect_gaps(layer, max_gap_m2))
+    before = audit(layer, pre_overlaps, pre_gaps)
+
+    now, fixes = fix_topology(layer, ref, tol, max_gap_m2, max_overlap_m2, merge_overlaps, fill_gaps)
     now, fixes = cut(now), cut(fixes)
 
     left_overlaps, left_gaps = cut(detect_overlaps(now)), cut(detect_gaps(now, max_gap_m2))

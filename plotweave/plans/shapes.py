@@ -497,7 +497,7 @@ def o2_twins(spark, sf):
 )
 def o10_snaps(spark, sf):
     """The whole ledger of a correction run in which everything is snapped, so that nothing is left to merge or fill."""
-    fixes = tp.correct_topology(_twins(spark, sf))[2]
+    fixes = tp.fix_topology(_twins(spark, sf))[1]
     return fixes.groupBy("fix_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("vertices_affected").alias("vertices"), F.round(F.sum(F.round("delta_area_sqm", 2)), 1).alias("delta")
     )
@@ -558,7 +558,7 @@ def o10(spark, sf):
 
     What is still snapped are vertices that lie on a neighbour's edge already.
     """
-    fixes = tp.correct_topology(_layer(spark, sf), tol=1e-9)[2]
+    fixes = tp.fix_topology(_layer(spark, sf), tol=1e-9)[1]
     return fixes.where("fix_type <> 'snap'").groupBy("fix_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("delta_area_sqm"), 1).alias("delta"))
 
 

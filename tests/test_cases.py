@@ -545,3 +545,30 @@ def test_snap_rebuilds_only_features_that_change(spark, monkeypatch):
     snapped, fixes = tp.snap(layer)
     assert rebuilt == [1] and [r.feature_id for r in fixes.collect()] == ["s16"]  # corners that neighbours share stay where they are
     assert snapped.count() == 18
+
+
+def test_ledger_is_written_without_audits(spark, monkeypatch):
+    """Gaps are searched once, by the step that fills them: the audits before and after do not reach the ledger."""
+    searched = []
+    monkeypatch.setattr(tp, "detect_gaps", lambda *args, search=tp.detect_gaps: searched.append(1) or search(*args))
+    layer = rects(spark, [(0, "a", 77.0, 28.0, 77.25, 28.25), (1, "b", 77.2499999, 28.0, 77.5, 28.25), (2, "c", 78.0, 28.0, 78.25, 28.25)])
+    ledger = lambda fixes: sorted((r.fix_type, r.idx, r.delta_area_sqm) for r in fixes.collect())
+    audited = ledger(tp.correct_topology(layer, tol=1e-9, max_overlap_m2=1e6)[2])
+    assert len(searched) == 3 and [r[:2] for r in audited] == [("overlap_merge", 1), ("snap", 0), ("snap", 1)]
+    assert ledger(tp.fix_topology(layer, tol=1e-9, max_overlap_m2=1e6)[1]) == audited and len(searched) == 4
+    assert entry_module.queries()["o10_fix_ledger"](spark, "/root/testdata/sf0.001").count() == 2 and len(searched) == 5
+
+
+def test_vertices_on_one_spot_meet_their_neighbours_once(spark, monkeypatch):
+    square = lambda i, x, y: (i, f"s{i}", x, y, x + 0.25, y + 0.25)
+    layer = rects(spark, [square(i, 77 + i % 4 * 0.25, 28 + i // 4 * 0.25) for i in range(16)] + [square(16, 77.0, 28.0)])
+    met = []
+    monkeypatch.setattr(tp, "grid_join", lambda left, *args, join=tp.grid_join, **kw: met.append(left.count()) or join(left, *args, **kw))
+    snapped, fixes = tp.snap(layer)
+    assert met[0] == 25 and fixes.count() == 0 and snapped.count() == 17
+
+
+def test_boxes_that_only_touch_are_no_overlaps(spark):
+    square = lambda i, x, y: (i, f"s{i}", x, y, x + 0.25, y + 0.25)
+    layer = rects(spark, [square(i, 77 + i % 4 * 0.25, 28 + i // 4 * 0.25) for i in range(16)] + [square(16, 77.125, 28.0)])
+    assert {(r.idx_a, r.idx_b) for r in sj.overlapping(layer).collect()} == {(0, 16), (1, 16)}
