@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotweave.llm.common import cut, discard, map_texts, raw, row_key
@@ -173,11 +173,10 @@ def _whole(fps: DataFrame, radius: int) -> DataFrame:
                 )
 
     variants = _spread(fps).mapInArrow(emit, "variant long, fp long")
-    # A star needs each member's smallest mate only: minima are aggregated before the shuffle.
-    low = variants.groupBy("variant").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w")
-    return (
-        variants.join(low, "variant").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-    )
+    # A window, not a join with the minima: the optimizer takes what a fingerprint emits for as small as the fingerprint,
+    # and would broadcast it. A variant has as many members as masks at most, since fingerprints are distinct.
+    low = F.min("fp").over(Window.partitionBy("variant"))
+    return variants.select(F.col("fp").alias("u"), low.alias("v")).where("u <> v").distinct()
 
 
 def classes(fps: DataFrame, radius: int = RADIUS, blocks: int = 2) -> DataFrame:

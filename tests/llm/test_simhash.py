@@ -5,6 +5,7 @@ import random
 import pytest
 import xxhash
 from helpers import awkward, components, sentences
+from pyspark.sql import functions as F
 
 from plotweave.llm import simhash
 
@@ -83,3 +84,9 @@ def test_other_radii_lose_no_link(spark, radius):
     assert {r["fp"]: r["class"] for r in simhash.classes(df, radius).collect()} == components(signed, links)
     with pytest.raises(ValueError):
         simhash.links(df, 3)
+
+
+def test_variants_of_whole_words_are_not_broadcast(spark):
+    df = spark.range(200).select("id", (F.col("id") * 3).alias("fp")).drop("id")
+    plan = simhash.links(df, blocks=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("MapInArrow") == 1  # emitted and shuffled once
