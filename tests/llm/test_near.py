@@ -105,3 +105,29 @@ def test_links_keep_groups_and_first_links(spark, monkeypatch):
         got = {((r.u0, r.u1), (r.v0, r.v1)): r.d for r in rows}
         assert len(got) == len(rows) and got.items() <= want.items()
         assert components(ids, got) == components(ids, want) and first(got) == first(want)
+
+
+def test_all_members_of_a_group_are_compared(spark, monkeypatch):
+    rng, texts = random.Random(6), []
+    for length in (60, 80, 120):  # chains, in which most links do not share enough
+        words = " ".join(sentences(rng, 12)).split()[:length]
+        for _ in range(60):
+            words[rng.randrange(len(words))] = rng.choice(["one", "two", "three"])
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    sets = [near.shingles(t.encode()) for t in texts]
+    prints = [tuple(int(np.uint64(x).view(np.int64)) for x in near.fingerprint(s)) for s in sets]
+    links = all_links([(p, len(s)) for p, s in zip(prints, sets)])
+    group = components(set(prints), links)
+    sets = [set(s.tolist()) for s in sets]
+    same = [
+        (i, j) for j in range(len(texts)) for i in range(j)
+        if group[prints[i]] == group[prints[j]] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        and sum((a ^ b).bit_count() for a, b in zip(*[[x & (1 << 64) - 1 for x in prints[k]] for k in (i, j)])) <= near.RADIUS
+    ]
+    want = set(components(range(len(texts)), same).values())
+    assert len(want) < len(texts) - 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for tile in (1 << 20, 1 << 14):
+        monkeypatch.setattr(near, "TILE", tile, raising=False)
+        assert {r.doc_id for r in near.keep_one(df).collect()} == want
