@@ -14,8 +14,10 @@ from plotweave.operators.components import connected_components
 
 #: Bound of the pivots: a parameter, so the table of pivots does not grow with the data.
 PIVOTS = 16
-#: Rows of a cell that one task holds, and rows it meets them with.
-TILE, STRIP = 2048, 8192
+#: Rows of a cell that one task holds, and rows it meets them with; fewer of vectors with over WIDE components.
+TILE, STRIP, WIDE = 16384, 16384, 64
+#: Rows of a tile that are multiplied at once.
+STEP = 128
 #: Slack of the boundary test against rounding; it only replicates more.
 SLACK = 1e-9
 
@@ -37,18 +39,16 @@ def _units(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out / np.sqrt((out * out).sum(1, keepdims=True)), sizes
 
 
-def _roots(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node reachable through ``mask``) for the rows and columns that have links."""
-    i, j = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-    sub, a, b = mask[np.ix_(i, j)], left[i].copy(), right[j].copy()
-    far = np.iinfo(np.int64).max
-    while len(i):
-        a2 = np.minimum(a, np.where(sub, b[None], far).min(1))
-        b2 = np.minimum(b, np.where(sub, a2[:, None], far).min(0))
-        if (a2 == a).all() and (b2 == b).all():
-            break
-        a, b = a2, b2
-    return np.concatenate([left[i], right[j]]), np.concatenate([a, b])
+def _joined(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``low``, the smallest node that each row is known to reach, after rows i and j are linked."""
+    while (apart := low[i] != low[j]).any():
+        i, j = i[apart], j[apart]
+        high, at = np.unique(np.maximum(low[i], low[j]), return_inverse=True)
+        best = high.copy()
+        np.minimum.at(best, at, np.minimum(low[i], low[j]))
+        place = np.minimum(np.searchsorted(high, low), len(high) - 1)
+        low = np.where(high[place] == low, best[place], low)
+    return low
 
 
 def cell_links(vectors: DataFrame, cosine: float, pivots: int = PIVOTS) -> DataFrame:
@@ -102,8 +102,9 @@ def cell_links(vectors: DataFrame, cosine: float, pivots: int = PIVOTS) -> DataF
     members = cut(placed.select("node", "v", "w", "home", cells.alias("cells")))
     homes = {x["home"]: x["n"] for x in members.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     met = {x["cell"]: x["n"] for x in members.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_tiles = {c: -(-n // TILE) for c, n in homes.items()}
-    n_strips = {c: -(-n // STRIP) for c, n in met.items()}
+    tile, strip = (max(1, n * WIDE // max(width, WIDE)) for n in (TILE, STRIP))
+    n_tiles = {c: -(-n // tile) for c, n in homes.items()}
+    n_strips = {c: -(-n // strip) for c, n in met.items()}
 
     def of(table: dict, cell) -> F.Column:
         return F.element_at(F.create_map(*[F.lit(x).cast("int") for kv in table.items() for x in kv]), cell.cast("int"))
@@ -129,16 +130,18 @@ def cell_links(vectors: DataFrame, cosine: float, pivots: int = PIVOTS) -> DataF
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
         if not len(a) or not len(b):
             return pa.table({"node": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        mask = x[a] @ x[b].T >= cosine
-        mask &= (sizes[a][:, None] == sizes[b][None]) & (node[a][:, None] != node[b][None])
-        left = mask @ w[b]
-        right = mask[:, side[b] == 2].T @ w[a]
-        nodes, roots = _roots(mask, node[a], node[b])
-        ids = np.concatenate([nodes, node[a], node[b][side[b] == 2]])
-        n = np.concatenate([np.zeros(len(nodes), np.int64), left, right])
-        out = np.concatenate([roots, ids[len(nodes) :]])
-        some = (n > 0) | (ids != out)
-        return pa.table({"node": ids[some], "root": out[some], "n": n[some]})
+        n, low, others = np.zeros(len(node), np.int64), node, x[b].T.copy()
+        for at in range(0, len(a), STEP):
+            hits = np.flatnonzero(x[a[at : at + STEP]] @ others >= cosine)  # few, of many products
+            i, j = a[at + hits // len(b)], b[hits % len(b)]
+            linked = (sizes[i] == sizes[j]) & (node[i] != node[j])
+            i, j = i[linked], j[linked]
+            np.add.at(n, i, w[j])
+            other = side[j] == 2  # of one cell, each of two members has the other among those it meets
+            np.add.at(n, j[other], w[i[other]])
+            low = _joined(low, i, j)
+        some = (n > 0) | (low != node)
+        return pa.table({"node": node[some], "root": low[some], "n": n[some]})
 
     tiles = as_home.unionByName(as_met).groupBy("cell", "tile", "strip")
     return tiles.applyInArrow(join, "node long, root long, n long")

@@ -56,3 +56,20 @@ def test_one_vector_holds_most_rows(spark):
 def test_empty(spark):
     assert got(spark.createDataFrame([], "vec_id long, embedding array<float>")) == []
     assert got(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")) == [(1, 0, 1, True)]
+
+
+def test_links_join_rows_step_by_step(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    node = rng.permutation(60) * 10
+    low, links = node, []
+    for _ in range(12):  # a row may be there twice, and reach others over rows of earlier steps
+        i, j = rng.integers(0, 60, (2, 4))
+        links += zip(node[i].tolist(), node[j].tolist(), strict=True)
+        low = vectors._joined(low, i, j)
+    part = components(node.tolist(), links)
+    assert low.tolist() == [part[x] for x in node.tolist()] and len(set(low.tolist())) > 5
+    monkeypatch.setattr(vectors, "STEP", 7)
+    monkeypatch.setattr(vectors, "WIDE", 4)  # smaller tiles for wider vectors
+    monkeypatch.setattr(vectors, "TILE", 64)
+    rows = [(i, v) for i, v in enumerate(cloud(200, 16, 5).tolist())]
+    assert got(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=3) == brute(rows)
